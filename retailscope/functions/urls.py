@@ -62,7 +62,10 @@ def domain_key(c: Column, placeholders: tuple[str, ...] = PLACEHOLDER_HOSTS) ->
 
 def domain_key_any(c: Column, placeholders: tuple[str, ...] = PLACEHOLDER_HOSTS) -> Column:
     """``domain_key`` for international names too, by one vectorised step."""
-    return _clean_host(punycode(_host_of(c)), placeholders)
+    host = _host_of(c)
+    plain = host.rlike("^[\\x00-\\x7f]*$")
+    # ASCII hosts stay in the JVM: the Python step only receives the others
+    return _clean_host(F.when(plain, host).otherwise(punycode(F.when(~plain, host))), placeholders)
 
 
 def canonical_host(c: Column) -> Column:

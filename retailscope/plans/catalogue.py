@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from retailscope.plans import views
+from retailscope.plans import feed, runs, views, writes
 from retailscope.plans.registry import Query
 
-MODULES = (views,)
+MODULES = (views, feed, runs, writes)
 
 
 def all_queries() -> dict[str, Query]:

@@ -120,8 +120,12 @@ def with_tables(sql: str, **relations: str) -> str:
     """SQL for the comparison engine: relations as CTEs over the plain tables."""
     from retailscope.session import TABLES
 
-    names = {t: t for t in TABLES}
-    ctes = ", ".join(f"{name} AS ({text.format(**names)})" for name, text in relations.items())
+    def plain(text: str) -> str:
+        for name in TABLES:
+            text = text.replace("{" + name + "}", name)
+        return text
+
+    ctes = ", ".join(f"{name} AS ({plain(text)})" for name, text in relations.items())
     body = sql.strip()
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes}, {body[5:]}"

@@ -20,7 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Runs SQL over the parquet tables, naming each as ``{table}``."""
     used = {n: table(spark, sf_dir, n) for n in TABLES if "{" + n + "}" in text}
-    return spark.sql(text, **used)
+    escaped = text.replace("{", "{{").replace("}", "}}")
+    for name in used:
+        escaped = escaped.replace("{{" + name + "}}", "{" + name + "}")
+    return spark.sql(escaped, **used)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -23,6 +23,7 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -47,7 +48,7 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cell(v) -> str:
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return "∅"
     if hasattr(v, "tolist"):
         v = v.tolist()
