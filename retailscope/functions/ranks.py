@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Severities worst first.
 SEVERITIES = ("CRITICAL", "MAJOR", "MINOR")
 # Audited pages in the order a reader meets them.
-PAGES = ("home", "collection", "product", "cart", "checkout", "global")
+PAGES = ("site", "homepage", "collection", "product", "cart", "checkout")
 # Roles by how likely they are to decide.
 ROLES = (
     "CEO",
