@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from retailscope.plans import feed, grading, runs, views, writes
+from retailscope.plans import feed, grading, pages, runs, views, writes
 from retailscope.plans.registry import Query
 
-MODULES = (views, feed, runs, writes, grading)
+MODULES = (views, feed, runs, writes, grading, pages)
 
 
 def all_queries() -> dict[str, Query]:

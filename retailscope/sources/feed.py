@@ -150,7 +150,7 @@ def active_apps(apps: Column) -> Column:
 
 def explode_store_apps(df: DataFrame, key: str) -> DataFrame:
     """One row per active app of a shop with its first category."""
-    listed = df.select(key, F.posexplode(active_apps(F.col("apps"))).alias("pos", "app"))
+    listed = df.select(key, F.posexplode_outer(active_apps(F.col("apps"))).alias("pos", "app")).filter(F.col("app").isNotNull())
     return listed.select(key, "pos", F.col("app.name").alias("name"), F.col("app.category").alias("category"))
 
 
