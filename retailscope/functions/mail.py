@@ -111,18 +111,31 @@ def distinctive(c: Column) -> Column:
     return (F.length(c) >= 4) & ~c.isin(*GENERIC_LABELS)
 
 
-def slug_matches_brand(slug: Column, store_domain: Column) -> Column:
-    """A profile slug and the shop's domain contain one another."""
-    text, key, label = collapse(slug), _domain_text(store_domain), domain_label(store_domain)
+def brand_keys(store_domain: Column) -> Column:
+    """The folded domain and its first label, as a struct to be kept in a column."""
+    return F.struct(_domain_text(store_domain).alias("key"), domain_label(store_domain).alias("label"))
+
+
+def slug_of_brand(text: Column, keys: Column) -> Column:
+    """A collapsed slug and the shop's domain contain one another."""
+    key, label = keys["key"], keys["label"]
     either = lambda name: text.contains(name) | name.contains(text)
     return (text != "") & (((F.length(key) >= 4) & either(key)) | (distinctive(label) & either(label)))
 
 
-def text_mentions_brand(text: Column, store_domain: Column, brand: Column | None = None) -> Column:
-    """Text names the domain, its distinctive label or the brand."""
-    hay, key, label = collapse(text), _domain_text(store_domain), domain_label(store_domain)
-    found = ((F.length(key) >= 4) & hay.contains(key)) | (distinctive(label) & hay.contains(label))
+def names_brand(text: Column, keys: Column, brand: Column | None = None) -> Column:
+    """Collapsed text names the domain, its distinctive label or the brand."""
+    key, label = keys["key"], keys["label"]
+    found = ((F.length(key) >= 4) & text.contains(key)) | (distinctive(label) & text.contains(label))
     if brand is not None:
-        name = F.coalesce(collapse(brand), F.lit(""))
-        found = found | (distinctive(name) & hay.contains(name))
-    return (hay != "") & found
+        found = found | (distinctive(brand) & text.contains(brand))
+    return (text != "") & found
+
+
+def slug_matches_brand(slug: Column, store_domain: Column) -> Column:
+    return slug_of_brand(collapse(slug), brand_keys(store_domain))
+
+
+def text_mentions_brand(text: Column, store_domain: Column, brand: Column | None = None) -> Column:
+    name = F.coalesce(collapse(brand), F.lit("")) if brand is not None else None
+    return names_brand(collapse(text), brand_keys(store_domain), name)

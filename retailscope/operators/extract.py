@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from retailscope.functions import html as h
 from retailscope.functions import mail
+from retailscope.functions.people import INTRODUCTION, NAME_THEN_ROLE, ROLE_THEN_NAME, detect_role, looks_like_person_name
 from retailscope.functions.urls import url_host
 
 MAX_LINKS = 500
@@ -286,11 +287,12 @@ _CANDIDATES = "array<struct<email:string,source:string,evidence:string>>"
 EVIDENCE_PADDING = 60
 
 
-def _find(df: DataFrame, name: str, text: str, pattern: str, source: str, only_if: Column, address) -> DataFrame:
-    """Adds the matches of a pattern in a text column, with the text around each.
+def scan(df: DataFrame, name: str, text: str, pattern: str, only_if: Column, kind: str, build) -> DataFrame:
+    """Adds the matches of a pattern in a text column, each built into a struct.
 
-    Matches, the gaps between them and their positions are columns of their
-    own, so each text is scanned once.
+    ``build(match, at)`` gets a match and its position. Matches, the gaps
+    between them and their positions are columns of their own, so each text is
+    scanned once.
     """
     none = F.array().cast("array<string>")
     w, g, t = F.col(f"_w_{name}"), F.col(f"_g_{name}"), F.col(text)
@@ -300,16 +302,6 @@ def _find(df: DataFrame, name: str, text: str, pattern: str, source: str, only_i
         here = acc["at"] + F.length(g[i])
         return F.struct((here + F.length(w[i])).alias("at"), F.array_append(acc["starts"], here).alias("starts"))
 
-    def candidate(match: Column, at: Column) -> Column:
-        begin = F.greatest(at - EVIDENCE_PADDING, F.lit(0))
-        end = F.least(at + F.length(match) + EVIDENCE_PADDING, F.length(t))
-        around = F.concat(
-            F.when(begin > 0, F.lit("…")).otherwise(F.lit("")),
-            F.trim(F.substring(t, begin + 1, end - begin)),
-            F.when(end < F.length(t), F.lit("…")).otherwise(F.lit("")),
-        )
-        return F.struct(F.lower(address(match)).alias("email"), F.lit(source).alias("source"), around.alias("evidence"))
-
     some = F.size(w) > 0
     return (
         df.withColumn(f"_w_{name}", F.when(only_if, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none))
@@ -318,7 +310,18 @@ def _find(df: DataFrame, name: str, text: str, pattern: str, source: str, only_i
             f"_s_{name}",
             F.when(some, F.aggregate(F.sequence(F.lit(0), F.size(w) - 1), start, step)["starts"]).otherwise(F.array().cast("array<int>")),
         )
-        .withColumn(name, F.when(some, F.zip_with(w, f"_s_{name}", candidate)).otherwise(F.array().cast(_CANDIDATES)))
+        .withColumn(name, F.when(some, F.zip_with(w, f"_s_{name}", build)).otherwise(F.array().cast(kind)))
+    )
+
+
+def around(text: Column, match: Column, at: Column, padding: int = EVIDENCE_PADDING) -> Column:
+    """A match with the text on both sides, ellipses where it was cut."""
+    begin = F.greatest(at - padding, F.lit(0))
+    end = F.least(at + F.length(match) + padding, F.length(text))
+    return F.concat(
+        F.when(begin > 0, F.lit("…")).otherwise(F.lit("")),
+        F.trim(F.substring(text, begin + 1, end - begin)),
+        F.when(end < F.length(text), F.lit("…")).otherwise(F.lit("")),
     )
 
 
@@ -344,13 +347,19 @@ def extract_emails(pages: DataFrame, page_keys: Sequence[str] = ("page_id",)) ->
     spelled = lambda m: F.concat(
         F.regexp_extract(m, mail.SPELLED_OUT, 1), F.lit("@"), F.regexp_extract(m, mail.SPELLED_OUT, 2), F.lit("."), F.regexp_extract(m, mail.SPELLED_OUT, 3)
     )
-    same = lambda m: m
     bracketed = F.col("_text").rlike("(?iu)[(\\[{<]\\s*(?:at|malpa|małpa|dot|kropka)\\s*[)\\]}>]")
-    staged = pages.withColumn("_text", text).withColumn("_opened", F.when(bracketed, opened).otherwise(F.col("_text")))
-    staged = _find(staged, "_plain", "_text", mail.EMAIL, "text", F.col("_text").contains("@"), same)
-    staged = _find(staged, "_open", "_opened", mail.EMAIL, "obfuscated", F.col("_opened") != F.col("_text"), same)
     worded = F.col("_text").rlike("(?iu)\\s(?:dot|kropka)\\s")
-    staged = _find(staged, "_words", "_text", mail.SPELLED_OUT, "obfuscated", worded, spelled)
+
+    def found(text_column: str, source: str, address=lambda m: m):
+        return lambda m, at: F.struct(
+            F.lower(address(m)).alias("email"), F.lit(source).alias("source"), around(F.col(text_column), m, at).alias("evidence")
+        )
+
+    staged = pages.withColumn("_text", text).withColumn("_opened", F.when(bracketed, opened).otherwise(F.col("_text")))
+    staged = scan(staged, "_plain", "_text", mail.EMAIL, F.col("_text").contains("@"), _CANDIDATES, found("_text", "text"))
+    changed = F.col("_opened") != F.col("_text")
+    staged = scan(staged, "_open", "_opened", mail.EMAIL, changed, _CANDIDATES, found("_opened", "obfuscated"))
+    staged = scan(staged, "_words", "_text", mail.SPELLED_OUT, worded, _CANDIDATES, found("_text", "obfuscated", spelled))
     known = F.col("_plain")["email"]
     staged = (
         staged.withColumn("_hidden", F.filter(F.concat("_open", "_words"), lambda c: ~F.array_contains(known, c["email"])))
@@ -622,3 +631,85 @@ def extract_checkout_facts(pages: DataFrame, country: str, page_keys: Sequence[s
         F.slice(errors, 1, 5).alias("visible_errors"),
         F.lit(True).alias("static"),
     )
+
+
+_PEOPLE = "array<struct<name:string,found:struct<role:string,matched:string>,title:string,source:string,evidence:string>>"
+PERSON_PAGES = ("home", "about", "contact")
+ROLE_WINDOW = 90
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("title", T.StringType())])))
+def _json_ld_people(documents: pd.Series) -> pd.Series:
+    """Name and job title of ``Person`` nodes of JSON-LD blocks."""
+
+    def walk(node, depth: int, out: list) -> None:
+        if depth > 8 or not isinstance(node, (dict, list)):
+            return
+        if isinstance(node, dict):
+            declared = node.get("@type")
+            kinds = declared if isinstance(declared, list) else [declared]
+            name, title = node.get("name"), node.get("jobTitle")
+            if any(isinstance(k, str) and k.lower() == "person" for k in kinds) and isinstance(name, str) and name.strip():
+                out.append((name.strip(), title.strip() if isinstance(title, str) else None))
+        for child in node if isinstance(node, list) else node.values():
+            walk(child, depth + 1, out)
+
+    def read(blocks) -> list:
+        out: list = []
+        for block in blocks:
+            try:
+                walk(json.loads(block), 0, out)
+            except ValueError:
+                continue
+        return out
+
+    return documents.map(read, na_action="ignore")
+
+
+def extract_people(pages: DataFrame, page_keys: Sequence[str] = ("page_id",)) -> DataFrame:
+    """People a shop's home, about and contact pages name, in page order.
+
+    ``pages``: text, html, kind, url and store_domain. Sources are JSON-LD and
+    three ways a text names a person beside a role.
+    """
+    kept = pages.filter(F.col("kind").isin(*PERSON_PAGES))
+    blocks = h.json_ld_blocks(F.coalesce("html", F.lit("")))
+
+    def person(name: Column, found: Column, title: Column, source: str, evidence: Column) -> Column:
+        return F.struct(
+            F.trim(name).alias("name"), found.alias("found"), title.alias("title"), F.lit(source).alias("source"), evidence.alias("evidence")
+        )
+
+    untitled = F.lit(None).cast("string")
+
+    def named(p: Column) -> Column:
+        said = F.concat(F.lit("JSON-LD Person"), F.coalesce(F.concat(F.lit(": "), p["title"]), F.lit("")))
+        return person(p["name"], detect_role(p["title"]), p["title"], "jsonld", said)
+
+    def introduced(m: Column, at: Column) -> Column:
+        begin = F.greatest(at - ROLE_WINDOW, F.lit(0))
+        role = detect_role(F.substring(F.col("_text"), begin + 1, at + F.length(m) + ROLE_WINDOW - begin))
+        return person(F.regexp_extract(m, INTRODUCTION, 1), role, untitled, "role_text", around(F.col("_text"), m, at))
+
+    def beside(pattern: str, name_group: int, role_group: int):
+        def build(m: Column, at: Column) -> Column:
+            role = detect_role(F.regexp_extract(m, pattern, role_group))
+            return person(F.regexp_extract(m, pattern, name_group), role, untitled, "role_text", around(F.col("_text"), m, at))
+
+        return build
+
+    declared = F.transform(_json_ld_people(F.when(F.size(blocks) > 0, blocks)), named)
+    staged = kept.withColumn("_text", F.coalesce("text", F.lit("")))
+    always = F.lit(True)
+    staged = scan(staged, "_intro", "_text", INTRODUCTION, always, _PEOPLE, introduced)
+    staged = scan(staged, "_before", "_text", NAME_THEN_ROLE, always, _PEOPLE, beside(NAME_THEN_ROLE, 1, 2))
+    staged = scan(staged, "_after", "_text", ROLE_THEN_NAME, always, _PEOPLE, beside(ROLE_THEN_NAME, 2, 1))
+    titled = lambda c: F.filter(c, lambda p: p["found"].isNotNull())
+    everyone = F.concat(F.coalesce(declared, F.array().cast(_PEOPLE)), F.col("_intro"), titled("_before"), titled("_after"))
+    rows = staged.withColumn("_people", everyone).select(
+        *page_keys, "store_domain", F.col("kind").alias("page_kind"), F.col("url").alias("page_url"), F.posexplode_outer("_people").alias("pos", "p")
+    )
+    return rows.filter(F.col("p").isNotNull() & looks_like_person_name(F.col("p.name"), F.col("store_domain"))).select(
+        *page_keys, "store_domain", "page_kind", "page_url", "pos", "p.name", F.col("p.found.role").alias("role"),
+        F.coalesce("p.title", "p.found.matched").alias("role_text"), "p.source", "p.evidence",
+    )
