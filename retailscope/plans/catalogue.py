@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from retailscope.plans import contacts, feed, grading, pages, runs, views, writes
+from retailscope.plans import contacts, feed, grading, leads, pages, runs, views, writes
 from retailscope.plans.registry import Query
 
-MODULES = (views, feed, runs, writes, grading, pages, contacts)
+MODULES = (views, feed, runs, writes, grading, pages, contacts, leads)
 
 
 def all_queries() -> dict[str, Query]:
