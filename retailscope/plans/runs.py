@@ -227,7 +227,7 @@ def stores_free_to_visit(spark, sf):
 @registry.add(
     "stores_cooling",
     st.with_tables(
-        """SELECT store_id, strikes, epoch_ms(blocked_until) - epoch_ms(TIMESTAMP '2024-01-30') AS ms_remaining
+        """SELECT store_id, strikes, epoch_us(blocked_until) // 1000 - epoch_us(TIMESTAMP '2024-01-30') // 1000 AS ms_remaining
         FROM stores JOIN cooldowns USING (domain) WHERE blocked_until > TIMESTAMP '2024-01-30'""",
         stores=SHOPS,
         cooldowns=COOLDOWNS,
