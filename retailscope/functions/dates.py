@@ -19,4 +19,5 @@ def retry_after(header: Column, now: Column) -> Column:
         F.try_to_timestamp(F.when(plain != "", plain), F.lit("d MMM yyyy HH:mm:ss")), F.try_to_timestamp(F.when(plain == "", text))
     )
     until = (F.unix_millis(moment) - F.unix_millis(now.cast("timestamp"))) / 1000
-    return F.greatest(round_half_up(F.coalesce(seconds, until)), F.lit(0)).cast("bigint")
+    asked = F.coalesce(seconds, until)
+    return F.when(asked.isNotNull(), F.greatest(round_half_up(asked), F.lit(0))).cast("bigint")

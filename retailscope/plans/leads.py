@@ -198,7 +198,7 @@ def skipped_images(spark, sf):
 C_STORES = "SELECT c_custkey AS id, concat('shop', CAST(c_custkey AS VARCHAR(20)), '.pl') AS domain, c_name AS name, CASE WHEN c_nationkey < 5 THEN NULL ELSE 'PL' END AS country, CAST(c_nationkey AS BIGINT) AS rank, CAST(round(c_acctbal * 100) AS BIGINT) AS revenue_estimate, CAST(c_nationkey AS BIGINT) AS traffic_estimate, CASE WHEN c_acctbal > 1000 THEN CAST(c_nationkey AS BIGINT) END AS products_count FROM {customer}"
 C_THEMES = "SELECT c_custkey AS store_id, concat('Theme ', CAST(c_nationkey AS VARCHAR(9))) AS name, '1.0' AS current_version, '2.0' AS latest_version, 3 AS version_gap, CASE WHEN c_acctbal > 5000 THEN c_nationkey END AS age_months, 'os2' AS architecture, 'outdated' AS freshness FROM {customer} WHERE c_mktsegment <> 'BUILDING'"
 C_APPS = "SELECT c_custkey AS store_id, c_nationkey AS total, CASE WHEN c_nationkey > 5 THEN 'low' END AS size, c_name AS app FROM {customer} WHERE c_mktsegment <> 'MACHINERY'"
-C_SPEED = "SELECT o_custkey AS store_id, o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'mobile' WHEN 'O' THEN 'desktop' ELSE 'tablet' END AS strategy, CASE WHEN o_totalprice > 50000 THEN CAST(floor(o_totalprice / 5100) AS INT) END AS performance, 50 AS seo, CAST(floor(o_totalprice / 100) AS BIGINT) AS lcp_ms, 0.25 AS cls, CAST(NULL AS BIGINT) AS inp_ms FROM {orders}"
+C_SPEED = "SELECT o_custkey AS store_id, o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'mobile' WHEN 'O' THEN 'desktop' ELSE 'tablet' END AS strategy, CASE WHEN o_totalprice > 50000 THEN CAST(floor(o_totalprice / 5100) AS INT) END AS performance, 50 AS seo, CAST(floor(o_totalprice / 100) AS BIGINT) AS lcp_ms, CAST(0.25 AS DOUBLE) AS cls, CAST(NULL AS BIGINT) AS inp_ms FROM {orders}"
 C_AUDITS = "SELECT event_id AS id, user_id AS store_id, 'OK' AS status, false AS blocked, CAST(NULL AS VARCHAR(9)) AS error FROM (SELECT CAST(floor(event_id / 1000) AS BIGINT) AS event_id, user_id FROM {events} GROUP BY 1, 2) e"
 CONTEXT_RELATIONS = {"stores": C_STORES, "audits": C_AUDITS, "issues": st.ISSUES, "speed": C_SPEED}
 
