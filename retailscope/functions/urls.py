@@ -34,25 +34,21 @@ def punycode(hosts: pd.Series) -> pd.Series:
     return hosts.map(ascii_form, na_action="ignore")
 
 
+# The host of an http(s) URL or of text without a scheme; no credentials.
+_HOST = "^(?i)(?:https?://|(?![a-z][a-z0-9+.-]*:))/*([^/?#\\\\@:]+)(?::[0-9]*)?(?:[/?#\\\\]|$)"
+_LABEL = "[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
+
+
 def _host_of(c: Column) -> Column:
-    text = F.trim(c)
-    has_scheme = text.rlike("^(?i)[a-z][a-z0-9+.-]*:")
-    is_http = text.rlike("^(?i)https?://")
-    rest = F.when(is_http, F.regexp_replace(text, "^(?i)https?://", "")).when(~has_scheme, text)
-    authority = F.regexp_extract(rest, "^/*([^/?#\\\\]*)", 1)
-    host = F.regexp_replace(authority, ":[0-9]*$", "")
-    return F.when((text != "") & ~authority.contains("@"), F.lower(host))
+    return F.lower(F.regexp_extract(F.trim(c), _HOST, 1))
 
 
 def _clean_host(host: Column, placeholders: tuple[str, ...]) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(host, "\\.$", ""), "^www\\.", "")
-    label = "[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
-    return F.when(
-        bare.rlike(f"^{label}(?:\\.{label})+$")
-        & ~bare.rlike("^\\d{1,3}(?:\\.\\d{1,3}){3}$")
-        & ~bare.isin(*placeholders),
-        bare,
-    )
+    # one pattern, so the host is written out twice and not once per rule
+    names = "|".join(p.replace(".", "\\.") for p in placeholders) or "-"
+    bare = F.regexp_replace(host, "^www\\.|\\.$", "")
+    valid = f"^(?!\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}$)(?!(?:{names})$){_LABEL}(?:\\.{_LABEL})+$"
+    return F.when(bare.rlike(valid), bare)
 
 
 def domain_key(c: Column, placeholders: tuple[str, ...] = PLACEHOLDER_HOSTS) -> Column:

@@ -11,7 +11,7 @@ from retailscope.functions.people import detect_role
 from retailscope.operators import constraints, contacts, extract, search
 from retailscope.plans import standins as st
 from retailscope.plans.registry import Registry
-from retailscope.session import run_sql
+from retailscope.session import run_sql, spread
 
 registry = Registry()
 
@@ -32,7 +32,7 @@ UNION ALL SELECT page_id, store_id, kind, concat(last, ' ', first), 'CEO', 1 FRO
 
 
 def named(spark, sf):
-    return extract.extract_people(run_sql(spark, sf, PEOPLE_PAGES), ["page_id", "store_id"])
+    return extract.extract_people(spread(run_sql(spark, sf, PEOPLE_PAGES)), ["page_id", "store_id"])
 
 
 @registry.add("extract_people", st.with_tables(f"SELECT page_id, name, role FROM ({SAID})", p=PEOPLE_PAGES))
@@ -417,7 +417,7 @@ FROM h WHERE NOT (o_totalprice > 150000 AND o_totalprice <= 200000)
 
 
 def read_hits(spark, sf):
-    return search.read_search_people(run_sql(spark, sf, HITS))
+    return search.read_search_people(spread(run_sql(spark, sf, HITS)))
 
 
 @registry.add("read_search_people", st.with_tables(f"SELECT store_id, query_no, pos, name, role, slug FROM ({READ})", h=HITS))
@@ -441,7 +441,7 @@ def best_search_person(spark, sf):
     ),
 )
 def stop_after_first_titled(spark, sf):
-    return search.stop_after_first_titled(run_sql(spark, sf, HITS), read_hits(spark, sf)).select("store_id", "pos")
+    return search.stop_after_first_titled(spread(run_sql(spark, sf, HITS)), read_hits(spark, sf)).select("store_id", "pos")
 
 
 FIRM_HITS = """
@@ -507,7 +507,7 @@ SELECT doc_id AS page_no, source AS store_id, 'about' AS kind, concat('https://s
     ),
 )
 def ground_quotes(spark, sf):
-    return contacts.ground_quotes(run_sql(spark, sf, QUOTED), run_sql(spark, sf, QUOTE_PAGES)).select("store_id", "person_no", "verdict")
+    return contacts.ground_quotes(spread(run_sql(spark, sf, QUOTED)), spread(run_sql(spark, sf, QUOTE_PAGES))).select("store_id", "person_no", "verdict")
 
 
 @registry.add(

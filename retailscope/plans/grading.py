@@ -9,7 +9,7 @@ from retailscope.operators.keyed import first_per_key
 from retailscope.functions.ranks import page_rank, severity_rank
 from retailscope.plans import standins as st
 from retailscope.plans.registry import Registry
-from retailscope.session import run_sql
+from retailscope.session import run_sql, spread
 
 registry = Registry()
 
@@ -72,7 +72,7 @@ FROM {{lineitem}}
     ),
 )
 def grade_page_seo(spark, sf):
-    facts = run_sql(spark, sf, SEO).withColumn("schema_types", F.when(F.col("type_name") != "", F.array("type_name")))
+    facts = spread(run_sql(spark, sf, SEO)).withColumn("schema_types", F.when(F.col("type_name") != "", F.array("type_name")))
     return shown(grading.grade_page_seo(facts, VIEW))
 
 
@@ -128,7 +128,7 @@ FROM {{lineitem}}
     ),
 )
 def grade_product(spark, sf):
-    return shown(grading.grade_product(run_sql(spark, sf, PRODUCT), VIEW))
+    return shown(grading.grade_product(spread(run_sql(spark, sf, PRODUCT)), VIEW))
 
 
 LISTING = f"""
@@ -159,7 +159,7 @@ FROM {{lineitem}}
 )
 def grade_listing(spark, sf):
     some = F.array(F.lit("a.card"), F.lit("b.card"))
-    facts = run_sql(spark, sf, LISTING).withColumn(
+    facts = spread(run_sql(spark, sf, LISTING)).withColumn(
         "missing_price", F.when(F.col("viewport") == "mobile", some).otherwise(F.array().cast("array<string>"))
     )
     return shown(grading.grade_listing(facts, VIEW))
@@ -195,7 +195,7 @@ FROM {{lineitem}}
     ),
 )
 def grade_cart(spark, sf):
-    return shown(grading.grade_cart(run_sql(spark, sf, CART), VIEW))
+    return shown(grading.grade_cart(spread(run_sql(spark, sf, CART)), VIEW))
 
 
 CHECKOUT = f"""
@@ -225,7 +225,7 @@ FROM {{lineitem}}
 def grade_checkout(spark, sf):
     none = F.array().cast("array<string>")
     facts = (
-        run_sql(spark, sf, CHECKOUT)
+        spread(run_sql(spark, sf, CHECKOUT))
         .withColumn("visible_errors", F.when(F.col("shows_error"), F.array(F.lit("a"), F.lit("b"))).otherwise(none))
         .withColumn("unlabelled_required", F.when(F.col("has_unlabelled"), F.array(F.lit("phone"))).otherwise(none))
     )
@@ -254,7 +254,7 @@ LOUD = "CASE WHEN viewport = 'mobile' THEN 'MAJOR' ELSE 'MINOR' END"
 )
 def grade_responsive(spark, sf):
     facts = (
-        run_sql(spark, sf, RESPONSIVE)
+        spread(run_sql(spark, sf, RESPONSIVE))
         .withColumn("overflowing", F.array().cast("array<struct<selector:string,overflow_px:int>>"))
         .withColumn("small_taps", F.from_json(F.lit('[{"selector":"a","text":"","width":20,"height":30}]'), "array<struct<selector:string,text:string,width:int,height:int>>"))
         .withColumn("overlaps", F.when(F.col("overlapping"), F.from_json(F.lit('[{"a":"x","b":"y"}]'), "array<struct<a:string,b:string>>")).otherwise(F.array().cast("array<struct<a:string,b:string>>")))
@@ -283,7 +283,7 @@ SELECT {KEYS}, {PLACE}, 'homepage' AS page, l_tax > 0.02 AS banner_found, l_disc
 )
 def grade_overlays(spark, sf):
     box = F.struct(F.lit("div.popup").alias("selector"), F.lit("Sale").alias("text"), F.col("coverage").alias("coverage"))
-    return shown(grading.grade_overlays(run_sql(spark, sf, OVERLAY).withColumn("overlays", F.array(box)), VIEW))
+    return shown(grading.grade_overlays(spread(run_sql(spark, sf, OVERLAY)).withColumn("overlays", F.array(box)), VIEW))
 
 
 STRUCTURE = f"""
@@ -310,7 +310,7 @@ NO_TOGGLE = "NOT (viewport = 'mobile' AND has_toggle)"
 )
 def grade_structure(spark, sf):
     links = F.array("link_text")
-    return shown(grading.grade_structure(run_sql(spark, sf, STRUCTURE).withColumn("footer_links", links).withColumn("nav_samples", links), VIEW))
+    return shown(grading.grade_structure(spread(run_sql(spark, sf, STRUCTURE)).withColumn("footer_links", links).withColumn("nav_samples", links), VIEW))
 
 
 OBSERVED = """

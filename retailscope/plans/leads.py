@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from retailscope.operators import answers, documents, letters, runs, scoring
 from retailscope.plans import grading, standins as st
 from retailscope.plans.registry import Registry
-from retailscope.session import run_sql
+from retailscope.session import run_sql, spread
 
 registry = Registry()
 
@@ -348,7 +348,7 @@ SELECT s.id AS draft_id, (SELECT count(*) FROM c WHERE c.store_id = s.store_id)
 
 @registry.add("nearest_earlier_text", st.with_tables(SHINGLED, t=TEXTS))
 def nearest_earlier_text(spark, sf):
-    texts = run_sql(spark, sf, TEXTS)
+    texts = spread(run_sql(spark, sf, TEXTS))
     return letters.nearest_earlier_text(texts.drop("id"), texts.drop("draft_id")).select("draft_id", "compared", "similarity", "closest_id", "repeats")
 
 

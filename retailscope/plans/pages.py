@@ -8,13 +8,13 @@ from retailscope.functions import mail
 from retailscope.operators import extract, grading, links
 from retailscope.plans import standins as st
 from retailscope.plans.registry import Registry
-from retailscope.session import run_sql, table
+from retailscope.session import run_sql, spread, table
 
 registry = Registry()
 
 
 def fetched(spark, sf):
-    return table(spark, sf, "pages")
+    return spread(table(spark, sf, "pages"))
 
 
 CLEAN = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g')"
@@ -103,7 +103,7 @@ FROM {part}
     ),
 )
 def extract_json_ld(spark, sf):
-    nodes = extract.extract_json_ld(run_sql(spark, sf, LD_PAGES))
+    nodes = extract.extract_json_ld(spread(run_sql(spark, sf, LD_PAGES)))
     return nodes.groupBy("page_id", "type").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
@@ -118,7 +118,7 @@ MAIL_RE = r"[a-z0-9!#$%&''*+/=?^_`{|}~-]+(\.[a-z0-9!#$%&''*+/=?^_`{|}~-]+)*@([a-
 
 
 def mails(spark, sf):
-    pages = run_sql(spark, sf, MAIL_PAGES).withColumn("html", F.lit("")).withColumn("mailtos", F.array().cast("array<string>"))
+    pages = spread(run_sql(spark, sf, MAIL_PAGES)).withColumn("html", F.lit("")).withColumn("mailtos", F.array().cast("array<string>"))
     return extract.extract_emails(pages, ["page_id", "store_id"])
 
 
@@ -233,7 +233,7 @@ FROM {part}
     ),
 )
 def extract_product_facts(spark, sf):
-    return extract.extract_product_facts(run_sql(spark, sf, PRODUCT_PAGES)).drop("url", "static", "add_text")
+    return extract.extract_product_facts(spread(run_sql(spark, sf, PRODUCT_PAGES))).drop("url", "static", "add_text")
 
 
 LISTING_PAGES = """
@@ -254,7 +254,7 @@ FROM {supplier}
     ),
 )
 def extract_listing_facts(spark, sf):
-    facts = extract.extract_listing_facts(run_sql(spark, sf, LISTING_PAGES)).drop("url", "static")
+    facts = extract.extract_listing_facts(spread(run_sql(spark, sf, LISTING_PAGES))).drop("url", "static")
     return facts.withColumn("missing_price", F.array_join("missing_price", ","))
 
 
@@ -276,7 +276,7 @@ FROM {orders}
     ),
 )
 def extract_cart_facts(spark, sf):
-    return extract.extract_cart_facts(run_sql(spark, sf, CART_PAGES)).select("page_id", "has_lines", "has_quantity", "has_remove", "has_delivery_estimate", "has_checkout")
+    return extract.extract_cart_facts(spread(run_sql(spark, sf, CART_PAGES))).select("page_id", "has_lines", "has_quantity", "has_remove", "has_delivery_estimate", "has_checkout")
 
 
 @registry.add(
@@ -288,7 +288,7 @@ def extract_cart_facts(spark, sf):
     ),
 )
 def extract_checkout_facts(spark, sf):
-    facts = extract.extract_checkout_facts(run_sql(spark, sf, CART_PAGES), "pl").drop("url", "static", "country_options")
+    facts = extract.extract_checkout_facts(spread(run_sql(spark, sf, CART_PAGES)), "pl").drop("url", "static", "country_options")
     for name in ("payments", "unlabelled_required", "visible_errors"):
         facts = facts.withColumn(name, F.array_join(name, ","))
     return facts
