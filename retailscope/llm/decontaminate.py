@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailscope.llm.common import map_arrow, text_bytes
+from retailscope.llm.common import map_arrow
 
 WINDOW = 10
 #: Bytes of benchmark text that one automaton holds; larger benchmarks are scanned for in several parts.

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import decontaminate, urlfilter
+from retailscope.llm import decontaminate, tokencounts, tokenfiles, urlfilter
 from retailscope.llm.common import documents
 from retailscope.plans.registry import Registry
 from retailscope.session import table
@@ -48,3 +49,14 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM best
 @registry.add("op10_url_filters", URL_SQL)
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), urlfilter.contract_rules(spark))
+
+
+@registry.add("op5_token_id_files")
+def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenfiles.write_token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfiles.read_token_files(manifest)
+
+
+@registry.add("op6_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
