@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import decontaminate, tokencounts, tokenfiles, urlfilter
+from retailscope.llm import decontaminate, tokencounts, tokenfiles, urlfilter, warc
 from retailscope.llm.common import documents
 from retailscope.plans.registry import Registry
 from retailscope.session import table
@@ -60,3 +60,23 @@ def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op6_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+WARC_SQL = """
+WITH sized AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT payload_digest, min(page_id) AS first_id FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, s.payload_digest,
+  CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM sized s LEFT JOIN firsts f ON f.payload_digest = s.payload_digest AND payload_bytes >= 100
+"""
+
+
+@registry.add("op9_warc", WARC_SQL)
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
+    page_id, refers_to = (F.col(c).cast("long").alias(n) for c, n in (("record_id", "page_id"), ("refers_to", "refers_to")))
+    return records.select(page_id, "payload_bytes", "payload_digest", "record_type", refers_to)
