@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import decontaminate, tokencounts, tokenfiles, urlfilter, warc
+from retailscope.llm import decontaminate, simhash, tokencounts, tokenfiles, urlfilter, warc
 from retailscope.llm.common import documents
 from retailscope.plans.registry import Registry
 from retailscope.session import table
@@ -80,3 +80,9 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
     page_id, refers_to = (F.col(c).cast("long").alias(n) for c, n in (("record_id", "page_id"), ("refers_to", "refers_to")))
     return records.select(page_id, "payload_bytes", "payload_digest", "record_type", refers_to)
+
+
+@registry.add("op2_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.find_near_copies(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import decontaminate
+from retailscope.llm import decontaminate, simhash
 from retailscope.session import table
 
 
@@ -14,7 +14,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise ValueError("written with the SimHash operator")
+    """Of each group of near copies the document with the smallest id, unchanged."""
+    found = simhash.find_near_copies(docs)
+    others = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*[F.col(c) for c in docs.columns])
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
