@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import decontaminate, simhash, tokencounts, tokenfiles, urlfilter, warc
+from retailscope.llm import decontaminate, language, simhash, tokencounts, tokenfiles, urlfilter, warc
 from retailscope.llm.common import documents
 from retailscope.plans.registry import Registry
 from retailscope.session import table
@@ -86,3 +86,8 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.find_near_copies(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@registry.add("op8_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import decontaminate, simhash
+from retailscope.llm import decontaminate, language, simhash
 from retailscope.session import table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise ValueError("written with the language operator")
+    """Documents whose language can be told; null texts and those without a letter go. ``lang`` stays as it was."""
+    languages, chances = language.learn(docs)
+    found = language.predict(docs, languages, chances, carry=tuple(docs.columns))
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*[F.col(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
