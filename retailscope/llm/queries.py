@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import decontaminate, language, simhash, tokencounts, tokenfiles, urlfilter, warc
+from retailscope.llm import decontaminate, language, sentencepieces, simhash, tokencounts, tokenfiles, urlfilter, warc
 from retailscope.llm.common import documents
 from retailscope.plans.registry import Registry
 from retailscope.session import table
@@ -91,3 +91,14 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op8_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@registry.add("op4_sentencepiece")
+def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepieces.encode_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

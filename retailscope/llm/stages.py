@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import decontaminate, language, simhash
+from retailscope.llm import decontaminate, language, sentencepieces, simhash
 from retailscope.session import table
 
 
@@ -34,4 +35,6 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise ValueError("written with the SentencePiece operator")
+    """``doc_id``, ``n_tokens``, ``ids`` and the ``text`` decoded from them."""
+    found = sentencepieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
