@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import decontaminate, language, sentencepieces, simhash, tokencounts, tokenfiles, urlfilter, warc
+from retailscope.llm import decontaminate, language, sentencepieces, simhash, tokencounts, tokenfiles, urlfilter, vectors, warc
 from retailscope.llm.common import documents
 from retailscope.plans.registry import Registry
 from retailscope.session import table
@@ -102,3 +102,8 @@ def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@registry.add("op1_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.find_near_vectors(table(spark, sf_dir, "embeddings"))
