@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import decontaminate, language, sentencepieces, simhash, tokencounts, tokenfiles, urlfilter, vectors, warc
+from retailscope.llm import decontaminate, language, sentencepieces, simhash, suffixes, tokencounts, tokenfiles, urlfilter, vectors, warc
 from retailscope.llm.common import documents
 from retailscope.plans.registry import Registry
 from retailscope.session import table
@@ -107,3 +107,15 @@ def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op1_embedding_near_dedup")
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.find_near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@registry.add("op3_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.find_repeats(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

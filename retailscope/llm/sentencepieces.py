@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from retailscope.llm.common import to_batch
+from retailscope.llm.common import planes, to_batch, unplanes
 
 #: Characters of a block of documents; distinct chunks that a task of the table remembers.
 BLOCK_CHARS, KNOWN_CHUNKS = 8_000_000, 1_000_000
@@ -77,16 +77,6 @@ def unpack(n: int, blob: bytes) -> list[str]:
     return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Numbers of 32 bits, compressed byte plane by byte plane."""
-    return zlib.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-
-
-def unplanes(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(blob), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[list[str]]]]:
     """Documents of a partition in blocks: block id, document ids, chunks."""
     block, ids, cut, size = TaskContext.get().partitionId() << 32, [], [], 0
