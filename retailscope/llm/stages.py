@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import decontaminate, language, sentencepieces, simhash
+from retailscope.llm import decontaminate, language, sentencepieces, simhash, suffixes
 from retailscope.session import table
 
 
@@ -25,7 +25,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise ValueError("written with the suffix-array operator")
+    """Documents without the passages of 50 bytes and more that a smaller id holds.
+
+    A character of which only some bytes would go stays whole. ``n_chars`` follows the text; a document of which nothing
+    is left goes.
+    """
+    carry = tuple(c for c in docs.columns if c != "text")
+    found = suffixes.find_repeats(docs.withColumn("_no_text", F.col("text").isNull()), (*carry, "_no_text"), characters=True)
+    cut, rest = F.size("spans") > 0, F.col("kept").cast("string")
+    found = found.where(~cut | (F.octet_length("kept") > 0))
+    own = {"text": F.when(~F.col("_no_text"), rest), "n_chars": F.when(cut, F.length(rest).cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*[own[c].alias(c) if c in own else F.col(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
