@@ -15,18 +15,15 @@ LOCALE_SUBDOMAIN_HOSTS = ("linkedin.com",)
 
 @F.pandas_udf(T.StringType())
 def punycode(hosts: pd.Series) -> pd.Series:
-    """Hosts with non-ASCII letters in their ASCII form, null when invalid."""
-    try:
-        import idna
-    except ImportError:  # the standard codec covers IDNA 2003
-        idna = None
+    """Hosts with non-ASCII letters in their ASCII form, null when invalid.
+
+    By the standard library's codec (IDNA 2003), so keys are alike on every machine.
+    """
 
     def ascii_form(host: str | None) -> str | None:
         if host is None or host.isascii():
             return host
         try:
-            if idna is not None:
-                return idna.encode(host, uts46=True).decode("ascii")
             return host.encode("idna").decode("ascii")
         except (UnicodeError, ValueError):
             return None

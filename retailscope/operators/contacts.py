@@ -13,8 +13,8 @@ from retailscope.functions.numbers import round_half_up
 from retailscope.functions.people import detect_role, long_parts, looks_like_person_name, mailbox_key, name_key
 from retailscope.functions.ranks import rank_in, role_rank
 from retailscope.functions.text import squeeze
-from retailscope.functions.urls import domain_key
-from retailscope.operators.keyed import first_per_key, list_parts
+from retailscope.functions.urls import domain_key_any
+from retailscope.operators.keyed import first_per_key, list_parts, number_rows
 
 # Evidence from strongest to weakest, by source and by page.
 EMAIL_SOURCES = ("mailto", "jsonld", "obfuscated", "text")
@@ -80,7 +80,7 @@ def match_people_to_mailboxes(people: DataFrame, emails: DataFrame) -> DataFrame
 def people_from_mailboxes(emails: DataFrame) -> DataFrame:
     """People only a personal mailbox of two name parts speaks for."""
     parts = long_parts(mailbox_key(F.col("email")))
-    titled = F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 64)))
+    titled = F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p))))
     no_text = F.lit(None).cast("string")
     named = emails.filter((F.col("bucket") == "personal") & (F.size(parts) == 2)).withColumn("name", F.array_join(titled, " "))
     return named.filter(looks_like_person_name(F.col("name"), F.col("store_domain"))).select(
@@ -287,10 +287,13 @@ def candidate_order() -> list[Column]:
     ]
 
 
-def rank_contacts(candidates: DataFrame, top: int = 100) -> DataFrame:
-    """The first ``top`` candidates of every shop with their rank."""
+def rank_contacts(candidates: DataFrame) -> DataFrame:
+    """All candidates of every shop with their rank, numbered in slices of the order's first keys."""
     tie = [F.coalesce("name", F.lit("")), F.coalesce("source_url", F.lit(""))]
-    return first_per_key(candidates, ["store_id"], [*candidate_order(), *tie], top, rank="contact_rank")
+    group = F.when(F.col("is_generic"), 2).otherwise(0) + F.when(F.col("name").isNull(), 1).otherwise(0)
+    # within a role, by tenths of certainty
+    slices = group * 10_000 + role_rank(F.coalesce("role", F.lit(""))) * 20 + 10 - F.floor(F.coalesce("confidence", F.lit(0.0)) * 10)
+    return number_rows(candidates, ["store_id"], [*candidate_order(), *tie], slices, "contact_rank")
 
 
 def collect_store_contacts(stores: DataFrame, emails: DataFrame, links: DataFrame, people: DataFrame) -> DataFrame:
@@ -385,7 +388,7 @@ def drop_suppressed(candidates: DataFrame, suppressions: DataFrame) -> tuple[Dat
     addresses = suppressions.filter(F.col("email").isNotNull()).select(F.col("email").alias("_email")).distinct().withColumn("_by_email", F.lit(True))
     domains = suppressions.filter(F.col("domain").isNotNull()).select(F.col("domain").alias("_domain")).distinct()
     keyed = candidates.withColumn("_email", F.lower(F.trim("email"))).withColumn("_mail_domain", _mail_domain(F.col("email")))
-    shop_key = F.coalesce(domain_key(F.col("store_domain")), F.lower(F.trim("store_domain")))
+    shop_key = F.coalesce(domain_key_any(F.col("store_domain")), F.lower(F.trim("store_domain")))
     marked = (
         keyed.withColumn("_store_domain", shop_key)
         .join(addresses, "_email", "left")
@@ -491,7 +494,7 @@ def forget(contacts: DataFrame, suppressions: DataFrame, requests: DataFrame, st
     """
     asked = requests.select(
         F.lower(F.trim("email")).alias("email"),
-        F.coalesce(domain_key(F.col("domain")), F.lower(F.trim("domain"))).alias("domain"),
+        F.coalesce(domain_key_any(F.col("domain")), F.lower(F.trim("domain"))).alias("domain"),
         "reason",
     )
     domains = stores.select("store_id", "store_domain")

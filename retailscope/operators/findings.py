@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from retailscope.functions.ranks import SEVERITIES, page_rank, severity_rank
 from retailscope.operators.grading import EVIDENCE_TYPE, MAX_EVIDENCE, SLOW_LOAD_MS, Rule, escalate, evidence, grade, say
-from retailscope.operators.keyed import first_per_key
+from retailscope.operators.keyed import first_per_key, number_rows
 
 # What is no finding.
 IGNORED_CONSOLE = "(?i)^Failed to load resource|favicon|\\[GSI_LOGGER\\]"
@@ -52,9 +52,19 @@ def merge_duplicate_issues(issues: DataFrame, keys: Sequence[str] = ("audit_id",
     return joined.withColumn("evidence", F.coalesce("evidence", F.array().cast(f"array<{EVIDENCE_TYPE}>")))
 
 
-def worst_first(issues: DataFrame, tie: str = "title") -> DataFrame:
+def worst_order(tie: str) -> list[Column]:
     """Reading order: severity, page of the funnel, then title or id."""
-    return issues.orderBy(severity_rank(F.col("severity")), page_rank(F.col("page")), F.col(tie))
+    return [severity_rank(F.col("severity")), page_rank(F.col("page")), F.col(tie)]
+
+
+def worst_first(issues: DataFrame, tie: str = "title") -> DataFrame:
+    return issues.orderBy(*worst_order(tie))
+
+
+def number_worst_first(issues: DataFrame, keys: Sequence[str], tie: str = "id", name: str = "position") -> DataFrame:
+    """Every issue with its place in the reading order of its key."""
+    severity, page, _ = worst_order(tie)
+    return number_rows(issues, keys, worst_order(tie), severity * 100 + page, name)
 
 
 def drop_noise(observations: DataFrame) -> DataFrame:
@@ -214,15 +224,10 @@ def grade_navigations(fetches: DataFrame, keys: Sequence[str] = ("audit_id", "st
 
 
 def page_check_summary(checks: DataFrame, keys: Sequence[str] = ("audit_id", "page_no")) -> DataFrame:
-    """Checks run and failed per audited page, with the first failed names.
-
-    A page runs a fixed list of checks; names beyond a hundred are not listed,
-    though counted.
-    """
+    """Checks run and failed per audited page, with the names of all that failed."""
     failed = F.col("status") == "failed"
     counts = checks.groupBy(*keys).agg(F.count(F.lit(1)).alias("run"), F.count_if(failed).alias("failed"))
-    listed = first_per_key(checks.filter(failed), keys, [F.col("check_no")], MAX_KEYS)
-    names = listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("check_no", "name"))).alias("_l"))
+    names = checks.filter(failed).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("check_no", "name"))).alias("_l"))
     return counts.join(names.select(*keys, F.col("_l")["name"].alias("failed_checks")), list(keys), "left")
 
 

@@ -15,10 +15,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows per key up to which Spark limits a window before the shuffle, and parts a key is cut in beyond that.
+MAP_SIDE_ROWS, PARTS = 1000, 64
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str | None = None) -> DataFrame:
-    """The first ``k`` rows of every key in the given order."""
+    """The first ``k`` rows of every key in the given order.
+
+    Spark cuts small ``k`` in every map task. For a larger one each key is first cut to ``k`` rows in each of its parts,
+    so no task meets more than ``k`` times ``PARTS`` rows of a key.
+    """
     name = rank or "_rank"
+    if k > MAP_SIDE_ROWS:
+        part = W.partitionBy(*keys, "_part").orderBy(*order)
+        df = df.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+        df = df.withColumn(name, F.row_number().over(part)).filter(F.col(name) <= k).drop(name, "_part")
     w = W.partitionBy(*keys).orderBy(*order)
     out = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
     return out if rank else out.drop(name)
@@ -29,18 +40,17 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return first_per_key(df, keys, [F.col(c).desc() for c in order])
 
 
-def _same(left: str, right: str, cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-    return cond
+def _sliced(df: DataFrame, keys: Sequence[str], slice_by: Column) -> DataFrame:
+    """Rows with their slice as one struct ``_at``; structs compare equal where their fields are both null, so windows
+    and the join below share one partitioning of the rows."""
+    return df.withColumn("_slice", slice_by).withColumn("_at", F.struct(*keys, "_slice"))
 
 
-def _join_slices(rows: DataFrame, per_slice: DataFrame, keys: Sequence[str], value: Sequence[str]) -> DataFrame:
-    cols = [*keys, "_slice"]
-    return rows.alias("r").join(
-        per_slice.select(*cols, *value).alias("s"), _same("r", "s", cols), "left"
-    ).select("r.*", *[F.col(f"s.{v}") for v in value])
+def _before(sizes: DataFrame, keys: Sequence[str], value: Column, name: str, descending: bool = False) -> DataFrame:
+    """A value over the slices before each slice of a key; there is a row per slice."""
+    along = F.col("_at._slice").desc() if descending else F.col("_at._slice").asc()
+    window = W.partitionBy(*[F.col(f"_at.{k}") for k in keys]).orderBy(along)
+    return sizes.select("_at", value.over(window if name == "_carry" else window.rowsBetween(W.unboundedPreceding, -1)).alias(name))
 
 
 def number_rows(
@@ -56,16 +66,14 @@ def number_rows(
     ``slice_by`` must not decrease along ``order`` (not increase, when
     ``descending``): a day of the time ordered by, or a range of the id.
     """
-    rows = df.withColumn("_slice", slice_by)
-    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
-    along = F.col("_slice").desc() if descending else F.col("_slice").asc()
-    before = W.partitionBy(*keys).orderBy(along).rowsBetween(W.unboundedPreceding, -1)
-    sizes = rows.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    rows = _sliced(df, keys, slice_by)
+    inside = W.partitionBy("_at").orderBy(*order)
+    sizes = rows.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = _before(sizes, keys, F.sum("_n"), "_before", descending)
     numbered = rows.withColumn("_in_slice", F.row_number().over(inside))
-    joined = _join_slices(numbered, offsets, keys, ["_before"])
-    return joined.withColumn(name, (F.col("_in_slice") + F.col("_before")).cast("bigint")).drop(
-        "_slice", "_in_slice", "_before"
+    joined = numbered.join(offsets, "_at", "left")
+    return joined.withColumn(name, (F.col("_in_slice") + F.coalesce("_before", F.lit(0))).cast("bigint")).drop(
+        "_at", "_slice", "_in_slice", "_before"
     )
 
 
@@ -78,15 +86,14 @@ def running_sum(
     name: str,
 ) -> DataFrame:
     """Running total including the current row, for keys of any size."""
-    rows = df.withColumn("_slice", slice_by).withColumn("_value", value)
-    inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    sizes = rows.groupBy(*keys, "_slice").agg(F.sum("_value").alias("_n"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    rows = _sliced(df, keys, slice_by).withColumn("_value", value)
+    inside = W.partitionBy("_at").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    sizes = rows.groupBy("_at").agg(F.sum("_value").alias("_n"))
+    offsets = _before(sizes, keys, F.sum("_n"), "_before")
     summed = rows.withColumn("_in_slice", F.sum("_value").over(inside))
-    joined = _join_slices(summed, offsets, keys, ["_before"])
-    return joined.withColumn(name, F.col("_in_slice") + F.col("_before")).drop(
-        "_slice", "_value", "_in_slice", "_before"
+    joined = summed.join(offsets, "_at", "left")
+    return joined.withColumn(name, F.col("_in_slice") + F.coalesce("_before", F.lit(0))).drop(
+        "_at", "_slice", "_value", "_in_slice", "_before"
     )
 
 
@@ -103,16 +110,15 @@ def previous_value(
     Inside a slice it is ``lag``; the first row of a slice takes the last value
     of the nearest slice before it.
     """
-    rows = df.withColumn("_slice", slice_by)
-    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
-    lasts = rows.groupBy(*keys, "_slice").agg(
+    rows = _sliced(df, keys, slice_by)
+    inside = W.partitionBy("_at").orderBy(*order)
+    lasts = rows.groupBy("_at").agg(
         F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last")
     )
-    before = W.partitionBy(*keys).orderBy("_slice")
-    carried = lasts.withColumn("_carry", F.lag("_last").over(before))
+    carried = _before(lasts, keys, F.lag("_last"), "_carry")
     lagged = rows.withColumn("_lag", F.lag(F.struct(F.col(value).alias("v"))).over(inside))
-    joined = _join_slices(lagged, carried, keys, ["_carry"])
-    return joined.withColumn(name, F.coalesce("_lag", "_carry")["v"]).drop("_slice", "_lag", "_carry")
+    joined = lagged.join(carried, "_at", "left")
+    return joined.withColumn(name, F.coalesce("_lag", "_carry")["v"]).drop("_at", "_slice", "_lag", "_carry")
 
 
 def list_parts(

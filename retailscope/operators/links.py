@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from retailscope.functions import mail
 from retailscope.functions.ranks import rank_in
-from retailscope.functions.urls import domain_key, url_path
+from retailscope.functions.urls import domain_key_any, url_path
 from retailscope.operators.keyed import first_per_key, id_slice, number_rows
 
 # Limits of what is listed and probed.
@@ -101,7 +101,7 @@ def blocks_everything(text: Column) -> Column:
     """Whether a robots document tells every agent to stay out."""
     lines = F.transform(F.split(F.lower(text), "\\n"), F.trim)
     tidy = F.array_join(F.transform(lines, lambda line: F.trim(F.regexp_replace(line, "\\r", ""))), "\n")
-    groups = F.slice(F.split(tidy, "(?m)^user-agent:"), 2, 1_000_000)
+    groups = F.slice(F.split(tidy, "(?m)^user-agent:"), F.lit(2), F.length(tidy) + 1)
     rows = lambda g: F.transform(F.split(g, "\n"), lambda line: F.regexp_replace(line, "(?U)\\s+", ""))
     return F.coalesce(
         F.exists(groups, lambda g: (F.trim(F.split(g, "\n")[0]) == "*") & F.array_contains(rows(g), "disallow:/")), F.lit(False)
@@ -275,13 +275,13 @@ def pick_contact_pages(links: DataFrame, key: str = "store_id") -> DataFrame:
 def brand_name(domain: Column, name: Column) -> Column:
     """The shop's name, or its domain label as words when the name only
     repeats the domain."""
-    key = F.coalesce(domain_key(domain), domain)
+    key = F.coalesce(domain_key_any(domain), domain)
     label = F.split_part(key, F.lit("."), F.lit(1))
     given = F.trim(F.coalesce(name, F.lit("")))
     folded = mail.collapse(given)
     repeats = (folded == mail.collapse(key)) | ((folded == mail.collapse(label)) & ~given.rlike("(?U)\\s"))
     parts = F.filter(F.split(label, "[-_]+"), lambda p: p != "")
-    titled = F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000))), " ")
+    titled = F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), " ")
     return F.when((given != "") & (folded != "") & ~repeats, given).otherwise(titled)
 
 
@@ -292,7 +292,7 @@ def plan_searches(stores: DataFrame, key: str = "store_id", per_query: int = 5)
     for country, local in LOCAL_ROLE_TERMS.items():
         terms = F.when(F.upper("country") == country, F.lit("(" + " OR ".join([*ROLE_TERMS, *local]) + ")")).otherwise(terms)
     quoted = lambda v: F.concat(F.lit('"'), F.trim(F.regexp_replace(v, "[\"']", "")), F.lit('"'))
-    domain = F.coalesce(domain_key(c("domain")), c("domain"))
+    domain = F.coalesce(domain_key_any(c("domain")), c("domain"))
     brand = c("_brand")
 
     def plan(no: int, kind: str, query: Column, site: str | None) -> Column:

@@ -72,7 +72,7 @@ def store_overview(
     """One row per shop: classification, issues, letter, person, link, inboxes.
 
     Every side is reduced to one row per shop before it is joined. The inbox
-    list shows the first part of ``shared_inboxes``; the count is of all.
+    list joins all parts of ``shared_inboxes``.
     """
     classified = latest_per_key(
         analyses.filter(F.col("agent") == CLASSIFIER).select("store_id", "id", "category", "lead_score"),
@@ -91,7 +91,7 @@ def store_overview(
     link = best_profile_link(contacts).select("store_id", F.col("linkedin_url").alias("contact_linkedin"))
     inboxes = shared_inboxes(contacts)
     inbox_totals = inboxes.groupBy("store_id").agg(
-        F.min_by("generic_emails", "part").alias("generic_emails"),
+        F.array_join(F.array_sort(F.collect_list(F.struct("part", "generic_emails")))["generic_emails"], " ").alias("generic_emails"),
         F.sum("generic_count").alias("generic_count"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)

@@ -79,7 +79,7 @@ def read_search_people(hits: DataFrame) -> DataFrame:
         .withColumn("name", F.try_element_at("_segments", F.lit(1)))
         .filter(c("name").isNotNull() & looks_like_person_name(c("name"), c("store_domain")))
     )
-    others = F.filter(F.slice("_segments", 2, 100), lambda s: name_key(s) != c("_own"))
+    others = F.filter(F.slice("_segments", F.lit(2), F.size("_segments")), lambda s: name_key(s) != c("_own"))
     first, label, brand = c("_first"), c("_keys.label"), c("_brand")
     is_brand = (F.length(first) >= 4) & (((F.length(label) >= 4) & (first == label)) | ((F.length(brand) >= 4) & (first == brand)))
     tied = F.when(

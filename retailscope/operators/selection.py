@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailscope.functions.urls import domain_key
+from retailscope.functions.urls import domain_key_any
 from retailscope.operators.keyed import latest_per_key
 
 # Shop statuses after which nothing more is done.
@@ -28,7 +28,7 @@ def active_stores(stores: DataFrame, run_stores: DataFrame, run_id: int) -> Data
 
 def restrict_to_domains(stores: DataFrame, domains: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Shops whose domain was asked for, and what was asked for but is absent."""
-    asked = domains.select(F.coalesce(domain_key(F.col("domain")), F.lower(F.trim("domain"))).alias("domain")).distinct()
+    asked = domains.select(F.coalesce(domain_key_any(F.col("domain")), F.lower(F.trim("domain"))).alias("domain")).distinct()
     return stores.join(asked, "domain", "left_semi"), asked.join(stores, "domain", "left_anti")
 
 
@@ -65,7 +65,7 @@ def gate_cooling_domains(stores: DataFrame, cooldowns: DataFrame, now: dt.dateti
     """Shops that may be visited, and those still cooling with the time left."""
     until = F.col("blocked_until").cast("timestamp")
     standing = cooldowns.filter(until > _instant(now))
-    keyed = stores.withColumn("_key", F.coalesce(domain_key(F.col("domain")), F.lower(F.trim("domain"))))
+    keyed = stores.withColumn("_key", F.coalesce(domain_key_any(F.col("domain")), F.lower(F.trim("domain"))))
     free = keyed.join(standing.select(F.col("domain").alias("_key")), "_key", "left_anti").drop("_key")
     left = F.unix_millis(until) - F.unix_millis(_instant(now).cast("timestamp"))
     waits = standing.select(F.col("domain").alias("_key"), "blocked_until", "strikes", left.alias("ms_remaining"))

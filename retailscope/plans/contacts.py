@@ -292,9 +292,9 @@ def _kept(spark, sf):
 
 
 @registry.add("rank_contacts", st.with_tables(
-    """SELECT store_id, source_url, contact_rank FROM (SELECT *  EXCLUDE (contact_rank), row_number() OVER (PARTITION BY store_id ORDER BY is_generic, name IS NULL, role IS NULL, confidence DESC, coalesce(email, linkedin_url, ''), coalesce(name, ''), source_url) AS contact_rank FROM c) WHERE contact_rank <= 4""", c=PLAIN))
+    """SELECT store_id, source_url, contact_rank FROM (SELECT *  EXCLUDE (contact_rank), row_number() OVER (PARTITION BY store_id ORDER BY is_generic, name IS NULL, role IS NULL, confidence DESC, coalesce(email, linkedin_url, ''), coalesce(name, ''), source_url) AS contact_rank FROM c)""", c=PLAIN))
 def rank_contacts(spark, sf):
-    return contacts.rank_contacts(run_sql(spark, sf, PLAIN).drop("contact_rank"), top=4).select("store_id", "source_url", "contact_rank")
+    return contacts.rank_contacts(run_sql(spark, sf, PLAIN).drop("contact_rank")).select("store_id", "source_url", "contact_rank")
 
 
 @registry.add("drop_suppressed", st.with_tables(f"SELECT contact_rank FROM ({KEPT})", **SAVE_RELATIONS))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retailscope.operators import findings, grading, walls
-from retailscope.operators.keyed import first_per_key
-from retailscope.functions.ranks import page_rank, severity_rank
 from retailscope.plans import standins as st
 from retailscope.plans.registry import Registry
 from retailscope.session import run_sql, spread
@@ -491,13 +489,12 @@ def union_findings(spark, sf):
     "worst_issue_first",
     st.with_tables(
         """SELECT store_id, id, severity, page, rn FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'MAJOR' THEN 1 ELSE 2 END,
-        CASE page WHEN 'site' THEN 0 WHEN 'homepage' THEN 1 WHEN 'collection' THEN 2 WHEN 'product' THEN 3 WHEN 'cart' THEN 4 WHEN 'checkout' THEN 5 ELSE 6 END, id) AS rn FROM issues) WHERE rn <= 5""",
+        CASE page WHEN 'site' THEN 0 WHEN 'homepage' THEN 1 WHEN 'collection' THEN 2 WHEN 'product' THEN 3 WHEN 'cart' THEN 4 WHEN 'checkout' THEN 5 ELSE 6 END, id) AS rn FROM issues)""",
         issues=st.ISSUES,
     ),
 )
 def worst_issue_first(spark, sf):
-    order = [severity_rank(F.col("severity")), page_rank(F.col("page")), F.col("id")]
-    return first_per_key(run_sql(spark, sf, st.ISSUES), ["store_id"], order, 5, rank="rn").select("store_id", "id", "severity", "page", "rn")
+    return findings.number_worst_first(run_sql(spark, sf, st.ISSUES), ["store_id"], "id", "rn").select("store_id", "id", "severity", "page", "rn")
 
 
 CHECKS = """

@@ -127,6 +127,8 @@ def with_tables(sql: str, **relations: str) -> str:
 
     ctes = ", ".join(f"{name} AS ({plain(text)})" for name, text in relations.items())
     body = sql.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[len('WITH RECURSIVE '):]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"

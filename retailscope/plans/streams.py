@@ -29,7 +29,20 @@ SELECT concat('d', CAST(user_id AS VARCHAR(20)), '.shop') AS domain, ts, CASE WH
 """
 
 
-@registry.add("track_cooldowns")
+COOLDOWNS = """
+WITH RECURSIVE e AS (
+  SELECT domain, epoch_us(ts) // 1000 AS ts, outcome, CASE WHEN retry_after IS NOT NULL THEN least(CAST(retry_after AS BIGINT) * 1000, 86400000) END AS asked, row_number() OVER (PARTITION BY domain ORDER BY epoch_us(ts) // 1000, outcome) AS n FROM refusals
+), fold AS (
+  SELECT DISTINCT domain, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS strikes, CAST(0 AS BIGINT) AS until FROM e
+  UNION ALL
+  SELECT domain, n, CAST(s AS BIGINT), CAST(CASE WHEN s = 0 THEN 0 ELSE ts + greatest(coalesce(asked, 0), least(3600000 * pow(2, s - 1), 86400000)) END AS BIGINT) FROM (
+    SELECT e.domain, e.n, e.ts, e.asked, CASE WHEN outcome = 'ok' THEN 0 WHEN f.until > e.ts THEN f.strikes + 1 ELSE 1 END AS s FROM fold f JOIN e ON e.domain = f.domain AND e.n = f.n + 1)
+)
+SELECT domain, until AS blocked_until_ms, CAST(strikes AS INT) AS strikes FROM fold QUALIFY n = max(n) OVER (PARTITION BY domain) AND until > 0
+"""
+
+
+@registry.add("track_cooldowns", st.with_tables(COOLDOWNS, refusals=REFUSALS))
 def track_cooldowns(spark, sf):
     folder = jobs.stream_folder(spark, "cooldowns")
     query = jobs.write_stream(jobs.track_cooldowns(stream_of(spark, sf, "events", REFUSALS)), os.path.join(folder, "out"), os.path.join(folder, "check"))

@@ -71,7 +71,7 @@ def parse_release_feed(documents: DataFrame, key: str = "theme_key") -> DataFram
         F.posexplode(F.from_json("releases_json", RELEASE_SCHEMA)).alias("_pos", "r"),
     )
     flat = items.select(
-        key, (F.col("page_no").cast("bigint") * 1000 + F.col("_pos")).alias("pos"), "r.tag_name", "r.published_at", "r.prerelease", "r.draft"
+        key, F.struct(F.col("page_no").cast("bigint").alias("page_no"), F.col("_pos").alias("nth")).alias("pos"), "r.tag_name", "r.published_at", "r.prerelease", "r.draft"
     )
     return clean_releases(flat, key)
 

@@ -9,23 +9,29 @@ so a repeated batch replaces itself.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from retailscope.functions.dates import retry_after
+from retailscope.functions.urls import domain_key_any
 from retailscope.operators.ingest import split_new_and_duplicate
 from retailscope.operators.keyed import first_per_key
 from retailscope.operators.runs import run_report
 from retailscope.session import checkpoint_dir
 
+# State functions are sent by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # First wait after a refusal and the longest.
 BASE_WAIT_MS, MAX_WAIT_MS = 3_600_000, 86_400_000
-_COOLDOWN = "domain string, ts_ms bigint, blocked_until_ms bigint, reason string, strikes int, last_status int, cleared boolean"
+_COOLDOWN = "domain string, change_no bigint, ts_ms bigint, blocked_until_ms bigint, reason string, strikes int, last_status int, cleared boolean"
 
 
 def stream_folder(spark: SparkSession, name: str) -> str:
@@ -43,7 +49,7 @@ def _next_wait(strikes: int, blocked_until: int, ts: int, retry_ms: float | None
 
 def _fold_refusals(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts_ms", "outcome"], kind="stable")
-    strikes, until = state.get if state.exists else (0, 0)
+    strikes, until, change = state.get if state.exists else (0, 0, 0)
     last = None
     for row in rows.itertuples(index=False):
         if row.outcome == "refused":
@@ -51,11 +57,11 @@ def _fold_refusals(key: tuple, batches: Iterator[pd.DataFrame], state: GroupStat
         else:
             strikes, until = 0, 0
         last = row
-    state.update((int(strikes), int(until)))
+    state.update((int(strikes), int(until), int(change) + 1))
     status = None if pd.isna(last.status) else int(last.status)
     yield pd.DataFrame(
         {
-            "domain": [key[0]], "ts_ms": [int(last.ts_ms)], "blocked_until_ms": [int(until)], "reason": [last.reason],
+            "domain": [key[0]], "change_no": [int(change) + 1], "ts_ms": [int(last.ts_ms)], "blocked_until_ms": [int(until)], "reason": [last.reason],
             "strikes": [int(strikes)], "last_status": pd.array([status], dtype="Int32"), "cleared": [until == 0],
         }
     )
@@ -68,20 +74,21 @@ def track_cooldowns(events: DataFrame) -> DataFrame:
     retry_after. A refusal while the last wait stands is one more strike and
     doubles the wait up to a day; a longer ``Retry-After`` wins; success clears.
     The order of events decides, so those of one domain and batch are folded
-    together; the trigger bounds how many that are.
+    together; the trigger bounds how many that are. ``change_no`` counts the
+    changes of a domain: the highest is the newest, whatever the events' times.
     """
     flat = events.select(
-        "domain", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "outcome", "reason", F.col("status").cast("int").alias("status"),
+        F.coalesce(domain_key_any(F.col("domain")), F.lower(F.trim("domain"))).alias("domain"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "outcome", "reason", F.col("status").cast("int").alias("status"),
         (retry_after(F.col("retry_after"), F.col("ts")) * 1000).cast("double").alias("retry_ms"),
     )
     return flat.groupBy("domain").applyInPandasWithState(
-        _fold_refusals, _COOLDOWN, "strikes int, blocked_until bigint", "append", GroupStateTimeout.NoTimeout
+        _fold_refusals, _COOLDOWN, "strikes int, blocked_until bigint, change_no bigint", "append", GroupStateTimeout.NoTimeout
     )
 
 
 def newest_cooldowns(spark: SparkSession, path: str) -> DataFrame:
     """Waits still on record: the newest state of each domain, not cleared."""
-    newest = first_per_key(spark.read.schema(_COOLDOWN).parquet(path), ["domain"], [F.col("ts_ms").desc()])
+    newest = first_per_key(spark.read.schema(_COOLDOWN).parquet(path), ["domain"], [F.col("change_no").desc()])
     return newest.filter(~F.col("cleared")).withColumn("blocked_until", F.timestamp_millis("blocked_until_ms"))
 
 
