@@ -283,9 +283,10 @@ LEADS = "SELECT c_custkey AS store_id, concat('s', CAST(c_custkey AS VARCHAR(20)
     st.with_tables(
         FACTS
         + """, sheets AS (SELECT store_id, string_agg(concat('  [', fact_id, '] ', text), chr(10) ORDER BY fact_no) AS s FROM n WHERE fact_no <= 12 GROUP BY 1),
-        p AS (SELECT l.store_id, concat('Shop: ', name, ' (', domain, ')', chr(10), 'Write in: ', CASE WHEN country = 'pl' THEN 'Polish' ELSE 'English' END, chr(10),
-            CASE WHEN contact_name IS NULL THEN 'Write to: nobody was named — open with the shop, do not invent a name' ELSE concat('Write to: Anna', CASE WHEN contact_role IS NULL THEN '' ELSE ', CEO' END) END, chr(10), chr(10), 'Why this shop is a lead: ', category,
-            CASE WHEN reason IS NULL THEN '' ELSE ' — slow' END, chr(10), chr(10), 'Facts you may use. Cite the ids of the ones you use, and use nothing else:', chr(10), coalesce(s, '  (no facts were gathered for this shop)')) AS prompt FROM leads l LEFT JOIN sheets USING (store_id))
+        p AS (SELECT l.store_id, concat_ws(chr(10), concat('Recipient shop: ', name, ', ', domain), concat('Language: ', CASE WHEN country = 'pl' THEN 'Polish' ELSE 'English' END),
+            concat('Salutation: ', CASE WHEN contact_name IS NULL THEN 'no name known, address the shop' WHEN contact_role IS NULL THEN 'Anna' ELSE 'Anna, CEO' END),
+            concat(chr(10), 'Reason for contact: ', concat_ws('; ', category, reason)), concat(chr(10), 'Permitted facts, cited by id; nothing beyond them:'), coalesce(s, '  (none on file)')) AS prompt
+          FROM leads l LEFT JOIN sheets USING (store_id))
         SELECT store_id, prompt, substr(sha256(concat('Write.', chr(10), '---', chr(10), prompt)), 1, 16) AS prompt_hash FROM p""",
         leads=LEADS,
         **FACT_RELATIONS,
@@ -353,7 +354,7 @@ def nearest_earlier_text(spark, sf):
 
 
 CATEGORISED = "SELECT o_orderkey AS store_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'HEALTHY_STORE' WHEN '2-HIGH' THEN 'SKIP' WHEN '3-MEDIUM' THEN 'ODD' ELSE 'UX_PROBLEMS' END AS category FROM {orders}"
-GATE = "CASE category WHEN 'HEALTHY_STORE' THEN 'the audit found little wrong, and a letter would have to invent a reason to write' WHEN 'SKIP' THEN 'the shop was skipped by rule' END"
+GATE = "CASE category WHEN 'HEALTHY_STORE' THEN 'nothing to point out: its audit is nearly clean' WHEN 'SKIP' THEN 'a rule excludes it' END"
 
 
 @registry.add("gate_letters", st.with_tables(f"SELECT store_id, {GATE} AS gate_reason, {GATE} IS NULL AS write FROM c", c=CATEGORISED))
@@ -417,8 +418,8 @@ def _verdicts(spark, sf):
 
 
 VERDICTS = f"""
-SELECT r.draft_id, nullif(concat_ws(' ', CASE WHEN pr = '5-LOW' THEN 'facts: The reviewer did not return a usable verdict.' WHEN pr = '2-HIGH' THEN 'facts: r1' END, CASE WHEN c.word_count < 80 OR c.word_count > 150 THEN concat('length: ', c.word_count, ' words (80–150 allowed)') END,
-    CASE WHEN similarity >= 0.4 THEN concat('repetition: ', CAST(floor(similarity * 100 + 0.5) AS BIGINT), '% similar to an earlier letter (threshold 40%)') END), '') AS failures FROM r JOIN ({CHECKED}) c ON c.draft_id = r.draft_id
+SELECT r.draft_id, nullif(concat_ws(' ', CASE WHEN pr = '5-LOW' THEN 'facts: review unreadable' WHEN pr = '2-HIGH' THEN 'facts: r1' END, CASE WHEN c.word_count < 80 OR c.word_count > 150 THEN concat('length: ', c.word_count, ' of 80 to 150 words') END,
+    CASE WHEN similarity >= 0.4 THEN concat('repetition: shares ', CAST(floor(similarity * 100 + 0.5) AS BIGINT), '% with an earlier one, limit 40%') END), '') AS failures FROM r JOIN ({CHECKED}) c ON c.draft_id = r.draft_id
 """
 
 
@@ -440,3 +441,19 @@ def merge_verdicts(spark, sf):
 def decide_letter_status(spark, sf):
     gates = letters.gate_letters(run_sql(spark, sf, CATEGORISED))
     return letters.decide_letter_status(_drafts(spark, sf), gates, _checked(spark, sf), _verdicts(spark, sf)).select("draft_id", "status")
+
+
+@registry.add(
+    "review_prompts",
+    st.with_tables(
+        FACTS
+        + """, sheets AS (SELECT store_id, string_agg(concat('  [', fact_id, '] ', text), chr(10) ORDER BY fact_no) AS s FROM n WHERE fact_no <= 12 GROUP BY 1)
+        SELECT l.store_id, concat_ws(chr(10), 'Reason for contact: UX_PROBLEMS', concat('Salutation expected: ', CASE WHEN contact_name IS NULL THEN 'none, as no name was known' ELSE 'Anna' END), 'Permitted facts:', coalesce(s, '  (none on file)'),
+            concat('Subject under review: About ', name), 'Text under review:', concat('Hello ', domain)) AS prompt FROM leads l LEFT JOIN sheets USING (store_id)""",
+        leads=LEADS,
+        **FACT_RELATIONS,
+    ),
+)
+def review_prompts(spark, sf):
+    drafts = run_sql(spark, sf, LEADS).withColumns({"draft_id": F.col("store_id"), "subject": F.concat(F.lit("About "), "name"), "body": F.concat(F.lit("Hello "), "domain")})
+    return documents.review_prompts(drafts, documents.render_fact_sheets(facts(spark, sf)), "Check.").select("store_id", "prompt")
