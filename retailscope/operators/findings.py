@@ -216,7 +216,7 @@ def grade_navigations(fetches: DataFrame, keys: Sequence[str] = ("audit_id", "st
     failed = c("error").isNotNull() & (c("error") != "")
     rules = [
         Rule(failed, "technical", "CRITICAL", F.when(c("availability") == "timeout", F.lit("Page did not finish loading")).otherwise(F.lit("Page could not be opened")), c("error"), {"text": c("error"), "actual": say(c("duration_ms"), "ms elapsed")}),
-        Rule(~failed & c("status").isNull(), "technical", "CRITICAL", "Page could not be opened", "The browser returned no response for this URL"),
+        Rule(~failed & c("status").isNull(), "technical", "CRITICAL", "Page could not be opened", "There was no answer"),
         Rule(c("availability") == "http_error", "technical", F.when(c("status") >= 500, F.lit("CRITICAL")).otherwise(F.lit("MAJOR")), say("Page returns HTTP ", c("status")), None, {"status": c("status"), "expected": "200", "actual": c("status").cast("string")}),
     ]
     whole = classify_navigations(fetches).withColumn("error", F.coalesce("error", F.lit("")))
@@ -255,9 +255,9 @@ def audit_verdict(audits: DataFrame, pages: DataFrame, checks: DataFrame) -> Dat
     )
     reason = (
         F.when(c("status") == "BLOCKED", F.trim(F.concat(F.lit("blocked by "), F.coalesce("vendor", F.lit("bot protection")), F.lit(": "), F.coalesce("signal", F.lit("")))))
-        .when(c("status") == "FAILED", F.lit("the homepage could not be opened"))
-        .when((c("status") == "PARTIAL") & (n > 0), F.concat(n.cast("string"), F.lit(" check(s) failed: "), F.array_join("failed_checks", ", ")))
-        .when(c("status") == "PARTIAL", F.lit("not every key page could be found"))
+        .when(c("status") == "FAILED", F.lit("no homepage"))
+        .when((c("status") == "PARTIAL") & (n > 0), F.concat(n.cast("string"), F.lit(" failed: "), F.array_join("failed_checks", ", ")))
+        .when(c("status") == "PARTIAL", F.lit("a key page is missing"))
     )
     return (
         audits.join(seen, "audit_id", "left").join(failed, "audit_id", "left")

@@ -54,17 +54,17 @@ FROM {{lineitem}}
     rules_sql(
         "facts",
         [
-            ("noindex", "page", "seo", "CRITICAL", "Page is excluded from search engines", "'A robots meta tag tells Google not to index this page'"),
+            ("noindex", "page", "seo", "CRITICAL", "Page is excluded from search engines", "'Its robots meta tag carries noindex'"),
             ("title = ''", "page", "seo", "MAJOR", "Page has no title tag"),
             ("title <> '' AND (title_length < 15 OR title_length > 65)", "page", "seo", "MINOR", "Page title is the wrong length", "''", "CAST(title_length AS VARCHAR)", "'15–65 characters'"),
-            ("description IS NULL", "page", "seo", "MAJOR", "Page has no meta description", "'Google then invents the snippet shown in the results'"),
+            ("description IS NULL", "page", "seo", "MAJOR", "Page has no meta description", "'Search results show an arbitrary excerpt instead'"),
             ("description IS NOT NULL AND NOT description_length BETWEEN 50 AND 165", "page", "seo", "MINOR", "Meta description is the wrong length", "''", "CAST(description_length AS VARCHAR)", "'50–165 characters'"),
             ("h1_count = 0", "page", "seo", "MAJOR", "Page has no H1 heading"),
             ("h1_count > 1", "page", "seo", "MINOR", "Page has more than one H1", "''", "concat(h1_count, ' H1 headings')"),
-            ("canonical IS NULL", "page", "seo", "MINOR", "No canonical URL", "'Filter and sort parameters then create duplicate pages in the index'"),
+            ("canonical IS NULL", "page", "seo", "MINOR", "No canonical URL", "'Copies under other parameters compete with it'"),
             ("lang = ''", "page", "seo", "MINOR", "The page does not declare its language"),
-            ("page = 'product' AND type_name <> 'Product'", "page", "seo", "MAJOR", "Product page has no Product structured data", "'Without it Google shows no price, availability or rating in the results'", "CASE WHEN type_name = '' THEN 'no structured data' ELSE type_name END", "'schema.org Product'"),
-            ("images > 0 AND images_with_alt / images < 0.7", "page", "seo", "MINOR", "Images have no alt text", "'Alt text is what image search reads and what a screen reader speaks'", "concat(images_with_alt, ' of ', images)", "'70% of images'"),
+            ("page = 'product' AND type_name <> 'Product'", "page", "seo", "MAJOR", "Product page has no Product structured data", "'Rich results need it for price, stock and rating'", "CASE WHEN type_name = '' THEN 'no structured data' ELSE type_name END", "'schema.org Product'"),
+            ("images > 0 AND images_with_alt / images < 0.7", "page", "seo", "MINOR", "Images have no alt text", "'Image search and screen readers have nothing to go by'", "concat(images_with_alt, ' of ', images)", "'70% of images'"),
         ],
         facts=SEO,
     ),
@@ -82,7 +82,7 @@ SITE = "SELECT s_suppkey AS audit_id, s_nationkey AS store_id, concat('https://'
     rules_sql(
         "facts",
         [
-            ("robots_blocks_all", "site", "seo", "CRITICAL", "robots.txt blocks the whole site", "'Every crawler is told to stay out, so the shop cannot appear in search at all'"),
+            ("robots_blocks_all", "site", "seo", "CRITICAL", "robots.txt blocks the whole site", "'A rule for all agents disallows the root'"),
             ("NOT has_sitemap", "site", "seo", "MAJOR", "No sitemap.xml", "''", "''", "'an XML sitemap'"),
             ("NOT has_robots", "site", "seo", "MINOR", "No robots.txt"),
         ],
@@ -108,19 +108,19 @@ FROM {{lineitem}}
     rules_sql(
         "facts",
         [
-            ("NOT has_add_button", "product", "cro", "CRITICAL", "No add to cart button", "'The product cannot be bought from its own page'", "'none found'", "'an add-to-cart button'"),
-            ("has_add_button AND NOT add_enabled AND NOT sold_out", "product", "cro", "CRITICAL", "Add to cart button is disabled", "'The button is present but cannot be clicked, and the product is not marked sold out'", "'disabled'"),
+            ("NOT has_add_button", "product", "cro", "CRITICAL", "No add to cart button", "'No control on the page puts the product into a cart'", "'none found'", "'an add-to-cart button'"),
+            ("has_add_button AND NOT add_enabled AND NOT sold_out", "product", "cro", "CRITICAL", "Add to cart button is disabled", "'Its button is inactive although stock is not said to be gone'", "'disabled'"),
             ("NOT has_price", "product", "cro", "CRITICAL", "Product page shows no price", "''", "'none found'", "'a price'"),
             ("images = 0", "product", "ux", "MAJOR", "Product page has no photo"),
-            ("images = 1", "product", "cro", "MINOR", "Only one product photo", "'Buyers who cannot see the product from several angles hesitate'", "'1 image'"),
-            ("has_variants AND variants_disabled", "product", "cro", "MAJOR", "Variant selection is disabled", "'Sizes or colours cannot be chosen, so only one variant can be bought'", "concat(variant_options, ' option(s), control disabled')"),
+            ("images = 1", "product", "cro", "MINOR", "Only one product photo", "'A single view leaves questions open'", "'1 image'"),
+            ("has_variants AND variants_disabled", "product", "cro", "MAJOR", "Variant selection is disabled", "'The control for options is inactive'", "concat(variant_options, ' option(s), control disabled')"),
             ("NOT has_quantity", "product", "cro", "MINOR", "No quantity selector"),
-            ("NOT has_express", "product", "cro", "MINOR", "No express checkout button", "'Shopify’s dynamic checkout button removes a step for returning buyers'"),
-            ("description_chars < 120", "product", "cro", "MAJOR", "CASE WHEN description_chars = 0 THEN 'No product description' ELSE 'Product description is too short' END", "concat('The description holds ', description_chars, ' characters')", "CAST(description_chars AS VARCHAR)", "'at least 120 characters'"),
-            ("NOT has_reviews", "product", "cro", "MINOR", "No reviews or ratings", "'Nothing on the page shows what other buyers thought'"),
+            ("NOT has_express", "product", "cro", "MINOR", "No express checkout button", "'Known buyers have no short way to pay'"),
+            ("description_chars < 120", "product", "cro", "MAJOR", "CASE WHEN description_chars = 0 THEN 'No product description' ELSE 'Product description is too short' END", "concat('Length of the text: ', description_chars, ' characters')", "CAST(description_chars AS VARCHAR)", "'at least 120 characters'"),
+            ("NOT has_reviews", "product", "cro", "MINOR", "No reviews or ratings", "'Opinions of buyers are absent'"),
             ("NOT has_delivery", "product", "cro", "MINOR", "No delivery information on the product page"),
             ("NOT has_returns", "product", "cro", "MINOR", "No returns information on the product page"),
-            ("related = 0", "product", "cro", "MINOR", "No related products or upsell", "'The page is a dead end: nothing else from the shop is offered'"),
+            ("related = 0", "product", "cro", "MINOR", "No related products or upsell", "'It leads to no other product'"),
         ],
         facts=PRODUCT,
     ),
@@ -143,14 +143,14 @@ FROM {{lineitem}}
     rules_sql(
         "facts",
         [
-            ("cards = 0", "collection", "cro", "CRITICAL", "Collection page shows no products", "'No product cards were found on the category page'", "'0 cards'", "'at least one product card'"),
-            ("cards > 0 AND with_image < cards", "collection", "ux", "MAJOR", "Product cards without an image", "concat(cards - with_image, ' of ', cards, ' cards show no picture')", "CAST(with_image AS VARCHAR)", "concat(cards, ' images')"),
-            ("cards > 0 AND with_price < cards", "collection", "cro", "MAJOR", "Product cards without a price", "concat(cards - with_price, ' of ', cards, ' cards show no price')", "CASE WHEN viewport = 'mobile' THEN '' ELSE concat(with_price, ' of ', cards, ' cards priced') END", "''", "CASE WHEN viewport = 'mobile' THEN 2 ELSE 1 END"),
+            ("cards = 0", "collection", "cro", "CRITICAL", "Collection page shows no products", "'The listing has no card'", "'0 cards'", "'at least one product card'"),
+            ("cards > 0 AND with_image < cards", "collection", "ux", "MAJOR", "Product cards without an image", "concat(cards - with_image, ' of ', cards, ' without a picture')", "CAST(with_image AS VARCHAR)", "concat(cards, ' images')"),
+            ("cards > 0 AND with_price < cards", "collection", "cro", "MAJOR", "Product cards without a price", "concat(cards - with_price, ' of ', cards, ' without a price')", "CASE WHEN viewport = 'mobile' THEN '' ELSE concat(with_price, ' of ', cards, ' cards priced') END", "''", "CASE WHEN viewport = 'mobile' THEN 2 ELSE 1 END"),
             ("cards > 0 AND sold_out = cards", "collection", "cro", "MAJOR", "Every product in the collection is sold out", "''", "concat(sold_out, ' of ', cards, ' marked unavailable')"),
             ("cards >= 12 AND NOT has_filters", "collection", "cro", "MINOR", "No filters on a long product list", "''", "concat(cards, ' products, no filter controls')"),
             ("cards >= 12 AND NOT has_sorting", "collection", "cro", "MINOR", "No sorting on a long product list", "''", "concat(cards, ' products, no sort control')"),
-            ("cards >= 24 AND NOT has_pagination", "collection", "ux", "MAJOR", "No pagination on a full collection page", "'The page is full but offers no way to reach the rest of the catalogue'", "concat(cards, ' products, no pagination or load-more')"),
-            ("cards > 0 AND NOT has_quick_add", "collection", "cro", "MINOR", "No quick add to cart on the listing", "'Every purchase needs a detour through the product page'"),
+            ("cards >= 24 AND NOT has_pagination", "collection", "ux", "MAJOR", "No pagination on a full collection page", "'Further products are out of reach'", "concat(cards, ' products, no pagination or load-more')"),
+            ("cards > 0 AND NOT has_quick_add", "collection", "cro", "MINOR", "No quick add to cart on the listing", "'Cards have no button of their own to buy'"),
         ],
         facts=LISTING,
     ),
@@ -179,13 +179,13 @@ FROM {{lineitem}}
     rules_sql(
         "facts",
         [
-            ("NOT added AND add_before IS NOT NULL AND add_after IS NOT NULL", "cart", "cro", "CRITICAL", "Adding to cart does not work", "coalesce(add_error, 'The add-to-cart button was clicked but the cart did not change')", "concat(add_before, ' → ', add_after, ' items')", "'the cart gains an item'"),
+            ("NOT added AND add_before IS NOT NULL AND add_after IS NOT NULL", "cart", "cro", "CRITICAL", "Adding to cart does not work", "coalesce(add_error, 'The cart counted the same before and after')", "concat(add_before, ' → ', add_after, ' items')", "'the cart gains an item'"),
             ("added AND NOT has_lines", "cart", "technical", "CRITICAL", "Cart page does not show the added item", "''", "concat(coalesce(CAST(item_count AS VARCHAR), '?'), ' items in the cart API')"),
             ("added AND NOT has_quantity", "cart", "ux", "MAJOR", "Quantity cannot be changed in the cart"),
             ("added AND has_quantity AND quantity_tried AND NOT quantity_changed", "cart", "technical", "MAJOR", "Changing the quantity has no effect", "''", "concat(coalesce(CAST(quantity_after AS VARCHAR), '?'), ' items after the update')", "'2 items'"),
             ("added AND NOT has_remove", "cart", "ux", "MAJOR", "Items cannot be removed from the cart"),
             ("added AND has_remove AND remove_tried AND NOT removed", "cart", "technical", "MAJOR", "Removing an item has no effect", "''", "concat(remove_before, ' → ', coalesce(CAST(remove_after AS VARCHAR), '?'), ' items')"),
-            ("added AND NOT has_delivery_estimate", "cart", "cro", "MINOR", "No delivery cost shown in the cart", "'Buyers who first see the shipping cost at checkout abandon more often'"),
+            ("added AND NOT has_delivery_estimate", "cart", "cro", "MINOR", "No delivery cost shown in the cart", "'Its price of delivery is unknown until later'"),
             ("added AND NOT has_checkout", "cart", "cro", "CRITICAL", "No checkout button in the cart"),
             ("added AND has_checkout AND checkout_clicked AND NOT checkout_reached", "cart", "cro", "CRITICAL", "Checkout button does not reach the checkout", "''", "coalesce(checkout_url, 'no navigation')", "'a /checkout URL'"),
         ],
@@ -209,13 +209,13 @@ FROM {{lineitem}}
     rules_sql(
         "facts",
         [
-            ("NOT opened", "checkout", "cro", "CRITICAL", "Checkout does not open", "'The shop cannot take an order: the checkout step never loaded'", "''", "'a checkout form'"),
+            ("NOT opened", "checkout", "cro", "CRITICAL", "Checkout does not open", "'The step did not load'", "''", "'a checkout form'"),
             ("opened AND shows_error", "checkout", "technical", "CRITICAL", "Checkout shows an error message", "''", "''", "''", "2"),
-            ("opened AND NOT has_email_field AND NOT has_address_fields", "checkout", "cro", "MAJOR", "Checkout has no data-entry form", "'Neither a contact nor an address field was found on the checkout step'"),
-            ("opened AND requires_login", "checkout", "cro", "MAJOR", "No guest checkout", "'Buyers are forced to create an account before they can pay'"),
+            ("opened AND NOT has_email_field AND NOT has_address_fields", "checkout", "cro", "MAJOR", "Checkout has no data-entry form", "'It asks for neither e-mail nor address'"),
+            ("opened AND requires_login", "checkout", "cro", "MAJOR", "No guest checkout", "'It asks for an account first'"),
             ("opened AND has_country_select AND NOT has_target_country", "checkout", "cro", "MAJOR", "Checkout does not offer PL as a delivery country", "''", "concat(country_options, ' countries listed, none matching')", "'PL'"),
             ("opened AND NOT has_local_currency", "checkout", "cro", "MINOR", "Checkout does not show prices in the local currency", "''", "''", "'zł / PLN'"),
-            ("opened AND has_unlabelled", "checkout", "ux", "MINOR", "Required checkout fields have no label", "'Unlabelled mandatory fields are a common cause of abandoned checkouts'"),
+            ("opened AND has_unlabelled", "checkout", "ux", "MINOR", "Required checkout fields have no label", "'Their purpose has to be guessed'"),
         ],
         facts=CHECKOUT,
     ),
@@ -242,10 +242,10 @@ LOUD = "CASE WHEN viewport = 'mobile' THEN 'MAJOR' ELSE 'MINOR' END"
     rules_sql(
         "facts",
         [
-            ("overflow_by > 4", "page", "ux", LOUD, "Page scrolls sideways", "concat('The layout is ', overflow_by, 'px wider than the 360px screen')", "'400px'", "'360px'"),
-            ("viewport = 'mobile' AND small_tap_count > 0", "page", "ux", "CASE WHEN small_tap_count > 5 THEN 'MAJOR' ELSE 'MINOR' END", "Tap targets are too small", "concat(small_tap_count, ' control(s) are under 44px')", "'20x30px'", "'44x44px'"),
-            ("overlapping", "page", "ux", LOUD, "Controls overlap each other", "'Elements sit on top of one another, so a tap can hit the wrong one'"),
-            ("viewport = 'mobile' AND small_font_count > 5", "page", "ux", "MINOR", "Text is too small to read on a phone", "concat(small_font_count, ' element(s) render below 12px')", "''", "''", "0"),
+            ("overflow_by > 4", "page", "ux", LOUD, "Page scrolls sideways", "concat('Wider by ', overflow_by, 'px than its screen of 360px')", "'400px'", "'360px'"),
+            ("viewport = 'mobile' AND small_tap_count > 0", "page", "ux", "CASE WHEN small_tap_count > 5 THEN 'MAJOR' ELSE 'MINOR' END", "Tap targets are too small", "concat(small_tap_count, ' below 44px')", "'20x30px'", "'44x44px'"),
+            ("overlapping", "page", "ux", LOUD, "Controls overlap each other", "'Their boxes intersect'"),
+            ("viewport = 'mobile' AND small_font_count > 5", "page", "ux", "MINOR", "Text is too small to read on a phone", "concat(small_font_count, ' text(s) below 12px')", "''", "''", "0"),
         ],
         facts=RESPONSIVE,
     ),
@@ -272,9 +272,9 @@ SELECT {KEYS}, {PLACE}, 'homepage' AS page, l_tax > 0.02 AS banner_found, l_disc
     rules_sql(
         "facts",
         [
-            ("banner_found AND NOT banner_dismissed", "page", "ux", "MAJOR", "Cookie banner cannot be dismissed", "'Clicking the accept button left the banner on screen'"),
-            ("NOT banner_found AND NOT banner_detected", "page", "technical", "MINOR", "No cookie consent banner", "'A shop selling to EU customers is expected to ask for consent before tracking'"),
-            ("coverage >= 0.4", "page", "cro", LOUD, "A popup covers the page", "'An overlay hides the content right after opening the page'", "concat(CAST(floor(coverage * 100 + 0.5) AS INT), '% of the viewport')"),
+            ("banner_found AND NOT banner_dismissed", "page", "ux", "MAJOR", "Cookie banner cannot be dismissed", "'It stayed after its button was pressed'"),
+            ("NOT banner_found AND NOT banner_detected", "page", "technical", "MINOR", "No cookie consent banner", "'No request for consent was seen'"),
+            ("coverage >= 0.4", "page", "cro", LOUD, "A popup covers the page", "'It was there when the page had loaded'", "concat(CAST(floor(coverage * 100 + 0.5) AS INT), '% of the viewport')"),
         ],
         facts=OVERLAY,
     ),
@@ -296,12 +296,12 @@ NO_TOGGLE = "NOT (viewport = 'mobile' AND has_toggle)"
     rules_sql(
         "facts",
         [
-            (f"nav_links < 3 AND NOT ({NO_TOGGLE}) AND links_after_toggle < 3", "page", "ux", "CRITICAL", "Mobile menu does not open", "'The menu button is present but opening it reveals no navigation links'", "concat(links_after_toggle, ' links')", "'at least 3 links'"),
-            (f"nav_links < 3 AND {NO_TOGGLE}", "page", "ux", "MAJOR", "No usable navigation menu", "CASE WHEN has_nav THEN 'A navigation element exists but shows almost no links' ELSE 'The page has no navigation element' END", "concat(nav_links, ' links: ', link_text)", "'at least 3 visible links'"),
-            ("NOT has_search", "page", "cro", "MAJOR", "No product search", "'Visitors who know what they want have no way to look for it'", "''", "'a search field or /search link'"),
+            (f"nav_links < 3 AND NOT ({NO_TOGGLE}) AND links_after_toggle < 3", "page", "ux", "CRITICAL", "Mobile menu does not open", "'Its button was pressed and too few links came up'", "concat(links_after_toggle, ' links')", "'at least 3 links'"),
+            (f"nav_links < 3 AND {NO_TOGGLE}", "page", "ux", "MAJOR", "No usable navigation menu", "CASE WHEN has_nav THEN 'There is a navigation element with too few links' ELSE 'There is no navigation element' END", "concat(nav_links, ' links: ', link_text)", "'at least 3 visible links'"),
+            ("NOT has_search", "page", "cro", "MAJOR", "No product search", "'Neither a field nor a link to search was seen'", "''", "'a search field or /search link'"),
             ("NOT has_header", "page", "ux", "MINOR", "No page header"),
             ("NOT has_footer", "page", "ux", "MINOR", "No page footer"),
-            ("has_footer AND link_text = 'Blog'", "page", "ux", "MINOR", "Footer has no policy or contact links", "'Shipping, returns, privacy and contact links are what buyers look for before paying'", "'Blog'", "'regulamin / polityka prywatności / kontakt'"),
+            ("has_footer AND link_text = 'Blog'", "page", "ux", "MINOR", "Footer has no policy or contact links", "'None of its links names terms, privacy, delivery, returns or contact'", "'Blog'", "'regulamin / polityka prywatności / kontakt'"),
         ],
         facts=STRUCTURE,
     ),
@@ -531,8 +531,8 @@ FEW_CHECKS = CHECKS.replace("l_tax > 0.06", "l_tax > 0.07")
         s AS (SELECT a.*, n, names, CASE WHEN blocked THEN 'BLOCKED' WHEN NOT coalesce(h, false) THEN 'FAILED' WHEN n > 0 OR NOT p OR NOT c THEN 'PARTIAL' ELSE 'OK' END AS status
               FROM audits a LEFT JOIN seen USING (audit_id) LEFT JOIN f USING (audit_id))
         SELECT audit_id, status, CASE WHEN status = 'BLOCKED' THEN trim(concat('blocked by ', coalesce(vendor, 'bot protection'), ': ', coalesce(signal, '')))
-            WHEN status = 'FAILED' THEN 'the homepage could not be opened' WHEN status = 'PARTIAL' AND n > 0 THEN concat(n, ' check(s) failed: ', names)
-            WHEN status = 'PARTIAL' THEN 'not every key page could be found' END AS reason FROM s""",
+            WHEN status = 'FAILED' THEN 'no homepage' WHEN status = 'PARTIAL' AND n > 0 THEN concat(n, ' failed: ', names)
+            WHEN status = 'PARTIAL' THEN 'a key page is missing' END AS reason FROM s""",
         audits=AUDIT_HEADS,
         pages_seen=AUDIT_PAGES,
         checks=FEW_CHECKS,
