@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailscope.llm import decontaminate, language, sentencepieces, simhash, suffixes
 from retailscope.session import table
 
 
+def _kept(docs: DataFrame, *leave_out: str) -> Column:
+    """The columns of the documents as one, so that their names meet no name of a result."""
+    return F.struct(*[c for c in docs.columns if c not in leave_out]).alias("_kept")
+
+
+def _restored(found: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    return found.select(*[new[c].alias(c) if c in new else F.col("_kept")[c].alias(c) for c in docs.columns])
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; null texts and those without a letter go. ``lang`` stays as it was."""
     languages, chances = language.learn(docs)
-    found = language.predict(docs, languages, chances, carry=tuple(docs.columns))
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*[F.col(c) for c in docs.columns])
+    found = language.predict(docs.select("text", _kept(docs)), languages, chances, carry=("_kept",))
+    return _restored(found.where(F.col("lang_pred") != language.UNKNOWN), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +39,20 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A character of which only some bytes would go stays whole. ``n_chars`` follows the text; a document of which nothing
     is left goes.
     """
-    carry = tuple(c for c in docs.columns if c != "text")
-    found = suffixes.find_repeats(docs.withColumn("_no_text", F.col("text").isNull()), (*carry, "_no_text"), characters=True)
+    rows = docs.select("doc_id", "text", _kept(docs, "text"), F.col("text").isNull().alias("_no_text"))
+    found = suffixes.find_repeats(rows, ("_kept", "_no_text"), characters=True)
     cut, rest = F.size("spans") > 0, F.col("kept").cast("string")
     found = found.where(~cut | (F.octet_length("kept") > 0))
-    own = {"text": F.when(~F.col("_no_text"), rest), "n_chars": F.when(cut, F.length(rest).cast("long")).otherwise(F.col("n_chars"))}
-    return found.select(*[own[c].alias(c) if c in own else F.col(c) for c in docs.columns])
+    n_chars = F.when(cut, F.length(rest).cast("long"))
+    if "n_chars" in docs.columns:
+        n_chars = F.coalesce(n_chars, F.col("_kept")["n_chars"])
+    return _restored(found, docs, text=F.when(~F.col("_no_text"), rest), n_chars=n_chars)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside a benchmark window, unchanged."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), carry=tuple(docs.columns))
-    return found.where("n_hit = 0").select(*[F.col(c) for c in docs.columns])
+    found = decontaminate.find_contamination(docs.select("text", _kept(docs)), table(spark, sf_dir, "benchmark"), carry=("_kept",))
+    return _restored(found.where("n_hit = 0"), docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
