@@ -285,44 +285,38 @@ def _json_ld_emails(documents: pd.Series) -> pd.Series:
 
 _CANDIDATES = "array<struct<email:string,source:string,evidence:string>>"
 EVIDENCE_PADDING = 60
+# No pattern matches fewer characters, so a match and its neighbours fill what is shown around it.
+MIN_MATCH = 4
 
 
-def scan(df: DataFrame, name: str, text: str, pattern: str, only_if: Column, kind: str, build) -> DataFrame:
+def scan(df: DataFrame, name: str, text: str, pattern: str, only_if: Column, kind: str, build, near: int = EVIDENCE_PADDING) -> DataFrame:
     """Adds the matches of a pattern in a text column, each built into a struct.
 
-    ``build(match, at)`` gets a match and its position. Matches, the gaps
-    between them and their positions are columns of their own, so each text is
-    scanned once.
+    ``build(match, seen)`` gets a match, ``seen.evidence`` (the text around it,
+    with ellipses where it was cut) and ``seen.near`` (``near`` characters on
+    both sides and itself). These are put together from the next few matches
+    and gaps, so the work is linear in the matches of a text.
     """
+    neighbours = max(near, EVIDENCE_PADDING) // MIN_MATCH + 1
     none = F.array().cast("array<string>")
-    w, g, t = F.col(f"_w_{name}"), F.col(f"_g_{name}"), F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    w, g, led, followed = (F.col(f"_{k}_{name}") for k in "wglf")
 
-    def step(acc: Column, i: Column) -> Column:
-        here = acc["at"] + F.length(g[i])
-        return F.struct((here + F.length(w[i])).alias("at"), F.array_append(acc["starts"], here).alias("starts"))
+    def evidence(m: Column, i: Column) -> Column:
+        before = F.concat(F.array_join(F.slice(led, F.greatest(i - neighbours, F.lit(0)) + 1, F.least(i, F.lit(neighbours))), ""), g[i])
+        after = F.concat(g[i + 1], F.array_join(F.slice(followed, i + 2, F.lit(neighbours)), ""))
+        cut = lambda side: F.when(F.length(side) > EVIDENCE_PADDING, F.lit("…")).otherwise(F.lit(""))
+        around = lambda n: F.concat(F.right(before, F.lit(n)), m, F.left(after, F.lit(n)))
+        return F.struct(F.concat(cut(before), F.trim(around(EVIDENCE_PADDING)), cut(after)).alias("evidence"), around(near).alias("near"))
 
     some = F.size(w) > 0
-    return (
-        df.withColumn(f"_w_{name}", F.when(only_if, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none))
-        .withColumn(f"_g_{name}", F.when(some, F.split(t, pattern)).otherwise(none))
-        .withColumn(
-            f"_s_{name}",
-            F.when(some, F.aggregate(F.sequence(F.lit(0), F.size(w) - 1), start, step)["starts"]).otherwise(F.array().cast("array<int>")),
-        )
-        .withColumn(name, F.when(some, F.zip_with(w, f"_s_{name}", build)).otherwise(F.array().cast(kind)))
-    )
-
-
-def around(text: Column, match: Column, at: Column, padding: int = EVIDENCE_PADDING) -> Column:
-    """A match with the text on both sides, ellipses where it was cut."""
-    begin = F.greatest(at - padding, F.lit(0))
-    end = F.least(at + F.length(match) + padding, F.length(text))
-    return F.concat(
-        F.when(begin > 0, F.lit("…")).otherwise(F.lit("")),
-        F.trim(F.substring(text, begin + 1, end - begin)),
-        F.when(end < F.length(text), F.lit("…")).otherwise(F.lit("")),
-    )
+    staged = df.withColumn(f"_w_{name}", F.when(only_if, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(none))
+    staged = staged.withColumn(f"_g_{name}", F.when(some, F.split(F.col(text), pattern)).otherwise(none))
+    staged = staged.withColumns({
+        f"_l_{name}": F.when(some, F.zip_with(F.slice(g, F.lit(1), F.size(w)), w, lambda a, b: F.concat(a, b))).otherwise(none),
+        f"_f_{name}": F.when(some, F.zip_with(w, F.slice(g, F.lit(2), F.size(w)), lambda a, b: F.concat(a, b))).otherwise(none),
+    })
+    staged = staged.withColumn(f"_e_{name}", F.when(some, F.transform(w, evidence)))
+    return staged.withColumn(name, F.when(some, F.zip_with(w, f"_e_{name}", build)).otherwise(F.array().cast(kind)))
 
 
 def extract_emails(pages: DataFrame, page_keys: Sequence[str] = ("page_id",)) -> DataFrame:
@@ -350,16 +344,14 @@ def extract_emails(pages: DataFrame, page_keys: Sequence[str] = ("page_id",)) ->
     bracketed = F.col("_text").rlike("(?iu)[(\\[{<]\\s*(?:at|malpa|małpa|dot|kropka)\\s*[)\\]}>]")
     worded = F.col("_text").rlike("(?iu)\\s(?:dot|kropka)\\s")
 
-    def found(text_column: str, source: str, address=lambda m: m):
-        return lambda m, at: F.struct(
-            F.lower(address(m)).alias("email"), F.lit(source).alias("source"), around(F.col(text_column), m, at).alias("evidence")
-        )
+    def found(source: str, address=lambda m: m):
+        return lambda m, seen: F.struct(F.lower(address(m)).alias("email"), F.lit(source).alias("source"), seen["evidence"].alias("evidence"))
 
     staged = pages.withColumn("_text", text).withColumn("_opened", F.when(bracketed, opened).otherwise(F.col("_text")))
-    staged = scan(staged, "_plain", "_text", mail.EMAIL, F.col("_text").contains("@"), _CANDIDATES, found("_text", "text"))
+    staged = scan(staged, "_plain", "_text", mail.EMAIL, F.col("_text").contains("@"), _CANDIDATES, found("text"))
     changed = F.col("_opened") != F.col("_text")
-    staged = scan(staged, "_open", "_opened", mail.EMAIL, changed, _CANDIDATES, found("_opened", "obfuscated"))
-    staged = scan(staged, "_words", "_text", mail.SPELLED_OUT, worded, _CANDIDATES, found("_text", "obfuscated", spelled))
+    staged = scan(staged, "_open", "_opened", mail.EMAIL, changed, _CANDIDATES, found("obfuscated"))
+    staged = scan(staged, "_words", "_text", mail.SPELLED_OUT, worded, _CANDIDATES, found("obfuscated", spelled))
     known = F.col("_plain")["email"]
     staged = (
         staged.withColumn("_hidden", F.filter(F.concat("_open", "_words"), lambda c: ~F.array_contains(known, c["email"])))
@@ -686,22 +678,20 @@ def extract_people(pages: DataFrame, page_keys: Sequence[str] = ("page_id",)) ->
         said = F.concat(F.lit("JSON-LD Person"), F.coalesce(F.concat(F.lit(": "), p["title"]), F.lit("")))
         return person(p["name"], detect_role(p["title"]), p["title"], "jsonld", said)
 
-    def introduced(m: Column, at: Column) -> Column:
-        begin = F.greatest(at - ROLE_WINDOW, F.lit(0))
-        role = detect_role(F.substring(F.col("_text"), begin + 1, at + F.length(m) + ROLE_WINDOW - begin))
-        return person(F.regexp_extract(m, INTRODUCTION, 1), role, untitled, "role_text", around(F.col("_text"), m, at))
+    def introduced(m: Column, seen: Column) -> Column:
+        return person(F.regexp_extract(m, INTRODUCTION, 1), detect_role(seen["near"]), untitled, "role_text", seen["evidence"])
 
     def beside(pattern: str, name_group: int, role_group: int):
-        def build(m: Column, at: Column) -> Column:
+        def build(m: Column, seen: Column) -> Column:
             role = detect_role(F.regexp_extract(m, pattern, role_group))
-            return person(F.regexp_extract(m, pattern, name_group), role, untitled, "role_text", around(F.col("_text"), m, at))
+            return person(F.regexp_extract(m, pattern, name_group), role, untitled, "role_text", seen["evidence"])
 
         return build
 
     declared = F.transform(_json_ld_people(F.when(F.size(blocks) > 0, blocks)), named)
     staged = kept.withColumn("_text", F.coalesce("text", F.lit("")))
     always = F.lit(True)
-    staged = scan(staged, "_intro", "_text", INTRODUCTION, always, _PEOPLE, introduced)
+    staged = scan(staged, "_intro", "_text", INTRODUCTION, always, _PEOPLE, introduced, ROLE_WINDOW)
     staged = scan(staged, "_before", "_text", NAME_THEN_ROLE, always, _PEOPLE, beside(NAME_THEN_ROLE, 1, 2))
     staged = scan(staged, "_after", "_text", ROLE_THEN_NAME, always, _PEOPLE, beside(ROLE_THEN_NAME, 2, 1))
     titled = lambda c: F.filter(c, lambda p: p["found"].isNotNull())

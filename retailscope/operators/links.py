@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from retailscope.functions import mail
@@ -40,54 +41,28 @@ def origin_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "^(?i)(https?://[^/?#]+)", 1))
 
 
-def _running(flags: Column) -> Column:
-    """Running total of a list of 0/1 flags."""
-    total = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
-    return F.aggregate(flags, F.array().cast("array<int>"), lambda acc, f: F.array_append(acc, total(acc) + f))
-
-
 def read_robots(documents: DataFrame, key: str = "host", text: str = "robots_txt") -> DataFrame:
     """Rules of robots documents: one row per agent and rule, in order.
 
     An agent without rules keeps a row of kind ``agent``, as its group still
-    takes the place of ``*``. A document is one row, so its lines are numbered
-    and grouped inside that row.
+    takes the place of ``*``. Lines are exploded with their positions; groups
+    are running totals per document, so the work is linear in its lines.
     """
     lines = F.transform(F.split(text, "\\r?\\n"), lambda line: F.trim(F.regexp_replace(line, "#.*$", "")))
-    fields = F.transform(
-        F.filter(lines, lambda line: line.contains(":")),
-        lambda line: F.struct(
-            F.lower(F.trim(F.regexp_extract(line, "^([^:]*):", 1))).alias("field"),
-            F.trim(F.regexp_extract(line, "^[^:]*:(.*)$", 1)).alias("value"),
-        ),
-    )
-    is_agent = F.transform("_fields", lambda f: f["field"] == "user-agent")
-    opens = F.transform(
-        "_agent", lambda a, i: F.when(a & ((i == 0) | ~F.coalesce(F.try_element_at("_agent", i), F.lit(False))), 1).otherwise(0)
-    )
-    rows = (
-        documents.withColumn("_fields", fields)
-        .withColumn("_agent", is_agent)
-        .withColumn("_group", _running(opens))
-        .withColumn("_lines", F.zip_with("_fields", "_group", lambda f, g: F.struct(f["field"].alias("field"), f["value"].alias("value"), g.alias("g"))))
-    )
-    listed = F.transform(
-        F.filter("_lines", lambda x: x["g"] > 0),
-        lambda x: F.struct(
-            F.when(x["field"] == "user-agent", F.array(F.lower(x["value"]))).otherwise(
-                F.array_distinct(
-                    F.transform(
-                        F.filter("_lines", lambda y: (y["g"] == x["g"]) & (y["field"] == "user-agent")), lambda y: F.lower(y["value"])
-                    )
-                )
-            ).alias("agents"),
-            F.when(x["field"] == "user-agent", F.lit("agent")).otherwise(x["field"]).alias("kind"),
-            x["value"].alias("value"),
-        ),
-    )
-    exploded = rows.select(key, F.posexplode_outer(listed).alias("line_no", "x")).filter(F.col("x").isNotNull()).select(
-        key, "line_no", F.explode("x.agents").alias("agent"), F.col("x.kind").alias("kind"), F.col("x.value").alias("value")
-    )
+    named = documents.withColumn("_doc", F.monotonically_increasing_id())
+    rows = named.select(key, "_doc", F.posexplode_outer(lines).alias("_pos", "_line"))
+    rows = rows.filter(F.col("_line").contains(":")).select(
+        key, "_doc", "_pos", F.lower(F.trim(F.regexp_extract("_line", "^([^:]*):", 1))).alias("kind"),
+        F.trim(F.regexp_extract("_line", "^[^:]*:(.*)$", 1)).alias("value"),
+    )
+    along = W.partitionBy("_doc").orderBy("_pos")
+    is_agent = F.col("kind") == "user-agent"
+    opens = is_agent & ~F.coalesce(F.lag(is_agent).over(along), F.lit(False))
+    grouped = rows.withColumn("_opens", opens).withColumn("_group", F.count_if("_opens").over(along)).filter(F.col("_group") > 0)
+    members = F.array_distinct(F.collect_list(F.when(is_agent, F.lower("value"))).over(W.partitionBy("_doc", "_group")))
+    numbered = grouped.withColumn("_members", members).withColumn("line_no", F.row_number().over(along) - 1)
+    agents = F.when(is_agent, F.array(F.lower("value"))).otherwise(F.col("_members"))
+    exploded = numbered.select(key, "line_no", F.explode(agents).alias("agent"), F.when(is_agent, F.lit("agent")).otherwise(F.col("kind")).alias("kind"), "value")
     rule = F.col("kind").isin("allow", "disallow") & (F.col("value") != "")
     delay = (F.col("kind") == "crawl-delay") & (F.col("value").try_cast("double") >= 0)
     return exploded.filter((F.col("kind") == "agent") | rule | delay).select(
