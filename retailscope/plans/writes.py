@@ -84,7 +84,7 @@ def append_versioned_letters(spark, sf):
 APPROVED = """
 SELECT e.id, s.domain, c.name AS contact_name, c.role AS contact_role, c.email AS contact_email, e.subject, e.body, e.category,
        (SELECT arg_max(a.lead_score, a.id) FROM analyses a WHERE a.store_id = e.store_id AND a.agent = 'lead_classifier') AS lead_score,
-       e.word_count, e.version
+       e.word_count, e.version, e.created_at
 FROM letters e JOIN stores s ON s.id = e.store_id LEFT JOIN contacts c ON c.id = e.contact_id WHERE e.status = 'APPROVED'
 """
 RELATIONS = {"letters": st.LETTERS, "stores": st.STORES, "contacts": st.CONTACTS, "analyses": st.ANALYSES}
@@ -94,7 +94,7 @@ def _approved(spark, sf):
     return exports.approved_letters(*[run_sql(spark, sf, RELATIONS[n]) for n in ("letters", "stores", "contacts", "analyses")])
 
 
-@registry.add("approved_letters", st.with_tables(APPROVED, **RELATIONS))
+@registry.add("approved_letters", st.with_tables(f"SELECT * EXCLUDE (created_at) FROM ({APPROVED})", **RELATIONS))
 def approved_letters(spark, sf):
     return _approved(spark, sf).drop("created_at")
 
@@ -107,12 +107,11 @@ def _cell(name: str) -> str:
 @registry.add(
     "export_lines",
     st.with_tables(
-        "SELECT id, " + " || ',' || ".join(_cell(c) for c in ("domain", "contact_name", "contact_email", "subject", "lead_score")) + f" AS line FROM ({APPROVED})",
+        "SELECT id, " + " || ',' || ".join(_cell(c) for c in exports.EXPORT_COLUMNS.values()) + f" AS line FROM ({APPROVED})",
         **{**RELATIONS, "letters": st.LETTERS.replace("concat('Offer ', o_orderpriority)", """concat('=1+"', o_orderpriority, '"')""")},
     ),
 )
 def export_lines(spark, sf):
     letters = run_sql(spark, sf, st.LETTERS.replace("concat('Offer ', o_orderpriority)", """concat('=1+"', o_orderpriority, '"')"""))
     approved = exports.approved_letters(letters, *[run_sql(spark, sf, RELATIONS[n]) for n in ("stores", "contacts", "analyses")])
-    cells = [exports.csv_cell(F.col(c)) for c in ("domain", "contact_name", "contact_email", "subject", "lead_score")]
-    return approved.select("id", F.concat_ws(",", *cells).alias("line"))
+    return exports.export_lines(approved)
