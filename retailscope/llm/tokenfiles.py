@@ -26,10 +26,12 @@ from retailscope.llm.common import shared_folder, stored, to_batch
 END_ID = 0
 #: Characters of text whose chunks are looked up together, and chunks that a task remembers.
 SLICE_CHARS, KNOWN_CHUNKS = 2_000_000, 300_000
+#: Pieces encoded in one text, and the byte-level alphabet's letter for a space.
+RUN_PIECES, SPACE = 1000, "\u0120"
 #: How a missing document id is written.
 NO_ID = np.iinfo(np.int64).min
 MANIFEST = "part long, path string, n_docs long, n_tokens long, width int"
-_CHUNK_EDGE = re.compile(r"(?<=\S) ")
+_CHUNK_EDGE, _RUN = re.compile(r"(?<=\S) "), re.compile(r"\s ")
 
 
 class ChunkEncoder:
@@ -46,20 +48,37 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.kind).tobytes() for x in found]
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces with a space before each. Those without a space or outer white space are encoded many in one
+        text; each of them then begins at the only token of its own that begins with a space."""
+        plain = [p for p in pieces if p and " " not in p and not p[0].isspace() and not p[-1].isspace()]
+        other = list(set(pieces).difference(plain))
+        runs = [plain[i : i + RUN_PIECES] for i in range(0, len(plain), RUN_PIECES)]
+        width = self.kind.itemsize
+        for run, coded in zip(runs, self._ids([" " + " ".join(run) for run in runs]), strict=True):
+            starts = np.flatnonzero(self.opens[np.frombuffer(coded, dtype=self.kind)]) * width
+            if len(starts) != len(run):
+                other += run
+                continue
+            edges = [*starts.tolist(), len(coded)]
+            self.known.update((piece, coded[a:b]) for piece, a, b in zip(run, edges[:-1], edges[1:], strict=True))
+        self.known.update(zip(other, self._ids([f" {piece}" for piece in other]), strict=True))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian bytes of ``kind``."""
-        cut = [_CHUNK_EDGE.split(text) for text in texts]
+        cut = [_CHUNK_EDGE.split(text) if _RUN.search(text) else text.split(" ") for text in texts]
         heads = self._ids([pieces[0] for pieces in cut])
         if len(self.known) > KNOWN_CHUNKS:
             self.known = {}
         new = set().union(*(pieces[1:] for pieces in cut)).difference(self.known)
-        listed = list(new)
-        self.known.update(zip(listed, self._ids([f" {piece}" for piece in listed]), strict=True))
+        self._learn(list(new))
         for head, pieces in zip(heads, cut, strict=True):
             yield head + b"".join(map(self.known.__getitem__, pieces[1:]))
 
