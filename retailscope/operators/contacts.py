@@ -314,7 +314,8 @@ def evidence_lists(emails: DataFrame, links: DataFrame, people: DataFrame, per_p
     profiles = links.select("store_id", F.lit("profile_links").alias("kind"), F.when(F.col("link_kind") == "profile", 0).otherwise(1).alias("grade"), F.col("link").alias("item"))
     names = people.select("store_id", F.lit("people").alias("kind"), role_rank(F.coalesce("role", F.lit(""))).alias("grade"), F.col("name").alias("item"))
     rows = mails.unionByName(profiles).unionByName(names)
-    return list_parts(rows, ["store_id", "kind"], [F.col("grade"), F.col("item")], F.col("grade"), F.col("item"), per_part)
+    along = F.struct("grade", F.left("item", F.lit(3)).alias("begins"))
+    return list_parts(rows, ["store_id", "kind"], [F.col("grade"), F.col("item")], along, F.col("item"), per_part)
 
 
 def ground_quotes(people: DataFrame, pages: DataFrame) -> DataFrame:
@@ -375,6 +376,10 @@ def ground_quotes(people: DataFrame, pages: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ saving
 
 
+# Parts a join key is dealt over where one value may be very frequent.
+SALTS = 16
+
+
 def _mail_domain(email: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(email)), "^[^@]*@", "")
 
@@ -383,17 +388,20 @@ def drop_suppressed(candidates: DataFrame, suppressions: DataFrame) -> tuple[Dat
     """Contacts nobody asked to forget, and those that were dropped.
 
     ``candidates`` carry ``store_domain``. Address, mail domain and shop domain
-    are three joins on equality, never one on an OR.
+    are three joins on equality, never one on an OR. Candidates are dealt over
+    ``SALTS`` parts of each key, so missing keys and popular mail domains are
+    split; the suppressions, far fewer, are repeated for every part.
     """
-    addresses = suppressions.filter(F.col("email").isNotNull()).select(F.col("email").alias("_email")).distinct().withColumn("_by_email", F.lit(True))
-    domains = suppressions.filter(F.col("domain").isNotNull()).select(F.col("domain").alias("_domain")).distinct()
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    addresses = suppressions.filter(F.col("email").isNotNull()).select(F.col("email").alias("_email")).distinct().select("_email", F.lit(True).alias("_by_email"), parts.alias("_salt"))
+    domains = suppressions.filter(F.col("domain").isNotNull()).select(F.col("domain").alias("_domain")).distinct().select("_domain", parts.alias("_salt"))
     keyed = candidates.withColumn("_email", F.lower(F.trim("email"))).withColumn("_mail_domain", _mail_domain(F.col("email")))
     shop_key = F.coalesce(domain_key_any(F.col("store_domain")), F.lower(F.trim("store_domain")))
     marked = (
-        keyed.withColumn("_store_domain", shop_key)
-        .join(addresses, "_email", "left")
-        .join(domains.select(F.col("_domain").alias("_mail_domain"), F.lit(True).alias("_by_mail")), "_mail_domain", "left")
-        .join(domains.select(F.col("_domain").alias("_store_domain"), F.lit(True).alias("_by_store")), "_store_domain", "left")
+        keyed.withColumn("_store_domain", shop_key).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        .join(addresses, ["_email", "_salt"], "left")
+        .join(domains.select(F.col("_domain").alias("_mail_domain"), "_salt", F.lit(True).alias("_by_mail")), ["_mail_domain", "_salt"], "left")
+        .join(domains.select(F.col("_domain").alias("_store_domain"), "_salt", F.lit(True).alias("_by_store")), ["_store_domain", "_salt"], "left")
     )
     hit = F.coalesce("_by_email", "_by_mail", "_by_store", F.lit(False))
     columns = candidates.columns

@@ -299,13 +299,23 @@ def letter_prompts(spark, sf):
 @registry.add(
     "store_detail",
     st.with_tables(
-        """WITH a AS (SELECT store_id, 'contacts' AS section, row_number() OVER (PARTITION BY store_id ORDER BY is_primary DESC, is_generic, confidence DESC, id) AS rn, id FROM contacts
-        UNION ALL SELECT store_id, 'letters', row_number() OVER (PARTITION BY store_id ORDER BY version DESC), id FROM letters
-        UNION ALL SELECT store_id, 'issues', row_number() OVER (PARTITION BY store_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'MAJOR' THEN 1 ELSE 2 END, page, id), id FROM issues i WHERE audit_id = (SELECT max(audit_id) FROM issues j WHERE j.store_id = i.store_id))
-        SELECT store_id, section, CAST(floor((rn - 1) / 3) AS BIGINT) AS part, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn) AS ids FROM a GROUP BY ALL""",
+        """WITH a AS (SELECT store_id, 'contacts' AS section, row_number() OVER (PARTITION BY store_id ORDER BY is_primary DESC, is_generic, confidence DESC, id) AS rn, CAST(id AS VARCHAR) AS id FROM contacts
+        UNION ALL SELECT audit_id, 'images', row_number() OVER (PARTITION BY audit_id ORDER BY page, viewport DESC, id), CAST(id AS VARCHAR) FROM images
+        UNION ALL SELECT store_id, 'apps', row_number() OVER (PARTITION BY store_id ORDER BY app), app FROM apps
+        UNION ALL SELECT store_id, 'theme', row_number() OVER (PARTITION BY store_id ORDER BY name), name FROM themes
+        UNION ALL SELECT store_id, 'measurements', row_number() OVER (PARTITION BY store_id ORDER BY strategy DESC), CAST(id AS VARCHAR) FROM (SELECT * FROM speed QUALIFY id = max(id) OVER (PARTITION BY store_id, strategy))
+        UNION ALL SELECT store_id, 'failures', row_number() OVER (PARTITION BY store_id ORDER BY step), step FROM (SELECT * FROM logs QUALIFY id = max(id) OVER (PARTITION BY store_id, step)) WHERE status = 'FAILED'
+        UNION ALL SELECT store_id, 'letters', row_number() OVER (PARTITION BY store_id ORDER BY version DESC), CAST(id AS VARCHAR) FROM letters
+        UNION ALL SELECT store_id, 'issues', row_number() OVER (PARTITION BY store_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'MAJOR' THEN 1 ELSE 2 END, page, id), CAST(id AS VARCHAR) FROM issues i WHERE audit_id = (SELECT max(audit_id) FROM issues j WHERE j.store_id = i.store_id))
+        SELECT store_id, section, CAST(floor((rn - 1) / 3) AS BIGINT) AS part, string_agg(id, ',' ORDER BY rn) AS ids FROM a GROUP BY ALL""",
         contacts=st.CONTACTS,
         letters=st.LETTERS,
         issues=st.ISSUES,
+        images=IMAGES,
+        apps=C_APPS,
+        themes=C_THEMES,
+        speed=C_SPEED,
+        logs=st.STEP_LOGS,
     ),
 )
 def store_detail(spark, sf):
@@ -313,9 +323,9 @@ def store_detail(spark, sf):
     contacts, letter_rows, issues = (run_sql(spark, sf, t) for t in (st.CONTACTS, st.LETTERS, st.ISSUES))
     images = run_sql(spark, sf, IMAGES).withColumn("store_id", F.col("audit_id"))
     apps = run_sql(spark, sf, C_APPS).select("store_id", F.col("app").alias("name"))
-    sections = documents.store_sections(contacts, letter_rows, issues, images, apps, runs.last_failures(logs))
-    detail = documents.store_detail({k: sections[k] for k in ("contacts", "letters", "issues")}, per_part=3)
-    ids = F.transform("items", lambda i: F.get_json_object(i, "$.id"))
+    sections = documents.store_sections(contacts, letter_rows, issues, images, apps, runs.last_failures(logs), run_sql(spark, sf, C_SPEED), run_sql(spark, sf, C_THEMES))
+    detail = documents.store_detail(sections, per_part=3)
+    ids = F.transform("items", lambda i: F.coalesce(*[F.get_json_object(i, f"$.{k}") for k in ("id", "name", "step")]))
     return detail.select("store_id", "section", "part", F.array_join(ids, ",").alias("ids"))
 
 
