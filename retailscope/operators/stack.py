@@ -141,6 +141,10 @@ def theme_gaps(points: DataFrame, releases: DataFrame) -> DataFrame:
     )
 
 
+# Parts the shops of one theme are dealt over.
+THEME_PARTS = 16
+
+
 def theme_staleness(stores: DataFrame, entries: DataFrame, releases: DataFrame, as_of: dt.date | Column) -> DataFrame:
     """How far behind its catalog a shop's theme is.
 
@@ -171,7 +175,13 @@ def theme_staleness(stores: DataFrame, entries: DataFrame, releases: DataFrame,
         .join(exact, ["theme_key", "version"], "left")
         .withColumnRenamed("version", "_version")
     )
-    joined = shops.join(catalog, "theme_key", "left").join(facts, ["theme_key", "_version"], "left")
+    # shops of one popular theme, and those without one, are dealt over parts; catalog and facts have a row per theme and version
+    parts = F.explode(F.sequence(F.lit(0), F.lit(THEME_PARTS - 1))).alias("_part")
+    dealt = shops.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(THEME_PARTS)).cast("int"))
+    joined = (
+        dealt.join(catalog.select("*", parts), ["theme_key", "_part"], "left")
+        .join(facts.select("*", parts), ["theme_key", "_part", "_version"], "left").drop("_part")
+    )
 
     number = lambda name: F.col(name).cast("string")
     level_of = {label: i for i, label in enumerate(FRESHNESS)}
