@@ -79,7 +79,7 @@ def find_hits(text: bytes, words: list[bytes], automaton) -> tuple[list, list, l
     return [{"first": int(a), "last": int(b)} for a, b in zip(first, last, strict=True)], spans, sorted(items)
 
 
-def _scan_part(rows: DataFrame, items: list[tuple[str, bytes]], size: int) -> DataFrame:
+def _scan_part(rows: DataFrame, items: list[tuple[str, bytes]], size: int, with_text: bool) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast({"items": items})
 
     def step(batch: pa.RecordBatch) -> dict:
@@ -94,18 +94,18 @@ def _scan_part(rows: DataFrame, items: list[tuple[str, bytes]], size: int) -> Da
             counts.append(len(words))
             for out, value in zip((hit_words, spans, who), found or ([], [], []), strict=True):
                 out.append(value)
-        keys = {name: batch.column(name) for name in batch.schema.names if name != "text"}
+        keys = {name: batch.column(name) for name in batch.schema.names if name != "text" or with_text}
         return keys | {"n_words": counts, "hit_words": hit_words, "spans": spans, "items": who}
 
     key_type = dict(rows.dtypes)["_key"]
-    return map_arrow(rows, step, SCHEMA.replace("_row long", f"_key {key_type}"))
+    return map_arrow(rows, step, SCHEMA.replace("_row long", f"_key {key_type}{', text binary' if with_text else ''}"))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_bytes: int = PART_BYTES, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_bytes: int = PART_BYTES, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """Every document with its benchmark hits.
 
     docs: ``text`` and the columns named in ``carry``; benchmark: ``item_id``, ``text``. Other columns are not read.
-    Returns the carried columns, ``n_words``, ``n_hit`` (words inside a window's occurrence), ``items`` (ids as sorted
+    Returns the carried columns (and the text, if asked for), ``n_words``, ``n_hit`` (words inside a window's occurrence), ``items`` (ids as sorted
     strings), ``spans`` (hit runs as character offsets of the original text).
 
     Null or wordless texts have no words and no hits; null or wordless items have no window; an item without id counts
@@ -120,13 +120,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     if parts > 1:
         rows = rows.withColumn("_key", F.struct(F.monotonically_increasing_id().alias("_row"), F.col("_key").alias("_in")))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
-    scanned = [_scan_part(rows, [(r[0], bytes(r[1])) for r in listed.where(part == n).collect()], size) for n in range(parts)]
+    scanned = [_scan_part(rows, [(r[0], bytes(r[1])) for r in listed.where(part == n).collect()], size, with_text) for n in range(parts)]
     found = scanned[0]
     if parts > 1:
         for more in scanned[1:]:
             found = found.unionByName(more)
         found = found.groupBy("_key").agg(
             F.max("n_words").alias("n_words"),
+            *([F.any_value("text").alias("text")] if with_text else []),
             F.flatten(F.collect_list("hit_words")).alias("hit_words"),
             F.flatten(F.collect_list("spans")).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -134,7 +135,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
         found = found.withColumn("hit_words", _merged("hit_words", "first", "last", 1)).withColumn("spans", _merged("spans", "start", "end", 0))
         found = found.withColumn("_key", F.col("_key._in"))
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
-    return found.select(*[F.col(f"_key.{c}").alias(c) for c in carry], "n_words", n_hit.alias("n_hit"), "items", "spans")
+    text = [F.col("text").cast("string").alias("text")] if with_text else []
+    return found.select(*[F.col(f"_key.{c}").alias(c) for c in carry], *text, "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
 def _merged(name: str, low: str, high: str, gap: int):

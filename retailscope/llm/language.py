@@ -109,8 +109,8 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], n
     return languages, totals / totals.sum(axis=0)
 
 
-def predict(docs: DataFrame, languages: list[str], chances: np.ndarray, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns with ``lang_pred``, ``score`` (its share of the text) and ``lang_shares``; reads ``text`` alone.
+def predict(docs: DataFrame, languages: list[str], chances: np.ndarray, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+    """The carried columns (and the text, if asked for) with ``lang_pred``, ``score`` (its share of the text) and ``lang_shares``; reads ``text`` alone.
 
     A null text or one without a letter is ``und`` with score 0, as is every text if no language was learned.
     """
@@ -129,11 +129,13 @@ def predict(docs: DataFrame, languages: list[str], chances: np.ndarray, carry: t
             names.append(found[0][0] if found else UNKNOWN)
             scores.append(found[0][1] if found else 0.0)
             shares.append(found)
-        return {"_key": batch.column("_key"), "lang_pred": names, "score": scores, "lang_shares": shares}
+        own = {"_key": batch.column("_key")} | ({"text": batch.column("text")} if with_text else {})
+        return own | {"lang_pred": names, "score": scores, "lang_shares": shares}
 
     kind = dict(rows.dtypes)["_key"]
-    found = map_arrow(rows, step, f"_key {kind}, lang_pred string, score double, lang_shares map<string,double>")
-    return found.select(*[F.col("_key")[c].alias(c) for c in carry], "lang_pred", "score", "lang_shares")
+    text = ["text"] if with_text else []
+    found = map_arrow(rows, step, f"_key {kind}, {'text string, ' if text else ''}lang_pred string, score double, lang_shares map<string,double>")
+    return found.select(*[F.col("_key")[c].alias(c) for c in carry], *text, "lang_pred", "score", "lang_shares")
 
 
 def identify(docs: DataFrame) -> DataFrame:

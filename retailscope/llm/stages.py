@@ -22,8 +22,8 @@ def _restored(found: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; null texts and those without a letter go. ``lang`` stays as it was."""
     languages, chances = language.learn(docs)
-    found = language.predict(docs.select("text", _kept(docs)), languages, chances, carry=("_kept",))
-    return _restored(found.where(F.col("lang_pred") != language.UNKNOWN), docs)
+    found = language.predict(docs.select("text", _kept(docs, "text")), languages, chances, ("_kept",), with_text=True)
+    return _restored(found.where(F.col("lang_pred") != language.UNKNOWN), docs, text=F.col("text"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside a benchmark window, unchanged."""
-    found = decontaminate.find_contamination(docs.select("text", _kept(docs)), table(spark, sf_dir, "benchmark"), carry=("_kept",))
-    return _restored(found.where("n_hit = 0"), docs)
+    found = decontaminate.find_contamination(docs.select("text", _kept(docs, "text")), table(spark, sf_dir, "benchmark"), carry=("_kept",), with_text=True)
+    return _restored(found.where("n_hit = 0"), docs, text=F.col("text"))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
