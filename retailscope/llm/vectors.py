@@ -32,8 +32,8 @@ LIST_SIZE, MAX_LISTS, SUBSPACES, CODES = 200, 4096, 8, 64
 REACH = 4.0
 #: Vectors of a list, and queries to it, that meet in one task; larger lists are cut into tiles.
 TILE, STEP = 2048, 128
-CODED = "id long, n long, cell int, probes array<int>, codes binary, error double, vector array<double>"
-TILES = "list int, part int, side int, asks boolean, " + CODED
+CODED = "id long, n long, cell int, probes array<int>, codes binary, error double, vector binary"
+TILES = "list int, part int, side int, asks boolean, id long, n long, cell int, probes array<int>, codes binary, error double, vector binary"
 FOUND = "id long, root long, links long"
 
 
@@ -127,48 +127,50 @@ def match_tile(index: dict, cell: int, asks: dict, held: dict, cosine: float, ra
     return {"id": ids[some], "root": ids[roots[some]], "links": links[some]}
 
 
-def _link_size(classes: DataFrame, cosine: float) -> DataFrame:
-    """Partial links of the classes of one dimension: ``id``, ``root``, ``links``."""
+def _link_size(classes: DataFrame, cosine: float, kind: str) -> DataFrame:
+    """Partial links of the classes of one dimension, sent as numbers of ``kind``: ``id``, ``root``, ``links``."""
     spark = classes.sparkSession
     n = classes.count()
     share = min(1.0, FIT_VECTORS / max(1, n))
     sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < round(share * 1_000_000)).select("vector").toArrow()
     if not sample.num_rows:
         sample = classes.select("vector").limit(FIT_VECTORS).toArrow()
-    shared = spark.sparkContext.broadcast(fit(units(sample.column("vector")), n))
+    shared = spark.sparkContext.broadcast(fit(scaled(numbers(sample.column("vector"))), n))
     radius = float(np.sqrt(2 - 2 * cosine))
     tiles_schema, found_schema = (to_arrow_schema(spark.createDataFrame([], s).schema) for s in (TILES, FOUND))
 
     def code(batch: pa.RecordBatch) -> dict:
-        cell, probes, codes, error = place(shared.value, units(batch.column("vector")), radius)
-        return {"id": batch.column("id"), "n": batch.column("n"), "cell": cell, "probes": probes, "codes": [c.tobytes() for c in codes], "error": error, "vector": batch.column("vector")}
+        raw = numbers(batch.column("vector"))
+        cell, probes, codes, error = place(shared.value, scaled(raw), radius)
+        return {"id": batch.column("id"), "n": batch.column("n"), "cell": cell, "probes": probes, "codes": _cells(codes), "error": error, "vector": _cells(raw.astype(kind))}
 
     coded = stored(map_arrow(classes.select("id", "n", "vector"), code, CODED), "coded")
     held = {r[0]: r[1] for r in coded.groupBy("cell").count().collect()}
     asked = {r[0]: r[1] for r in coded.select(F.explode("probes").alias("list")).groupBy("list").count().collect()}
     parts = {c: (-(-held.get(c, 0) // TILE), -(-asked.get(c, 0) // TILE)) for c in held.keys() | asked.keys()}
 
+    held_parts, asked_parts = (np.array([parts.get(c, (0, 0))[i] for c in range(MAX_LISTS + 1)]) for i in (0, 1))
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector to every tile of its list, as a query to every tile of the lists it probes."""
         for batch in batches:
-            ids, cells, probes = batch.column("id").to_numpy(), batch.column("cell").to_numpy(), batch.column("probes").to_pylist()
-            rows, lists, part, side, asks = [], [], [], [], []
-            for row, (i, cell, lists_of) in enumerate(zip(ids.tolist(), cells.tolist(), probes, strict=True)):
-                for c, ask in [(cell, False), *((c, True) for c in lists_of)]:
-                    n_held, n_asked = parts[c]
-                    if n_held and n_asked:
-                        mine, others = ((i * 2654435761 >> 7) % (n_asked if ask else n_held)), range(n_held if ask else n_asked)
-                        for o in others:
-                            rows.append(row)
-                            lists.append(c)
-                            part.append(o if ask else mine)
-                            side.append(mine if ask else o)
-                            asks.append(ask)
-                if len(rows) >= 4096:
-                    yield _tile_rows(batch, rows, lists, part, side, asks, tiles_schema)
-                    rows, lists, part, side, asks = [], [], [], [], []
-            if rows:
-                yield _tile_rows(batch, rows, lists, part, side, asks, tiles_schema)
+            for start in range(0, batch.num_rows, 1000):
+                some = batch.slice(start, 1000)
+                lists_of = some.column("probes")
+                per_row = pa.compute.list_value_length(lists_of).to_numpy()
+                rows = np.concatenate((np.arange(some.num_rows), np.repeat(np.arange(some.num_rows), per_row)))
+                lists = np.concatenate((some.column("cell").to_numpy(), lists_of.flatten().to_numpy()))
+                asks = np.arange(len(rows)) >= some.num_rows
+                own, others = np.where(asks, asked_parts[lists], held_parts[lists]), np.where(asks, held_parts[lists], asked_parts[lists])
+                mine = (some.column("id").to_numpy()[rows] * 2654435761 >> 7) % np.maximum(own, 1)
+                copies = np.where(own > 0, others, 0)
+                nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                rows, lists, asks, mine = (np.repeat(x, copies) for x in (rows, lists, asks, mine))
+                kept = some.take(pa.array(rows))
+                none = pa.array(asks)
+                columns = {name: kept.column(name) for name in ("id", "n", "cell", "vector")}
+                columns |= {name: pa.compute.if_else(none, pa.scalar(None, kept.column(name).type), kept.column(name)) for name in ("probes", "codes", "error")}
+                yield to_batch(columns | {"list": lists, "part": np.where(asks, nth, mine), "side": np.where(asks, mine, nth), "asks": asks}, tiles_schema)
 
     def match(table: pa.Table) -> pa.Table:
         index = shared.value
@@ -176,12 +178,15 @@ def _link_size(classes: DataFrame, cosine: float) -> DataFrame:
         sides = []
         for ask in (True, False):
             rows = table.filter(pa.compute.equal(table.column("asks"), ask))
-            side = {c: rows.column(c).to_numpy() for c in ("id", "n", "cell", "error")}
-            side["unit"] = units(rows.column("vector"))
-            side["codes"] = np.frombuffer(b"".join(rows.column("codes").to_pylist()), dtype=np.uint8).reshape(rows.num_rows, -1)
-            side["sees"] = np.zeros((rows.num_rows, len(index["centres"])), dtype=bool)
-            for n, lists in enumerate(rows.column("probes").to_pylist()):
-                side["sees"][n, lists] = True
+            side = {c: rows.column(c).to_numpy() for c in ("id", "n", "cell")}
+            raw = np.frombuffer(b"".join(rows.column("vector").to_pylist()), dtype=kind)
+            side["unit"] = scaled(raw.reshape(rows.num_rows, -1).astype(np.float64)) if rows.num_rows else raw
+            if not ask and rows.num_rows:
+                side["error"] = rows.column("error").to_numpy()
+                side["codes"] = np.frombuffer(b"".join(rows.column("codes").to_pylist()), dtype=np.uint8).reshape(rows.num_rows, -1)
+                side["sees"] = np.zeros((rows.num_rows, len(index["centres"])), dtype=bool)
+                for n, lists in enumerate(rows.column("probes").to_pylist()):
+                    side["sees"][n, lists] = True
             sides.append(side)
         empty = {name: [] for name in ("id", "root", "links")}
         found = match_tile(index, cell, *sides, cosine, radius) if all(len(s["id"]) for s in sides) else empty
@@ -190,17 +195,23 @@ def _link_size(classes: DataFrame, cosine: float) -> DataFrame:
     return coded.mapInArrow(deal, TILES).groupBy("list", "part", "side").applyInArrow(match, FOUND)
 
 
-def _tile_rows(batch, rows, lists, part, side, asks, target) -> pa.RecordBatch:
-    taken = batch.take(pa.array(rows))
-    columns = {name: taken.column(name) for name in taken.schema.names}
-    return to_batch(columns | {"list": lists, "part": part, "side": side, "asks": asks}, target)
+def _cells(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes as one binary value."""
+    raw = np.ascontiguousarray(rows)
+    width = raw.itemsize * raw.shape[1]
+    edges = pa.py_buffer((np.arange(len(raw) + 1) * width).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, edges, pa.py_buffer(raw.tobytes())])
 
 
-def units(column) -> np.ndarray:
-    """Vectors of one size, scaled to length one in double precision."""
+def numbers(column) -> np.ndarray:
+    """Vectors of one size as rows."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
-    return values / np.sqrt((values**2).sum(axis=1))[:, None] if len(flat) else values
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+
+def scaled(values: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one in double precision."""
+    return values / np.sqrt((values**2).sum(axis=1))[:, None]
 
 
 def find_near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -216,10 +227,11 @@ def find_near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     usable = F.coalesce(F.col("vec_id").isNotNull() & finite & F.exists("vector", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
     classes = cut_lineage(rows.where("usable").groupBy("key", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     sizes = [r[0] for r in classes.select(F.size("vector").alias("size")).distinct().collect()]
     found = None
     for size in sizes:
-        part = _link_size(classes.where(F.size("vector") == size), cosine)
+        part = _link_size(classes.where(F.size("vector") == size), cosine, kind)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
