@@ -46,14 +46,14 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     adaptive execution if one payload holds a large part of the pages.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
+    rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
     large = rows.where(F.col("payload_bytes") >= REVISIT_BYTES)
-    first = large.groupBy("payload_digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("payload_digest", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"))
-    joined = rows.join(first, "payload_digest", "left")
-    again = (F.col("payload_bytes") >= REVISIT_BYTES) & F.col("first_row").isNotNull() & (F.col("row") != F.col("first_row"))
-    return joined.select("page_id", "url", "payload_digest", "payload_bytes", again.alias("again"), F.when(again, F.col("first_id")).alias("first_id"), F.when(~again, F.col("payload")).alias("payload"))
+    first = large.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    first = first.where("n > 1 and first_id is not null").drop("n")
+    joined = rows.join(first.hint("merge"), "payload_digest", "left")
+    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return joined.select("page_id", "url", "payload_digest", "payload_bytes", F.when(again, F.col("first_id")).alias("first_id"), F.when(~again, F.col("payload")).alias("payload"))
 
 
 def _header_text(value: str | None) -> str:
@@ -85,14 +85,15 @@ def make_record(page_id, url: str | None, digest: str, size: int, payload: bytes
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, compress: bool = True) -> DataFrame:
-    """Writes ``pages`` (``page_id``, ``url``, ``html``) as WARC files; returns the manifest (path, size, n_records).
+    """Writes ``pages`` (``page_id``, ``url``, ``html``) as WARC files; returns the manifest (file, path, size, n_records).
 
     Null html is an empty payload, a null url leaves the target out. Of equal payloads of at least ``REVISIT_BYTES``
-    the smallest page_id (null last, then the first row read) is a response, the others revisit it. With ``compress``
+    the smallest page_id is a response, the others revisit it; rows that repeat that id, or if no row has an id, are all
+    responses. With ``compress``
     every record is a gzip member. The manifest is committed by Spark's writer: files of lost attempts are not in it.
     """
     folder = folder or shared_folder(pages.sparkSession, "warc")
-    schema = "path string, size long, n_records long"
+    schema = "file long, path string, size long, n_records long"
     target = to_arrow_schema(pages.sparkSession.createDataFrame([], schema).schema)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, compress: bool =
                     size, n = size + len(record), n + 1
                 first = next(batches, None)
         if n:
-            yield to_batch({"path": [f"{folder}/{name}"], "size": [size], "n_records": [n]}, target)
+            yield to_batch({"file": [TaskContext.get().partitionId()], "path": [f"{folder}/{name}"], "size": [size], "n_records": [n]}, target)
 
     return stored(mark_revisits(pages).mapInArrow(write, schema), "archives")
 
@@ -192,15 +193,15 @@ def candidates(reader: RangeReader, start: int, end: int) -> dict[int, int]:
 
 def _ranges(manifest: DataFrame, range_bytes: int) -> DataFrame:
     starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))
-    cut = manifest.where("size > 0").select("path", "size", F.explode(starts).alias("start"))
-    return cut.select("path", "size", "start", F.least(F.col("start") + range_bytes, "size").alias("stop"))
+    cut = manifest.where("size > 0").select("file", "path", "size", F.explode(starts).alias("start"))
+    return cut.select("file", "path", "size", "start", F.least(F.col("start") + range_bytes, "size").alias("stop"))
 
 
 def find_links(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Candidates with the offset where their chain leaves their range: ``path``, ``start`` of the range, ``offset``, ``leaves``."""
+    """Candidates with the offset where their chain leaves their range: ``file``, ``start`` of the range, ``offset``, ``leaves``."""
 
     def step(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"path": [], "start": [], "offset": [], "leaves": []}
+        out: dict[str, list] = {"file": [], "start": [], "offset": [], "leaves": []}
         for r in batch.to_pylist():
             reader = RangeReader(r["path"])
             next_of = candidates(reader, r["start"], r["stop"])
@@ -209,13 +210,13 @@ def find_links(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
             for offset in sorted(next_of, reverse=True):
                 leaves[offset] = leaves.get(next_of[offset], next_of[offset])
             for offset, leave in leaves.items():
-                for name, value in zip(out, (r["path"], r["start"], offset, leave), strict=True):
+                for name, value in zip(out, (r["file"], r["start"], offset, leave), strict=True):
                     out[name].append(value)
         return out
 
     ranges = _ranges(manifest, range_bytes)
-    dealt = ranges.repartition(F.col("path"), F.col("start"))
-    return map_arrow(dealt, step, "path string, start long, offset long, leaves long")
+    dealt = ranges.repartition("file", "start")
+    return map_arrow(dealt, step, "file long, start long, offset long, leaves long")
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -224,19 +225,20 @@ def reachable(links: DataFrame) -> DataFrame:
     After round n the jumps lead over 2^n ranges and all links within 2^n ranges of the start are known, so the rounds
     are the logarithm of the ranges of the longest file.
     """
-    jumps = cut_lineage(links.select("path", "offset", F.col("leaves").alias("to")))
-    reached = cut_lineage(jumps.where("offset = 0").select("path", "offset"))
+    jumps = cut_lineage(links.select("file", "offset", F.col("leaves").alias("to")))
+    reached = cut_lineage(jumps.where("offset = 0").select("file", "offset"))
     n = reached.count()
     while n:
-        onward = reached.join(jumps, ["path", "offset"]).select("path", F.col("to").alias("offset"))
-        grown = cut_lineage(reached.union(onward.join(jumps.select("path", "offset"), ["path", "offset"], "left_semi")).distinct())
+        onward = reached.join(jumps.hint("merge"), ["file", "offset"]).select("file", F.col("to").alias("offset"))
+        known = jumps.select("file", "offset").hint("merge")
+        grown = cut_lineage(reached.union(onward.join(known, ["file", "offset"], "left_semi")).distinct())
         before, n = n, grown.count()
         reached = grown
         if n == before:
             break
-        far = jumps.select("path", F.col("offset").alias("to"), F.col("to").alias("further"))
-        jumps = cut_lineage(jumps.join(far, ["path", "to"], "left").select("path", "offset", F.coalesce("further", "to").alias("to")))
-    return links.join(reached, ["path", "offset"], "left_semi")
+        far = jumps.select("file", F.col("offset").alias("to"), F.col("to").alias("further")).hint("merge")
+        jumps = cut_lineage(jumps.join(far, ["file", "to"], "left").select("file", "offset", F.coalesce("further", "to").alias("to")))
+    return links.join(reached.hint("merge"), ["file", "offset"], "left_semi")
 
 
 def parse_record(record: bytes) -> dict:
@@ -263,7 +265,8 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, payloads:
     gives the records before the break. An empty manifest gives no records.
     """
     entries = reachable(cut_lineage(find_links(manifest, range_bytes)))
-    entries = entries.groupBy("path", "start").agg(F.min("offset").alias("offset"))
+    entries = entries.groupBy("file", "start").agg(F.min("offset").alias("offset"))
+    entries = entries.join(manifest.select("file", "path").hint("merge"), "file").repartition("file", "start")
     names = ("record_id", "uri", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
