@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from retailscope.llm.common import planes, to_batch, unplanes
 
 #: Characters of a block of documents; distinct chunks that a task of the table remembers.
-BLOCK_CHARS, KNOWN_CHUNKS = 8_000_000, 1_000_000
+BLOCK_CHARS, KNOWN_CHUNKS = 4_000_000, 400_000
 MARKER = "▁"
 _EDGE = re.compile(f"(?<=[^ {MARKER}])[ {MARKER}]")
 ASKED = "block long, bucket int, sign long, n long, chunks binary"
@@ -48,7 +48,10 @@ def check_model(model: bytes) -> None:
 
 def chunks_of(text: str) -> list[str]:
     """Chunks without their first marker; an empty text has none."""
-    return _EDGE.split(text) if text else []
+    if not text:
+        return []
+    single = not (text[0] == " " or MARKER in text or "  " in text)
+    return text.split(" ") if single else _EDGE.split(text)
 
 
 def load(held: dict):
@@ -129,7 +132,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
         for block, ids, cut in _blocks(batches):
             dealt, sign = _distinct(cut, buckets)
             place = {chunk: n for n, chunk in enumerate(chunk for part in dealt for chunk in part)}
-            codes = np.fromiter((place[c] for chunks in cut for c in chunks), dtype=np.int64)
+            codes = np.array([n for chunks in cut for n in map(place.__getitem__, chunks)], dtype=np.int64)
             names = pa.array(ids, type=pa.int64())
             packed = pa.RecordBatch.from_arrays([names], names=["doc_id"]).serialize().to_pybytes()
             yield to_batch({"block": [block], "sign": [sign], "doc_ids": [packed], "counts": [planes(np.array([len(c) for c in cut]))], "codes": [planes(codes)]}, schema["coded"])
