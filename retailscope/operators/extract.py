@@ -542,7 +542,10 @@ def extract_listing_facts(pages: DataFrame, page_keys: Sequence[str] = ("page_id
         )
 
     count = lambda test: F.size(F.filter("_cards", test))
-    return pages.withColumn("_m", h.markup(F.col("html"))).withColumn("_cards", cards).select(
+    opening = "(?is)^" + h.selector("action", "/cart/add", "contains", "form") + "[^>]*>"
+    inside = lambda form: F.element_at(F.split(form, "(?i)</form"), 1)
+    buying_form = F.exists("_forms", lambda form: form.rlike(opening) & inside(form).rlike("(?i)<button"))
+    return pages.withColumn("_m", h.markup(F.col("html"))).withColumn("_cards", cards).withColumn("_forms", F.split(F.col("_m"), "(?i)(?=<form\\s)")).select(
         *page_keys,
         "url",
         F.size("_cards").alias("cards"),
@@ -557,7 +560,7 @@ def extract_listing_facts(pages: DataFrame, page_keys: Sequence[str] = ("page_id
         ).alias("has_filters"),
         h.matches_any(m, h.selector("name", "sort_by", tag="select"), h.selector("id", "sort", "contains"), h.selector("class", "sort-by", "contains"), h.selector("data-sort")).alias("has_sorting"),
         h.matches_any(m, h.selector("class", "pagination", "contains"), h.selector("href", "page=", "contains", "a"), h.selector("data-infinite-scroll"), h.selector("class", "load-more", "contains")).alias("has_pagination"),
-        h.matches_any(m, h.selector("data-quick-add"), h.selector("class", "quick-add", "contains"), h.selector("class", "quick-buy", "contains"), h.selector("action", "/cart/add", "contains", "form") + "[^>]*>(?:(?!</form).){0,5000}?<button").alias("has_quick_add"),
+        (h.matches_any(m, h.selector("data-quick-add"), h.selector("class", "quick-add", "contains"), h.selector("class", "quick-buy", "contains")) | buying_form).alias("has_quick_add"),
         F.lit(True).alias("static"),
     )
 
