@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from retailscope.session import checkpoint_dir, table
 
@@ -38,7 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], schema: str | StructType) -> DataFrame:
     """One dict of columns per Arrow batch, typed by ``schema``."""
     fields = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
-from retailscope.llm.common import map_arrow, to_batch
+from retailscope.llm.common import map_arrow, stored, to_batch
 from retailscope.llm.components import connect
 from retailscope.session import cut_lineage
 
@@ -166,6 +167,12 @@ def link_fingerprints(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return joined.select("a", "b")
 
 
+def label_fingerprints(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``fp`` and ``first`` of nodes with the smallest fingerprint that links lead to, its own included, as ``label``."""
+    labels = connect(link_fingerprints(nodes, distance))
+    return nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+
+
 def find_near_copies(docs: DataFrame, distance: int = DISTANCE, size: int = WORDS) -> DataFrame:
     """Every document with its ``fp`` and ``component_id``, the smallest doc_id that links lead to, its own included.
 
@@ -176,8 +183,35 @@ def find_near_copies(docs: DataFrame, distance: int = DISTANCE, size: int = WORD
     """
     rows = cut_lineage(fingerprints(docs, size))
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = connect(link_fingerprints(nodes, distance))
-    grouped = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    grouped = label_fingerprints(nodes, distance)
     smallest = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
     placed = grouped.select("fp", "label").join(smallest, "label").select("fp", "component_id")
     return rows.join(placed, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first_copies(docs: DataFrame, distance: int = DISTANCE, size: int = WORDS) -> DataFrame:
+    """One row, unchanged, of every component that ``find_near_copies`` finds.
+
+    It is the row with the smallest doc_id, a null one being larger than any other. Of several such rows it is the one with
+    the smallest fingerprint, then the smallest hash of the text and of the other columns; rows that agree in all are one.
+    So a component keeps a row even if all its ids are null, rows that repeat an id and a text leave one, and a doc_id that
+    holds texts of several components is judged in each of them.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), rest.alias("rest"))
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("_kept"), order.alias("_order"))
+    target = StructType([*rows.schema.fields, StructField("fp", LongType())])
+
+    def step(batch: pa.RecordBatch) -> dict:
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        found = np.array([fingerprint(t or b"", size) for t in texts], dtype=np.uint64)
+        return {name: batch.column(name) for name in batch.schema.names} | {"fp": found.view(np.int64)}
+
+    found = map_arrow(rows, step, target).groupBy("fp").agg(F.min_by(F.struct("doc_id", "text", "_kept"), "_order").alias("row"))
+    found = stored(found.select("fp", F.col("row.doc_id").alias("first"), F.col("row.text").alias("text"), F.col("row._kept").alias("_kept")), "fingerprints")
+    nodes = cut_lineage(found.select("fp", "first"))
+    winners = label_fingerprints(nodes, distance).groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("w"))
+    kept = found.join(winners.select(F.col("w.fp").alias("fp")), "fp", "left_semi")
+    own = {"doc_id": F.col("first"), "text": F.col("text")}
+    return kept.select(*[(own[c] if c in own else F.col("_kept")[c]).alias(c) for c in docs.columns])

@@ -27,10 +27,12 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, unchanged."""
-    found = simhash.find_near_copies(docs)
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*[F.col(c) for c in docs.columns])
+    """Of each group of near copies one row, unchanged: that with the smallest id, a null id last.
+
+    Rows are judged, not ids: of rows that repeat an id and a text one stays, also if the id is null, and an id with texts
+    of several groups may stay in one and go from another. ``keep_first_copies`` states how ties are broken.
+    """
+    return simhash.keep_first_copies(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
