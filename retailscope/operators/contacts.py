@@ -112,8 +112,10 @@ def is_confirmed_person() -> Column:
 
 def confirm_people(page_people: DataFrame, emails: DataFrame, seen: Sequence[str] = ("page_id", "pos")) -> DataFrame:
     """People of pages and mailboxes, strongest per name, with a mailbox if
-    one spells the name; those without second evidence are dropped."""
-    from_pages = page_people.withColumn("_from", F.lit(0)).withColumn("_seen", F.struct(*[F.col(c).cast("bigint").alias(c) for c in seen]))
+    one spells the name; those without second evidence, and names that are
+    none of a person, are dropped."""
+    domain = F.col("store_domain") if "store_domain" in page_people.columns else None
+    from_pages = page_people.filter(looks_like_person_name(F.col("name"), domain)).withColumn("_from", F.lit(0)).withColumn("_seen", F.struct(*[F.col(c).cast("bigint").alias(c) for c in seen]))
     derived = people_from_mailboxes(emails).withColumn("_from", F.lit(1)).withColumn(
         "_seen", F.struct(*[F.lit(0).cast("bigint").alias(c) for c in seen])
     )

@@ -130,13 +130,9 @@ fine AS (SELECT b.store_id, b.name, b.role, b.source, b.page_kind, m.mailbox, b.
 """
 
 
-def _whole_names(df):
-    return df.filter(~F.col("name").endswith("Sklep"))
-
-
 @registry.add("confirm_people", st.with_tables(CONFIRMED + "SELECT store_id, k AS name_key, role, source, mailbox FROM fine", people=PEOPLE, boxes=BOXES))
 def confirm_people(spark, sf):
-    pages = _whole_names(run_sql(spark, sf, PEOPLE)).withColumn("page_id", F.col("person_id")).withColumn("pos", F.lit(0))
+    pages = run_sql(spark, sf, PEOPLE).withColumn("page_id", F.col("person_id")).withColumn("pos", F.lit(0))
     return contacts.confirm_people(pages, run_sql(spark, sf, BOXES)).select("store_id", "name_key", "role", "source", "mailbox")
 
 
@@ -215,7 +211,7 @@ CANDIDATE_RELATIONS = {"people": PEOPLE, "boxes": BOXES, "stores": STORES, "link
 
 
 def candidates(spark, sf):
-    pages = _whole_names(run_sql(spark, sf, PEOPLE)).withColumn("page_id", F.col("person_id")).withColumn("pos", F.lit(0))
+    pages = run_sql(spark, sf, PEOPLE).withColumn("page_id", F.col("person_id")).withColumn("pos", F.lit(0))
     people = contacts.confirm_people(pages, run_sql(spark, sf, BOXES))
     return contacts.union_candidates(
         run_sql(spark, sf, STORES), people, run_sql(spark, sf, SEARCHED), run_sql(spark, sf, BOXES), run_sql(spark, sf, LINKS), run_sql(spark, sf, COMPANIES)
@@ -239,7 +235,7 @@ def union_candidates(spark, sf):
     ),
 )
 def collect_store_contacts(spark, sf):
-    pages = _whole_names(run_sql(spark, sf, PEOPLE)).withColumn("page_id", F.col("person_id")).withColumn("pos", F.lit(0))
+    pages = run_sql(spark, sf, PEOPLE).withColumn("page_id", F.col("person_id")).withColumn("pos", F.lit(0))
     boxes = run_sql(spark, sf, BOXES)
     return contacts.collect_store_contacts(run_sql(spark, sf, STORES), boxes, run_sql(spark, sf, LINKS), contacts.confirm_people(pages, boxes))
 
@@ -261,6 +257,25 @@ def evidence_lists(spark, sf):
     return lists.select("store_id", "kind", "part", F.array_join("items", " ").alias("items"))
 
 
+@registry.add(
+    "evidence_lists_with_people",
+    st.with_tables(
+        CONFIRMED
+        + """SELECT store_id, kind, CAST(floor((rn - 1) / 2) AS BIGINT) AS part, string_agg(item, ' ' ORDER BY rn) AS items FROM (
+        SELECT store_id, kind, item, row_number() OVER (PARTITION BY store_id, kind ORDER BY grade, item) AS rn FROM (
+            SELECT store_id, concat(bucket, '_emails') AS kind, CASE source WHEN 'mailto' THEN 0 ELSE 3 END AS grade, email AS item FROM boxes
+            UNION ALL SELECT store_id, 'profile_links', CASE link_kind WHEN 'profile' THEN 0 ELSE 1 END, link FROM links
+            UNION ALL SELECT store_id, 'people', CASE WHEN role IS NULL THEN 1 ELSE 0 END, name FROM fine)) GROUP BY ALL""",
+        people=PEOPLE,
+        boxes=BOXES,
+        links=LINKS,
+    ),
+)
+def evidence_lists_with_people(spark, sf):
+    lists = contacts.evidence_lists(run_sql(spark, sf, BOXES), run_sql(spark, sf, LINKS), confirmed(spark, sf), per_part=2)
+    return lists.select("store_id", "kind", "part", F.array_join("items", " ").alias("items"))
+
+
 PLAIN = """
 SELECT o_orderkey AS contact_rank, o_custkey AS store_id, CASE WHEN o_orderpriority < '4' THEN concat('Person ', CAST(month(o_orderdate) AS VARCHAR(9))) END AS name, CASE WHEN o_totalprice > 300000 THEN 'CEO' END AS role,
        CASE WHEN o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED') THEN concat('box', CAST(CAST(floor(o_totalprice / 300) AS BIGINT) AS VARCHAR(20)), '@mail', CAST(CAST(floor(o_totalprice / 40000) AS BIGINT) AS VARCHAR(20)), '.shop') END AS email,
