@@ -24,6 +24,8 @@ ROUNDS, SETTLED = 40, 1e-4
 PENALTY, SMOOTHING = 1.5, 0.5
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+#: The same characters in Spark's patterns.
+LETTERS = r"[\p{L}\p{Nl}\p{No}]"
 _WORDS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
 _EDGE = np.uint32(32)
 

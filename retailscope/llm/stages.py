@@ -20,8 +20,14 @@ def _restored(found: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and those without a letter go. ``lang`` stays as it was."""
+    """Documents whose language can be told; null texts and those without a letter go. ``lang`` stays as it was.
+
+    If no document outside the held-out fold has a ``lang``, no language can be told from another, and every text with a
+    letter stays.
+    """
     languages, chances = language.learn(docs)
+    if not languages:
+        return docs.where(F.coalesce(F.col("text").rlike(language.LETTERS), F.lit(False)))
     found = language.predict(docs.select("text", _kept(docs, "text")), languages, chances, ("_kept",), with_text=True)
     return _restored(found.where(F.col("lang_pred") != language.UNKNOWN), docs, text=F.col("text"))
 
