@@ -1,8 +1,8 @@
 """Embedding near-copies: inverted lists, product-quantised residuals, table-lookup distances, exact cosines.
 
 Every vector is indexed in the list of its nearest centroid, with the codes of its residual's subspaces and the norm of
-what the codes leave over. A query looks into every list that a vector within its radius can lie in, sums looked-up
-squares per code, and keeps what may lie within the radius, given each vector's own coding error; so the filter loses
+what the codes leave over. A query looks into every list whose edge lies within half its radius, so that of every pair
+one finds the other, sums looked-up squares per code, and keeps what may lie within the radius, given each vector's own coding error; so the filter loses
 nothing. What is kept is decided by cosine in double precision. Pairs are counted and joined where they are found and
 never leave the task.
 """
@@ -27,9 +27,9 @@ COSINE = 0.95
 FIT_VECTORS = 16_384
 #: Vectors per list aimed at; lists at most; subspaces and codes of each.
 LIST_SIZE, MAX_LISTS, SUBSPACES, CODES = 200, 4096, 8, 64
-#: A list is probed if its edge lies within this many standard deviations of a neighbour's step along one direction.
-#: The square root of the dimension would prove every probe; see ``recall`` in the tests.
-REACH = 4.0
+#: A list is probed if its edge lies within this part of the radius. The distances of two vectors of a pair to the edge
+#: between their lists add up to at most the radius, so one of the two finds the other, whatever the dimension.
+REACH = 0.5
 #: Vectors of a list, and queries to it, that meet in one task; larger lists are cut into tiles.
 TILE, STEP = 2048, 128
 CODED = "id long, n long, cell int, probes array<int>, codes binary, error double, vector binary"
@@ -67,7 +67,7 @@ def place(index: dict, unit: np.ndarray, radius: float) -> tuple[np.ndarray, lis
         size = (centres**2).sum(axis=1)
         index["between"] = np.sqrt(np.maximum(0, size[:, None] + size - 2 * centres @ centres.T))
     between = index["between"]
-    reach = radius * min(1.0, REACH / np.sqrt(unit.shape[1]))
+    reach = radius * REACH
     rows = np.arange(len(unit))
     probed = apart - apart[rows, cell][:, None] <= 2 * reach * between[cell] + 1e-12
     rest = unit - centres[cell]
