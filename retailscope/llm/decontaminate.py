@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailscope.llm.common import map_arrow
+from retailscope.llm.common import map_arrow, stored
 
 WINDOW = 10
-#: Bytes of benchmark text that one automaton holds; larger benchmarks are scanned for in several parts.
-PART_BYTES = 32_000_000
+#: Bytes of windows that one automaton holds, which takes some 50 times as much while it is built; larger benchmarks are
+#: scanned for in several parts, packed of so many cells each.
+PART_BYTES, CELLS_A_PART = 8_000_000, 16
 _TO_WORDS = bytes(
     c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32
     for c in range(256)
@@ -101,6 +102,19 @@ def _scan_part(rows: DataFrame, items: list[tuple[str, bytes]], size: int, with_
     return map_arrow(rows, step, SCHEMA.replace("_row long", f"_key {key_type}{', text binary' if with_text else ''}"))
 
 
+def pack_cells(sizes: dict[int, int], most: int) -> list[tuple[int, int]]:
+    """Ranges of neighbouring cells, each of at most ``most`` bytes or of one cell."""
+    ranges: list[tuple[int, int]] = []
+    held = 0
+    for cell in sorted(sizes):
+        if ranges and held + sizes[cell] <= most:
+            ranges[-1], held = (ranges[-1][0], cell), held + sizes[cell]
+        else:
+            ranges.append((cell, cell))
+            held = sizes[cell]
+    return ranges
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_bytes: int = PART_BYTES, carry: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """Every document with its benchmark hits.
 
@@ -110,30 +124,38 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
 
     Null or wordless texts have no words and no hits; null or wordless items have no window; an item without id counts
     as item ''. Repeated documents are judged row by row, repeated item ids count once. An empty benchmark hits nothing.
-    The benchmark is gathered in parts of at most ``part_bytes`` (or one item), each scanned with its own automaton;
-    with several parts a document's hits are merged by row.
+    The benchmark is gathered in parts whose windows have at most ``part_bytes`` together (or one item), each scanned with
+    its own automaton. Several parts are scanned and stored one after another, and a document's hits are merged by row.
     """
     listed = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    total = listed.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    parts = -(-total // part_bytes) or 1
+    listed = listed.distinct().withColumn("bytes", (F.octet_length("text") + 1) * F.lit(size).cast("long"))
+    total = listed.agg(F.sum("bytes")).head()[0] or 0
+    cells = CELLS_A_PART * -(-total // part_bytes) if total > part_bytes else 1
+    listed = listed.withColumn("cell", F.pmod(F.xxhash64("item", "text"), F.lit(cells)))
+    sizes = {r["cell"]: r["bytes"] for r in listed.groupBy("cell").agg(F.sum("bytes").alias("bytes")).collect()} if cells > 1 else {}
+    parts = pack_cells(sizes, part_bytes) or [(0, cells - 1)]
     rows = docs.select(F.struct(*carry).alias("_key"), F.col("text").cast("binary").alias("text"))
-    if parts > 1:
-        rows = rows.withColumn("_key", F.struct(F.monotonically_increasing_id().alias("_row"), F.col("_key").alias("_in")))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
-    scanned = [_scan_part(rows, [(r[0], bytes(r[1])) for r in listed.where(part == n).collect()], size, with_text) for n in range(parts)]
-    found = scanned[0]
-    if parts > 1:
-        for more in scanned[1:]:
-            found = found.unionByName(more)
-        found = found.groupBy("_key").agg(
+    if len(parts) > 1:
+        rows = stored(rows.withColumn("_key", F.struct(F.monotonically_increasing_id().alias("_row"), F.col("_key").alias("_in"))), "numbered")
+    found = None
+    for low, high in parts:
+        items = [(r["item"], bytes(r["text"])) for r in listed.where(F.col("cell").between(low, high)).select("item", "text").collect()]
+        first = found is None
+        more = _scan_part(rows, items, size, with_text and first)
+        if len(parts) > 1:
+            more = more.select(F.col("_key._row").alias("_row"), *[c for c in more.columns if c != "_key"], *([F.col("_key._in").alias("_in")] if first else []))
+            more = stored(more if first else more.where(F.size("hit_words") > 0), "scanned")
+        found = more if first else found.unionByName(more, allowMissingColumns=True)
+    if len(parts) > 1:
+        found = found.groupBy("_row").agg(
+            F.any_value("_in", True).alias("_key"),
             F.max("n_words").alias("n_words"),
-            *([F.any_value("text").alias("text")] if with_text else []),
+            *([F.any_value("text", True).alias("text")] if with_text else []),
             F.flatten(F.collect_list("hit_words")).alias("hit_words"),
             F.flatten(F.collect_list("spans")).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
         found = found.withColumn("hit_words", _merged("hit_words", "first", "last", 1)).withColumn("spans", _merged("spans", "start", "end", 0))
-        found = found.withColumn("_key", F.col("_key._in"))
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
     text = [F.col("text").cast("string").alias("text")] if with_text else []
     return found.select(*[F.col(f"_key.{c}").alias(c) for c in carry], *text, "n_words", n_hit.alias("n_hit"), "items", "spans")

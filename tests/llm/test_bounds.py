@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import brute
 import pytest
 from pyspark.sql import functions as F
 
-from retailscope.llm import suffixes
+from retailscope.llm import decontaminate, suffixes
 
 
 def test_another_order_of_the_second_reading_fails(spark, tmp_path):
@@ -17,3 +18,32 @@ def test_another_order_of_the_second_reading_fails(spark, tmp_path):
     short = docs.withColumn("text", F.substring("text", 1, 20))
     with pytest.raises(Exception, match="not read twice in the same order"):
         suffixes.find_repeats(short).collect()
+
+
+def test_suffix_buckets_follow_the_input(spark, monkeypatch):
+    texts = [(i, f"{i % 7} " + "passage that many of the documents hold in the same words " * (1 + i % 3)) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 50)
+    total, partitions = sum(len(t) for _, t in texts), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = suffixes.find_repeats(docs)
+    assert suffixes.bucket_count(docs) == -(-total // 50) > partitions
+    want = {i: kept for (i, _), (*_, kept, _) in zip(texts, brute.repeats(texts), strict=True)}
+    assert {r["doc_id"]: bytes(r["kept"]) for r in found.collect()} == want
+
+
+def test_benchmark_parts_are_bounded_by_their_windows(spark, monkeypatch):
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(12))) for n in range(30)]
+    docs = [(i, f"begin {items[i % 30][1]} middle {items[(i * 7) % 30][1]} end" if i % 3 else "nothing of it") for i in range(30)] + [(None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    parts, plain = [], decontaminate._scan_part
+    monkeypatch.setattr(decontaminate, "_scan_part", lambda rows, held, *a: parts.append(held) or plain(rows, held, *a))
+    for with_text in (False, True):
+        parts.clear()
+        found = decontaminate.find_contamination(frame, bench, part_bytes=8000, with_text=with_text)
+        assert 1 < len(parts) < 30 and sum(len(p) for p in parts) == 30
+        assert all(sum(len(w) for _, t in p for w in decontaminate.windows_of(t)) <= 8000 for p in parts)
+        want = sorted(((i, *w) for (i, _), w in zip(docs, brute.contamination(docs, items), strict=True)), key=repr)
+        rows = found.collect()
+        assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in rows), key=repr) == want
+        assert not with_text or {(r["doc_id"], r["text"]) for r in rows} == set(docs)
