@@ -170,6 +170,18 @@ def test_token_files(docs, no_docs, monkeypatch):
     assert tokenfiles.read_token_files(tokenfiles.write_token_files(no_docs, path)).count() == 0
 
 
+def test_token_files_leave_other_files(docs, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = tmp_path / "somebody-elses.txt"
+    other.write_text("kept")
+    first = tokenfiles.write_token_files(docs, path, folder=str(tmp_path))
+    want = sorted(map(str, tokenfiles.read_token_files(first).collect()))
+    second = tokenfiles.write_token_files(docs, path, folder=str(tmp_path))
+    assert other.read_text() == "kept"
+    assert sorted(map(str, tokenfiles.read_token_files(first).collect())) == want
+    assert sorted(map(str, tokenfiles.read_token_files(second).collect())) == want
+
+
 def test_token_counts(docs, no_docs):
     from tokenizers import Tokenizer
 
