@@ -7,8 +7,6 @@ text in one language is not split over relatives of it.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +21,8 @@ ROUNDS, SETTLED = 40, 1e-4
 #: Trigrams overlap, so a language must gain three times the usual half log of their number.
 PENALTY, SMOOTHING = 1.5, 0.5
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-#: The same characters in Spark's patterns.
-LETTERS = r"[\p{L}\p{Nl}\p{No}]"
+#: Letters in Spark's patterns; number signs such as superscripts, fractions and Roman numerals are none.
+LETTERS = r"\p{L}"
 _WORDS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
 _EDGE = np.uint32(32)
 
@@ -124,7 +121,7 @@ def predict(docs: DataFrame, languages: list[str], chances: np.ndarray, carry: t
         names, scores, shares = [], [], []
         for text in batch.column("text").to_pylist():
             found: list[tuple[str, float]] = []
-            if text and languages and _LETTER.search(text):
+            if text and languages and any(map(str.isalpha, text)):
                 cells, counts = trigram_counts(text)
                 chosen, share = infer(table[cells], counts)
                 found = [(languages[c], min(1.0, float(s))) for c, s in zip(chosen, share, strict=True)]
