@@ -106,6 +106,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     with open(tokenizer_path) as file:
         shared = spark.sparkContext.broadcast({"model": file.read()})
     target = to_arrow_schema(spark.createDataFrame([], MANIFEST).schema)
+    token = uuid.uuid4().hex
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
@@ -117,7 +118,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
             return
         store, path = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), folder)
         store.create_dir(path)
-        name = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}"
+        name = f"{token}-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}"
         n_docs = n_tokens = 0
         with store.open_output_stream(f"{path}/{name}.ids") as ids, store.open_output_stream(f"{path}/{name}.offsets") as offsets, store.open_output_stream(f"{path}/{name}.docs") as names:
             offsets.write(np.zeros(1, dtype="<u8").tobytes())
@@ -137,7 +138,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     rows = docs.select("doc_id", "text").withColumn("_order", F.monotonically_increasing_id())
     dealt = rows.repartitionByRange("doc_id", "_order").sortWithinPartitions("doc_id", "_order")
     manifest = stored(dealt.select("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
-    drop_orphans(manifest, folder)
+    drop_orphans(manifest, folder, token)
     return manifest
 
 
@@ -146,12 +147,15 @@ def _chain(first, rest):
     yield from rest
 
 
-def drop_orphans(manifest: DataFrame, folder: str) -> None:
-    """Deletes files of attempts that were not committed; there are as many names as files."""
+def drop_orphans(manifest: DataFrame, folder: str, token: str) -> None:
+    """Deletes files of this write's attempts that were not committed; their names begin with its ``token``.
+
+    Files of other writes and of others stay. There are as many names as files.
+    """
     store, path = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), folder)
     keep = {r[0].rsplit("/", 1)[-1] for r in manifest.select("path").collect()}
     for info in store.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True)):
-        if info.base_name.partition(".")[0] not in keep:
+        if info.base_name.startswith(f"{token}-") and info.base_name.partition(".")[0] not in keep:
             store.delete_file(info.path)
 
 
