@@ -27,6 +27,8 @@ from retailscope.session import cut_lineage
 REVISIT_BYTES = 100
 #: Bytes of a file that one scan step looks for candidates in.
 RANGE_BYTES = 4_000_000
+#: Most tasks that read ranges; beyond it a task reads several.
+MAX_TASKS = 20_000
 _READ = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 GZIP_MAGIC, PLAIN_MAGIC = b"\x1f\x8b\x08", b"WARC/1."
@@ -197,6 +199,11 @@ def _ranges(manifest: DataFrame, range_bytes: int) -> DataFrame:
     return cut.select("file", "path", "size", "start", F.least(F.col("start") + range_bytes, "size").alias("stop"))
 
 
+def _dealt(ranges: DataFrame) -> DataFrame:
+    """A task for about each range; without a number the small rows would be put into one task."""
+    return ranges.repartition(max(1, min(ranges.count(), MAX_TASKS)), "file", "start")
+
+
 def find_links(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Candidates with the offset where their chain leaves their range: ``file``, ``start`` of the range, ``offset``, ``leaves``."""
 
@@ -215,8 +222,7 @@ def find_links(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
         return out
 
     ranges = _ranges(manifest, range_bytes)
-    dealt = ranges.repartition("file", "start")
-    return map_arrow(dealt, step, "file long, start long, offset long, leaves long")
+    return map_arrow(_dealt(ranges), step, "file long, start long, offset long, leaves long")
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -266,7 +272,7 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, payloads:
     """
     entries = reachable(cut_lineage(find_links(manifest, range_bytes)))
     entries = entries.groupBy("file", "start").agg(F.min("offset").alias("offset"))
-    entries = entries.join(manifest.select("file", "path").hint("merge"), "file").repartition("file", "start")
+    entries = entries.join(manifest.select("file", "path").hint("merge"), "file")
     names = ("record_id", "uri", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,5 +291,5 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, payloads:
                 yield to_batch(out, target)
 
     target = to_arrow_schema(manifest.sparkSession.createDataFrame([], RECORD).schema)
-    return entries.mapInArrow(run, RECORD)
+    return _dealt(cut_lineage(entries)).mapInArrow(run, RECORD)
 
