@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import decontaminate, language, sentencepieces, simhash, suffixes, tokencounts, tokenfiles, urlfilter, vectors, warc
+from retailscope.llm import conversations, decontaminate, language, sentencepieces, simhash, suffixes, tokencounts, tokenfiles, urlfilter, vectors, warc
 from retailscope.llm.common import documents
 from retailscope.plans.registry import Registry
 from retailscope.session import table
@@ -119,3 +119,9 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@registry.add("op13_conversation_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage_turns(table(spark, sf_dir, "conversations"))
+    return conversations.fold_pieces(conversations.repair_conversations(damaged))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import xxhash
@@ -99,3 +100,79 @@ def url_verdict(url: str | None, rules) -> tuple:
     fits = [(len(h + p), len(h), h + p, a) for h, p, a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fits, default=None)
     return host, path, best and best[2], best[3] if best else "allow"
+
+
+def all_edits(initials, forced, cut):
+    """Every way to edit a short conversation as (cost, letters), tried without any table."""
+
+    def go(row, shape):
+        for inserted in ("", "u", "a", "ua", "au"):
+            paid, letters = 3 * len(inserted), "I" * len(inserted)
+            if row == len(initials):
+                yield paid, letters, shape + inserted
+                continue
+            kept = [] if forced[row] else [(0, "K", initials[row]), (3, "R", "u"), (3, "R", "a")]
+            for cost, letter, initial in [(4, "D", None), *kept]:
+                more = 3 if letter != "D" and cut[row] else 0
+                for rest, tail, whole in go(row + 1, shape + inserted + ("" if initial is None else initial or "?")):
+                    yield paid + cost + more + rest, letters + letter + tail, whole
+
+    return min((c, x) for c, x, shape in go(0, "") if re.fullmatch(r"(s?(ua)+)?", shape))
+
+
+def repaired(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, sha) of one conversation's (turn, role, text) in order."""
+    space = " \t\n\x0b\x0c\r"
+    seen, state, count = set(), {"": (0, "", ())}, [0, 0, 0]
+
+    def grown(before, paid, letters, lines):
+        found = dict(before)
+        for shape, (cost, audit, text) in before.items():
+            for initial, line in lines:
+                after = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}[shape].get(initial)
+                if after and (letters == "K" or initial != "s"):
+                    found[after] = min(found.get(after, (10**9, "", ())), (cost + paid, audit + letters, (*text, line)))
+        return found
+
+    def inserted(before):
+        for _ in range(3):
+            before = grown(before, 3, "I", [("u", "user:"), ("a", "assistant:")])
+        return before
+
+    for _, role, text in rows:
+        left = text.rstrip(space)
+        fault = 0 if not left.strip(space) else 1 if (role, text) in seen else 2 if left[-1] not in ".!?" else 3
+        seen.add((role, text))
+        if fault < 3:
+            count[fault] += 1
+        options = inserted(state)
+        state = {s: (c + 4, a + "D", t) for s, (c, a, t) in options.items()}
+        if fault >= 2:
+            more = 3 if fault == 2 else 0
+            for paid, letter, lines in ((more, "K", [(role[:1], f"{role}:{text}")]), (3 + more, "R", [("u", f"user:{text}"), ("a", f"assistant:{text}")])):
+                for s, option in options.items():
+                    for after, value in grown({s: option}, paid, letter, lines).items():
+                        if value is not option:
+                            state[after] = min(state.get(after, (10**9, "", ())), value)
+    final = inserted(state)
+    cost, audit, lines = min(final[s] for s in ("", "a") if s in final)
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    return (gaps, *count, illegal, cost, audit, sha("\n".join(lines).encode()))
+
+
+def damaged(rows):
+    """Conversations after damage: id to its ordered (turn, role, text)."""
+    found = {}
+    for conv, turn, role, text in rows:
+        held = found.setdefault(conv, [])
+        role, text = " " if role is None else role, " " if text is None else text
+        fault = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if fault == 0:
+            continue
+        text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+        held += [(turn, "user" if fault == 4 else role, text)] * (2 if fault == 3 else 1)
+    for held in found.values():
+        held.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], sha(str(len(r[1].encode())).encode() + b" " + (r[1] + r[2]).encode())))
+    return found
