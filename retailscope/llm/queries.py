@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import conversations, decontaminate, language, sentencepieces, simhash, suffixes, tokencounts, tokenfiles, urlfilter, vectors, warc
+from retailscope.llm import conversations, decontaminate, language, phrases, sentencepieces, simhash, suffixes, tokencounts, tokenfiles, urlfilter, vectors, warc
 from retailscope.llm.common import documents
 from retailscope.plans.registry import Registry
 from retailscope.session import table
@@ -125,3 +125,40 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = conversations.damage_turns(table(spark, sf_dir, "conversations"))
     return conversations.fold_pieces(conversations.repair_conversations(damaged))
+
+
+PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(words)) AS HUGEINT) AS n FROM split GROUP BY lang
+), phrases AS (
+  SELECT lang, m, array_to_string(words[i : i + m - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f
+  FROM split, unnest(range(1, 6)) t(m), unnest(range(1, len(words) - m + 2)) u(i)
+  GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[: k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') AS rest
+  FROM phrases, unnest(range(1, m)) t(k) WHERE m > 1
+), scored AS (
+  SELECT c.lang, c.phrase, a, h.f AS l, r.f AS r, n, (1000 * a * n) // (h.f * r.f) AS score
+  FROM cuts c JOIN phrases h ON h.lang = c.lang AND h.phrase = head JOIN phrases r ON r.lang = c.lang AND r.phrase = rest JOIN totals t ON t.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), parts AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i : i + s - 1], ' ') AS phrase, max(f) AS longer
+  FROM phrases, unnest(range(2, m)) t(s), unnest(range(1, m - s + 2)) u(i) GROUP BY ALL
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN parts p ON p.lang = s.lang AND p.phrase = s.phrase WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
+@registry.add("op12_phrase_collocations", PHRASE_SQL)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir)).drop("cut")

@@ -176,3 +176,34 @@ def damaged(rows):
     for held in found.values():
         held.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], sha(str(len(r[1].encode())).encode() + b" " + (r[1] + r[2]).encode())))
     return found
+
+
+def collocations(rows, least, top):
+    """Rows of (lang, rank, phrase, a, l, r, n, score) of (lang, text), by counting every phrase."""
+    counts, totals = {}, {}
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\\x0A-\\x0D]", low(text)):
+            words = re.findall("[^\\x20\\x09]+", piece)
+            totals[lang] = totals.get(lang, 0) + len(words)
+            for m in range(1, 6):
+                for i in range(len(words) - m + 1):
+                    key = lang, tuple(words[i : i + m])
+                    counts[key] = counts.get(key, 0) + 1
+    kept = {k: f for k, f in counts.items() if len(k[1]) > 1 and f >= least}
+    inside = set()
+    for (lang, words), f in counts.items():
+        for size in range(2, len(words)):
+            for i in range(len(words) - size + 1):
+                if 100 * f >= 100 * counts[lang, words[i : i + size]]:
+                    inside.add((lang, words[i : i + size]))
+    out = []
+    for lang in totals:
+        found = []
+        for (of, words), a in kept.items():
+            if of == lang and (lang, words) not in inside:
+                cuts = ((1000 * a * totals[lang] // (counts[lang, words[:k]] * counts[lang, words[k:]]), k) for k in range(1, len(words)))
+                score, k = min(cuts)
+                found.append((-score, -a, " ".join(words).encode(), " ".join(words), a, counts[lang, words[:k]], counts[lang, words[k:]], totals[lang], score))
+        out += [(lang, n, *row[3:]) for n, row in enumerate(sorted(found)[:top], 1)]
+    return out
