@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import conversations, decontaminate, language, phrases, sentencepieces, simhash, suffixes, tokencounts, tokenfiles, urlfilter, vectors, warc
+from retailscope.llm import conversations, decontaminate, language, licences, phrases, sentencepieces, simhash, suffixes, tokencounts, tokenfiles, urlfilter, vectors, warc
 from retailscope.llm.common import documents
 from retailscope.plans.registry import Registry
 from retailscope.session import table
@@ -162,3 +162,19 @@ FROM ranked WHERE rank <= 2000
 @registry.add("op12_phrase_collocations", PHRASE_SQL)
 def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir)).drop("cut")
+
+
+@registry.add("op11_license_scans")
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(documents(spark, sf_dir))
+    labels = F.array_union("whole_labels", F.col("spans.label"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.col("n_whole").alias("n_base"),
+        "first_word",
+        "last_word",
+        F.array_join("whole_labels", ",").alias("base_labels"),
+        F.array_join(F.array_sort(labels), ",").alias("labels"),
+        F.col("cover").alias("score"),
+    )

@@ -207,3 +207,28 @@ def collocations(rows, least, top):
                 found.append((-score, -a, " ".join(words).encode(), " ".join(words), a, counts[lang, words[:k]], counts[lang, words[k:]], totals[lang], score))
         out += [(lang, n, *row[3:]) for n, row in enumerate(sorted(found)[:top], 1)]
     return out
+
+
+PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+
+
+def phrase_places(text):
+    """(n_words, n_base, first_word, last_word, base_labels) by comparing every place with every phrase."""
+    words, places, labels = WORD.findall(low(text)), [], set()
+    for phrase, label in PHRASES.items():
+        parts = phrase.split()
+        here = [i for i in range(len(words)) if words[i : i + len(parts)] == parts]
+        places += here
+        labels |= {label} if here else set()
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def longest_runs(words, template):
+    """After each word the longest run ending there that occurs in the template."""
+    found = []
+    for i in range(len(words)):
+        size = 0
+        while size <= i and any(template[j : j + size + 1] == words[i - size : i + 1] for j in range(len(template) - size)):
+            size += 1
+        found.append(size)
+    return found
