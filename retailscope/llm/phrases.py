@@ -1,12 +1,15 @@
 """Collocations: phrases of two to five words that go together, mined by sampling.
 
-Toivonen's method: phrases frequent in a sample are proposed; one pass over all documents counts them and their border,
-the phrases one word longer whose two shorter parts are both proposed. If a border phrase turns out frequent, the proposals
-grow by it and another pass counts what that adds, until no new frequent phrase is found. Every count is exact and over all
-documents: a frequent phrase has only frequent parts, so by induction it is counted in some pass.
-
-Which windows a pass counts is asked of a bitmap of hashed phrases of bounded size. It never misses a proposed phrase; a
-window that it lets through by chance is counted like any other and costs time, not correctness.
+Toivonen's method: phrases frequent in a sample are proposed; a pass over all documents counts them and their border, the
+phrases one word longer whose two shorter parts are both proposed. A border phrase that turns out frequent is a failure: what
+it lets grow was not counted. An expansion pass counts that too, and takes each phrase it newly counts as possibly frequent,
+so whatever could grow from it is counted in the same pass and no further one is needed. Every frequent phrase has only
+frequent parts, so by induction it is counted.
+
+The first pass counts hashes of 64 bits, so texts of the many rare border phrases are never sent; a hash has at least the
+count of each phrase behind it. The expansion pass counts the words themselves of what reached the threshold, so results
+never depend on a hash. Which windows are proposed or frequent is asked of bitmaps of bounded size. They never miss one; a
+window that they let through by chance is counted like any other and costs time, not correctness.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ SAMPLE_SHARE, SLACK = 0.1, 0.7
 #: Bits of the bitmap for each proposed phrase, and its least and greatest size in bits (32 MB).
 BITS_EACH, MIN_BITS, MAX_BITS = 16, 1 << 20, 1 << 28
 #: Words held before they are counted, distinct words a task remembers, bytes of a text read at once.
-BUFFER_WORDS, KNOWN_WORDS, SLICE_BYTES = 500_000, 1_000_000, 4_000_000
+BUFFER_WORDS, KNOWN_WORDS, SLICE_BYTES = 1_000_000, 1_000_000, 4_000_000
 UNKNOWN = "und"
 #: Ends of pieces become full stops, tabs become spaces, A-Z lower case.
 _EDGE = b"."
@@ -61,19 +64,11 @@ def held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def bitmap(phrases: DataFrame, size: int) -> np.ndarray:
-    """A bitmap of ``size`` bits of the phrases (``lang``, ``phrase``); tasks send words of 64 bits, so its size bounds what comes back."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)
-            hashes = np.array([phrase_hash(lang, phrase.split(b" ")) for lang, phrase in rows], dtype=np.uint64)
-            last = np.uint64(size - 1)
-            places = np.concatenate([hashes & last, (hashes >> np.uint64(32)) & last])
-            bits = np.left_shift(np.uint64(1), places & np.uint64(63)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((places >> np.uint64(6)).astype(np.int64)), pa.array(bits)], names=["slot", "bits"])
-
-    found = phrases.select("lang", "phrase").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+def bitmap(hashes: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits of hashes (``h``); words of 64 bits come back, so its size bounds what does."""
+    places = hashes.select(F.explode(F.array(F.expr(f"h & {size - 1}L"), F.expr(f"shiftrightunsigned(h, 32) & {size - 1}L"))).alias("place"))
+    slots = places.groupBy(F.expr("shiftright(place, 6)").alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
+    found = slots.toArrow()
     words = np.zeros(size // 64, dtype=np.int64)
     words[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
     return words.view(np.uint8)
@@ -113,14 +108,15 @@ def numbered(text: bytes, vocabulary: Vocabulary) -> Iterator[np.ndarray]:
 
 
 class Windows:
-    """Counts windows of words by language, buffer by buffer."""
+    """Windows of words by language, worked out buffer by buffer."""
 
-    def __init__(self, lengths: Sequence[int], new: np.ndarray | None, old: np.ndarray | None) -> None:
-        self.lengths, self.new, self.old = lengths, new, old
+    def __init__(self, lengths: Sequence[int], proposed: np.ndarray | None, frequent: np.ndarray | None = None) -> None:
+        self.lengths, self.proposed, self.frequent = lengths, proposed, frequent
         self.vocabulary, self.parts, self.size = Vocabulary(), {}, 0
 
-    def add(self, lang: str, text: bytes) -> Iterator[dict]:
-        """Takes a text in; the last words of a slice go before the next one, where only windows that reach on count."""
+    def add(self, lang: str, text: bytes) -> bool:
+        """Takes a text in and says whether the buffer is full. The last words of a slice go before the next one, where only
+        windows that reach on count."""
         if not self.parts and len(self.vocabulary.words) > KNOWN_WORDS:
             self.vocabulary = Vocabulary()
         back = max(self.lengths) - 1
@@ -130,83 +126,124 @@ class Windows:
             self.size += len(numbers)
             both = np.concatenate([carry, numbers])
             carry = both[len(both) - min(back, len(both)) :]
-            if self.size >= BUFFER_WORDS:
-                yield from self.flush()
+        return self.size >= BUFFER_WORDS
 
-    def flush(self) -> Iterator[dict]:
+    def drain(self) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per language the words held, which of them were carried over, and the hashes of single words."""
+        hashes, edge = self.vocabulary.hashed(), np.zeros(1, dtype=np.int64)
         for lang, parts in self.parts.items():
-            yield from self.count(lang, parts)
+            x = np.concatenate([a for carry, numbers in parts for a in (carry, numbers, edge)])
+            again = np.concatenate([np.full(n, flag) for carry, numbers in parts for n, flag in ((len(carry), True), (len(numbers), False), (1, True))])
+            yield lang, x, again, np.uint64(phrase_hash(lang, ()) * int(_STEP) & 0xFFFFFFFFFFFFFFFF) + hashes[x]
         self.parts, self.size = {}, 0
 
-    def count(self, lang: str, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[dict]:
-        """Counted windows: those whose two parts are proposed and were not both proposed in an earlier pass."""
-        edge = np.zeros(1, dtype=np.int64)
-        x = np.concatenate([a for carry, numbers in parts for a in (carry, numbers, edge)])
-        again = np.concatenate([np.full(n, flag) for carry, numbers in parts for n, flag in ((len(carry), True), (len(numbers), False), (1, True))])
-        words, hashes = self.vocabulary.words, self.vocabulary.hashed()
-        real = x > 0
-        fresh = x[real & ~again]
-        if 1 in self.lengths and len(fresh):
-            numbers, counts = np.unique(fresh, return_counts=True)
-            yield {"lang": lang, "m": 1, "phrase": [words[i] for i in numbers], "n": counts}
-            yield {"lang": lang, "m": 0, "phrase": [b""], "n": np.array([len(fresh)])}
-        h = np.uint64(phrase_hash(lang, ()) * int(_STEP) & 0xFFFFFFFFFFFFFFFF) + hashes[x]
-        new, old = self.proposed(self.new, h, real), self.proposed(self.old, h, real)
-        for m in range(2, max(self.lengths) + 1):
-            if len(x) < m or not new.any():
-                return
-            both, before = new[:-1] & new[1:], old[:-1] & old[1:]
-            h = h[:-1] * _STEP + hashes[x[m - 1 :]]
-            if m in self.lengths:
-                at = np.flatnonzero(both & ~before & ~again[m - 1 :])
+    def longer(self, x: np.ndarray, h: np.ndarray, m: int) -> np.ndarray:
+        return h[:-1] * _STEP + self.vocabulary.hashes[x[m - 1 :]]
+
+    def hashed(self) -> dict | None:
+        """Hashes and counts of the proposed windows and their border."""
+        found = []
+        for _, x, again, h in self.drain():
+            if 1 in self.lengths:
+                found.append(h[(x > 0) & ~again])
+            known = among(self.proposed, h, x > 0)
+            for m in range(2, min(max(self.lengths), len(x)) + 1):
+                both = known[:-1] & known[1:]
+                h = self.longer(x, h, m)
+                if m in self.lengths:
+                    found.append(h[both & ~again[m - 1 :]])
+                known = among(self.proposed, h, both)
+        if not sum(map(len, found)):
+            return None
+        values, counts = np.unique(np.concatenate(found), return_counts=True)
+        return {"h": values.view(np.int64), "n": counts}
+
+    def exact(self) -> Iterator[dict]:
+        """Words and counts of the windows that the first pass found frequent by hash, and of those it did not count; both
+        only where their parts are such windows as well."""
+        words = self.vocabulary.words
+        for lang, x, again, h in self.drain():
+            size = int((~again & (x > 0)).sum())
+            if not size:
+                continue
+            yield {"lang": lang, "m": 0, "phrase": [b""], "n": np.array([size])}
+            known, open_ = among(self.proposed, h, x > 0), among(self.frequent, h, x > 0)
+            for m in range(1, min(max(self.lengths), len(x)) + 1):
+                if m > 1:
+                    counted, both = known[:-1] & known[1:], open_[:-1] & open_[1:]
+                    h = self.longer(x, h, m)
+                    open_ = (both & ~counted) | among(self.frequent, h, both & counted)
+                    known = among(self.proposed, h, counted)
+                at = np.flatnonzero(open_ & ~again[m - 1 :])
                 if len(at):
-                    first, counts = self.distinct(x, h[at], at, m)
-                    yield {"lang": lang, "m": m, "phrase": [b" ".join([words[i] for i in x[p : p + m]]) for p in first], "n": counts}
-            new, old = self.proposed(self.new, h, both), self.proposed(self.old, h, before)
-
-    @staticmethod
-    def proposed(bits: np.ndarray | None, h: np.ndarray, among: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(h), dtype=bool)
-        if bits is not None:
-            at = np.flatnonzero(among)
-            found[at] = held(bits, h[at])
-        return found
-
-    @staticmethod
-    def distinct(x: np.ndarray, h: np.ndarray, at: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """First places and counts of the distinct windows. Equal hashes are checked word by word; should two windows
-        share one, all are told apart by their words alone."""
-        _, first, group, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        first = at[first]
-        if all(np.array_equal(x[at + j], x[first[group] + j]) for j in range(m)):
-            return first, counts
-        _, first, counts = np.unique(np.stack([x[at + j] for j in range(m)]), axis=1, return_index=True, return_counts=True)
-        return at[first], counts
-
-
-def count_windows(docs: DataFrame, lengths: Sequence[int], new: Broadcast | None = None, old: Broadcast | None = None) -> DataFrame:
-    """Exact counts (``lang``, ``m`` words, ``phrase``, ``n``) of the windows that ``Windows`` lets through; m = 0 counts all words."""
+                    first, counts = distinct(x, h[at], at, m)
+                    yield {"lang": lang, "m": m, "phrase": [b" ".join([words[i] for i in x[p : p + m].tolist()]) for p in first.tolist()], "n": counts}
+
+
+def among(bits: np.ndarray | None, h: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Which of some windows a bitmap holds."""
+    found = np.zeros(len(h), dtype=bool)
+    if bits is not None:
+        at = np.flatnonzero(where)
+        found[at] = held(bits, h[at])
+    return found
+
+
+def distinct(x: np.ndarray, h: np.ndarray, at: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """First places and counts of the distinct windows. Equal hashes are checked word by word; should two windows share
+    one, all are told apart by their words alone."""
+    _, first, group, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    first = at[first]
+    if all(np.array_equal(x[at + j], x[first[group] + j]) for j in range(m)):
+        return first, counts
+    _, first, counts = np.unique(np.stack([x[at + j] for j in range(m)]), axis=1, return_index=True, return_counts=True)
+    return at[first], counts
+
+
+def count_hashes(docs: DataFrame, lengths: Sequence[int], proposed: Broadcast | None) -> DataFrame:
+    """Counts (``h``, ``n``) by hash of language and phrase."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(lengths, proposed.value if proposed else None)
+
+        def result() -> Iterator[pa.RecordBatch]:
+            found = windows.hashed()
+            for i in range(0, len(found["h"]) if found else 0, 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(found[c][i : i + 200_000]) for c in ("h", "n")], names=["h", "n"])
+
+        for lang, text in texts_of(batches):
+            if windows.add(lang, text):
+                yield from result()
+        yield from result()
+
+    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def count_phrases(docs: DataFrame, max_words: int, proposed: Broadcast, frequent: Broadcast) -> DataFrame:
+    """Exact counts (``lang``, ``m`` words, ``phrase``, ``n``) of ``Windows.exact``; m = 0 counts all words."""
     target = to_arrow_schema(docs.sparkSession.createDataFrame([], _COUNTS).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(lengths, new.value if new else None, old.value if old else None)
+        windows = Windows(range(1, max_words + 1), proposed.value, frequent.value)
 
-        def batch_of(found: dict) -> Iterator[pa.RecordBatch]:
-            size = len(found["phrase"])
-            for i in range(0, size, 100_000):
-                j = min(size, i + 100_000)
-                yield to_batch({"lang": [found["lang"]] * (j - i), "m": [found["m"]] * (j - i), "phrase": found["phrase"][i:j], "n": found["n"][i:j]}, target)
+        def result() -> Iterator[pa.RecordBatch]:
+            for found in windows.exact():
+                for i in range(0, len(found["phrase"]), 100_000):
+                    phrase = found["phrase"][i : i + 100_000]
+                    yield to_batch({"lang": [found["lang"]] * len(phrase), "m": [found["m"]] * len(phrase), "phrase": phrase, "n": found["n"][i : i + 100_000]}, target)
 
-        for batch in batches:
-            langs, texts = batch.column("lang").to_pylist(), batch.column("text")
-            for lang, text in zip(langs, texts, strict=True):
-                for found in windows.add(lang, text.as_py() or b""):
-                    yield from batch_of(found)
-        for found in windows.flush():
-            yield from batch_of(found)
+        for lang, text in texts_of(batches):
+            if windows.add(lang, text):
+                yield from result()
+        yield from result()
 
-    counted = docs.mapInArrow(run, _COUNTS)
-    return counted.groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, _COUNTS).groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
+
+
+def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            yield lang, text.as_py() or b""
 
 
 def _bits_for(n: int) -> int:
@@ -216,8 +253,8 @@ def _bits_for(n: int) -> int:
     return size
 
 
-def propose(docs: DataFrame, min_count: int, max_words: int, share: float) -> DataFrame:
-    """Phrases of fewer than ``max_words`` words frequent in a sample by hash, length by length."""
+def propose(docs: DataFrame, min_count: int, max_words: int, share: float) -> Broadcast:
+    """A bitmap of the phrases of fewer than ``max_words`` words frequent in a sample by hash, found length by length."""
     spark = docs.sparkSession
     share = min(1.0, max(0.0, share))
     picked = F.pmod(F.xxhash64("_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000)
@@ -225,41 +262,32 @@ def propose(docs: DataFrame, min_count: int, max_words: int, share: float) -> Da
     least = max(2, int(min_count * share * SLACK))
     found, bits = None, None
     for m in range(1, max_words):
-        level = stored(count_windows(sample, (m,), bits).where(F.col("m") == m).where(F.col("n") >= least), "proposed")
+        level = stored(count_hashes(sample, (m,), bits).where(F.col("n") >= least).select("h"), "proposed")
         found = level if found is None else found.unionByName(level)
-        n = level.count()
-        if not n:
-            break
         bits = spark.sparkContext.broadcast(bitmap(found, _bits_for(found.count())))
-    return found
+        if not level.count():
+            break
+    return bits
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, share: float = SAMPLE_SHARE) -> tuple[DataFrame, DataFrame]:
     """All phrases with at least ``min_count`` occurrences (``lang``, ``m``, ``phrase``, ``n``), and all words per ``lang``.
 
     ``docs``: ``text``, ``lang`` (null: ``und``) and ``doc_id``, which only helps to draw the sample. Null and empty texts
-    have no words; repeated rows count each time. An empty table gives empty frames. The sample decides how many passes
-    there are, never the result.
+    have no words; repeated rows count each time. An empty table gives empty frames. The sample decides how much the two
+    passes count, never the result.
     """
     spark = docs.sparkSession
     lang = F.coalesce(F.col("lang"), F.lit(UNKNOWN))
     texts = docs.select(lang.alias("lang"), F.col("text").cast("binary").alias("text"), F.col("doc_id").alias("_id"))
-    proposed = propose(texts, min_count, max_words, share).select("lang", "phrase", "m")
+    proposed = propose(texts, min_count, max_words, share)
     texts = texts.select("lang", "text")
-    size = _bits_for(2 * proposed.count())
-    bits = bitmap(proposed, size)
-    new = spark.sparkContext.broadcast(bits)
-    first = stored(count_windows(texts, range(1, max_words + 1), new).where((F.col("n") >= min_count) | (F.col("m") == 0)), "counted")
-    totals = first.where("m = 0").select("lang", F.col("n").alias("total"))
-    found = first.where("m > 0")
-    failed = stored(found.where(F.col("m") < max_words).join(proposed.select("lang", "phrase"), ["lang", "phrase"], "left_anti"), "border")
-    while failed.count():
-        old, bits = new, bits | bitmap(failed, size)
-        new = spark.sparkContext.broadcast(bits)
-        failed = stored(count_windows(texts, range(2, max_words + 1), new, old).where(F.col("n") >= min_count), "border")
-        found = found.unionByName(failed)
-        failed = failed.where(F.col("m") < max_words)
-    return found.withColumn("phrase", F.col("phrase").cast("string")), totals
+    reached = stored(count_hashes(texts, range(1, max_words + 1), proposed).where(F.col("n") >= min_count).select("h"), "reached")
+    frequent = spark.sparkContext.broadcast(bitmap(reached, _bits_for(reached.count())))
+    counted = count_phrases(texts, max_words, proposed, frequent)
+    counted = stored(counted.where((F.col("n") >= min_count) | (F.col("m") == 0)), "counted")
+    totals = counted.where("m = 0").select("lang", F.col("n").alias("total"))
+    return counted.where("m > 0").withColumn("phrase", F.col("phrase").cast("string")), totals
 
 
 def part(words: Column, start: Column, length: Column) -> Column:
@@ -304,7 +332,6 @@ def collocations(
     """The ``top`` phrases of each language by score, then occurrences, then phrase: ``lang``, ``rank``, ``phrase``, ``a``,
     ``l``, ``r``, ``n``, ``score``, and the ``cut`` that gave it."""
     frequent, totals = frequent_phrases(docs, min_count, max_words, share)
-    frequent = stored(frequent, "frequent")
     kept = drop_contained(score_phrases(frequent, totals))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -59,7 +59,7 @@ def test_no_documents(docs):
 def test_shared_hashes_are_told_apart():
     x = np.array([1, 2, 3, 2, 3, 1, 2, 3])
     at = np.arange(7)
-    first, counts = phrases.Windows.distinct(x, np.zeros(7, dtype=np.uint64), at, 2)
+    first, counts = phrases.distinct(x, np.zeros(7, dtype=np.uint64), at, 2)
     assert {(*x[p : p + 2], n) for p, n in zip(first, counts, strict=True)} == {(1, 2, 2), (2, 3, 3), (3, 2, 1), (3, 1, 1)}
 
 
