@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retailscope.operators.keyed import first_per_key, previous_value
+from retailscope.operators.keyed import number_rows, previous_value
+from retailscope.session import cut_lineage
+
+#: Changes of an entity worked out in one row, and blocks of them composed at a time.
+BLOCK, FAN = 256, 256
 
 # Statuses and where each may go.
 RUN_TRANSITIONS = {
@@ -86,45 +90,105 @@ def check_transitions(history: DataFrame, kind: str, slice_by: Column) -> DataFr
     )
 
 
+def _moved(status: Column, target: Column, transitions: Mapping[str, Sequence[str]]) -> Column:
+    return F.when(allowed(status, target, transitions, stay=False), target).otherwise(status)
+
+
+def _through(moves: Column, status: Column) -> Column:
+    """Where a map of statuses leads; a status it does not name stays."""
+    return F.coalesce(F.try_element_at(moves, status), status)
+
+
+def start_statuses(blocks: DataFrame, entities: DataFrame) -> DataFrame:
+    """The status before each block of an entity's changes: ``id``, ``block``, ``start``.
+
+    ``blocks``: id, block (from 0) and ``moves``, the map of statuses that the block's changes come to; ``entities``: id,
+    status. Maps compose in any grouping, so ``FAN`` blocks become one, level by level, until an entity has a single map;
+    then statuses are handed down again. No row grows with an entity's history.
+    """
+    # maps have no order, so only the numbers are compared
+    listed = F.array_sort(F.collect_list(F.struct("block", "moves")), lambda x, y: F.when(x["block"] < y["block"], -1).otherwise(1)).alias("_blocks")
+    groups = blocks.groupBy("id", F.floor(F.col("block") / FAN).alias("_group")).agg(listed)
+    if (blocks.agg(F.max("block")).head()[0] or 0) < FAN:
+        known = groups.join(entities.select("id", F.col("status").alias("_start")), "id")
+    else:
+        first, rest = F.col("_blocks")[0]["moves"], F.expr("slice(_blocks, 2, size(_blocks))")
+        whole = F.aggregate(rest, first, lambda acc, b: F.transform_values(acc, lambda _, s: _through(b["moves"], s)))
+        parents = cut_lineage(groups.select("id", F.col("_group").alias("block"), whole.alias("moves")))
+        above = start_statuses(parents, entities).select("id", F.col("block").alias("_group"), F.col("start").alias("_start"))
+        known = groups.join(above, ["id", "_group"])
+    none = F.array().cast("array<struct<block:bigint,start:string>>")
+    steps = F.aggregate(
+        "_blocks",
+        F.struct(F.col("_start").alias("s"), none.alias("out")),
+        lambda acc, b: F.struct(_through(b["moves"], acc["s"]).alias("s"), F.array_append(acc["out"], F.struct(b["block"].alias("block"), acc["s"].alias("start"))).alias("out")),
+    )
+    return known.select("id", F.explode(steps["out"]).alias("_o")).select("id", "_o.block", "_o.start")
+
+
+def judge_status_changes(entities: DataFrame, changes: DataFrame, kind: str, slice_by: Column | None = None) -> DataFrame:
+    """Every change with the status its entity has by then (``from_status``) and whether it is made (``legal``).
+
+    An entity's changes are taken in the order of ``seq`` (of equal ones by target, then time); each starts where the last
+    one that was made has led. A change of an entity that is not there has no ``from_status``. Histories are cut into
+    blocks of ``BLOCK`` changes; a block is a map from status to status, so those of one entity are worked out in parallel.
+    ``slice_by`` splits a long history along ``seq``, which is a number where it is left out.
+    """
+    transitions = TRANSITIONS[kind]
+    names = F.array(*map(F.lit, transitions))
+    note = F.col("note") if "note" in changes.columns else F.lit(None).cast("string")
+    asked = changes.select("id", "to_status", "seq", "changed_at", note.alias("note"))
+    order = [F.col("seq"), F.col("to_status"), F.col("changed_at"), F.col("note")]
+    numbered = number_rows(asked, ["id"], order, F.floor(F.col("seq") / 65_536) if slice_by is None else slice_by, "_no")
+    rows = F.array_sort(F.collect_list(F.struct(F.col("_no").alias("no"), "seq", "to_status", "changed_at", "note"))).alias("_rows")
+    block = F.floor((F.col("_no") - 1) / BLOCK).alias("block")
+    blocks = cut_lineage(numbered.groupBy("id", block).agg(rows).withColumn("_last", F.max("block").over(Window.partitionBy("id"))))
+    moved = F.aggregate("_rows", names, lambda acc, r: F.transform(acc, lambda s: _moved(s, r["to_status"], transitions)))
+    long = blocks.filter(F.col("_last") > 0).select("id", "block", F.map_from_arrays(names, moved).alias("moves"))
+    starts = start_statuses(long, entities)
+    begun = blocks.join(starts, ["id", "block"], "left").join(entities.select("id", F.col("status").alias("_now")), "id", "left")
+    begun = begun.withColumn("_start", F.when(F.col("_last") > 0, F.col("start")).otherwise(F.col("_now")))
+    judged = "struct<no:bigint,from_status:string,legal:boolean>"
+
+    def step(acc: Column, r: Column) -> Column:
+        legal = F.coalesce(allowed(acc["s"], r["to_status"], transitions, stay=kind != "decision"), F.lit(False))
+        row = F.struct(r["no"].alias("no"), acc["s"].alias("from_status"), legal.alias("legal"))
+        return F.struct(_moved(acc["s"], r["to_status"], transitions).alias("s"), F.array_append(acc["out"], row).alias("out"))
+
+    replay = F.aggregate("_rows", F.struct(F.col("_start").alias("s"), F.array().cast(f"array<{judged}>").alias("out")), step)
+    found = begun.select("id", F.explode(F.arrays_zip(F.col("_rows"), replay["out"].alias("_out"))).alias("_z"))
+    return found.select("id", "_z._rows.no", "_z._rows.seq", "_z._rows.to_status", "_z._rows.changed_at", "_z._rows.note", "_z._out.from_status", "_z._out.legal")
+
+
 def apply_status_changes(
-    entities: DataFrame, changes: DataFrame, kind: str, reason: str | None = None
+    entities: DataFrame, changes: DataFrame, kind: str, reason: str | None = None, slice_by: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Entities after the allowed changes, and the changes that were not made.
 
-    ``changes``: id, to_status, seq, changed_at and an optional note. One
-    change per entity is taken, the first by ``seq``; later ones come back as
-    deferred, to be applied to the result. ``reason`` names the entity column
-    that takes the note; without a note the old text stays.
+    ``changes``: id, to_status, seq, changed_at and an optional note; an
+    entity may have any number of them (``judge_status_changes``). ``reason``
+    names the entity column that takes the note; without a note the old text
+    stays. The finish time is that of the last change made to a finished status.
     """
-    first = first_per_key(changes, ["id"], [F.col("seq")])
-    asked = first.select(
-        "id", "to_status", F.col("seq").alias("_seq"), "changed_at",
-        (F.col("note") if "note" in changes.columns else F.lit(None).cast("string")).alias("_note"),
-    )
-    joined = entities.join(asked, "id", "left")
-    legal = F.coalesce(
-        allowed(F.col("status"), F.col("to_status"), TRANSITIONS[kind], stay=kind != "decision"), F.lit(False)
+    judged = cut_lineage(judge_status_changes(entities, changes, kind, slice_by))
+    made, no = judged.filter("legal"), F.col("no")
+    ended, noted = F.col("to_status").isin(*FINISHED), F.col("note").isNotNull()
+    after = made.groupBy("id").agg(
+        F.max_by("to_status", no).alias("_status"),
+        F.max_by(F.struct("changed_at"), F.when(ended, no)).alias("_ended"),
+        F.max_by("note", F.when(noted, no)).alias("_note"),
     )
-    judged = joined.withColumn("_legal", legal)
-    done = F.col("_legal") & F.col("to_status").isin(*FINISHED)
-    replaced = {"status": F.when(F.col("_legal"), F.col("to_status")).otherwise(F.col("status"))}
+    joined = entities.join(after, "id", "left")
+    replaced = {"status": F.coalesce("_status", "status")}
     if "finished_at" in entities.columns:
-        replaced["finished_at"] = F.when(done, F.col("changed_at")).otherwise(F.col("finished_at"))
+        replaced["finished_at"] = F.when(F.col("_ended").isNotNull(), F.col("_ended.changed_at")).otherwise(F.col("finished_at"))
     if reason:
-        replaced[reason] = F.when(F.col("_legal"), F.coalesce("_note", reason)).otherwise(F.col(reason))
-    updated = judged.select(*[replaced.get(c, F.col(c)).alias(c) for c in entities.columns])
-
-    now = entities.select("id", F.col("status").alias("from_status"))
-    verdict = (
-        F.when(F.col("from_status").isNull(), F.lit("not found"))
-        .when(F.col("seq") != F.col("_first"), F.lit("deferred"))
-        .when(~allowed(F.col("from_status"), F.col("to_status"), TRANSITIONS[kind], stay=kind != "decision"), F.lit("illegal"))
-    )
-    firsts = changes.groupBy("id").agg(F.min("seq").alias("_first"))
-    refused = (
-        changes.join(firsts, "id").join(now, "id", "left").withColumn("refusal", verdict)
-        .filter(F.col("refusal").isNotNull()).select("id", "seq", "from_status", "to_status", "refusal")
-    )
+        replaced[reason] = F.coalesce("_note", reason)
+    updated = joined.select(*[replaced.get(c, F.col(c)).alias(c) for c in entities.columns])
+
+    known = entities.select("id", F.lit(True).alias("_known"))
+    refusal = F.when(F.col("_known").isNull(), F.lit("not found")).otherwise(F.lit("illegal"))
+    refused = judged.filter(~F.col("legal")).join(known, "id", "left").select("id", "seq", "from_status", "to_status", refusal.alias("refusal"))
     return updated, refused
 
 

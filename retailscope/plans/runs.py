@@ -335,43 +335,43 @@ SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'READY' WHEN 'O' THEN
 FROM {orders}
 """
 CHANGES = """
-SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'SKIPPED' ELSE 'APPROVED' END AS to_status, event_id AS seq,
+SELECT user_id AS id, CASE event_type WHEN 'error' THEN 'SKIPPED' WHEN 'purchase' THEN 'APPROVED' WHEN 'click' THEN 'DRAFT' ELSE 'READY' END AS to_status, event_id AS seq,
        ts AS changed_at, CASE WHEN value > 50 THEN props END AS note
-FROM {events} UNION ALL
-SELECT event_id AS id, 'SKIPPED' AS to_status, event_id + 1 AS seq, ts AS changed_at, NULL AS note FROM {events} WHERE event_type = 'click'
+FROM {events}
+"""
+LETTER_MOVE = """(f.status = c.to_status OR (f.status = 'DRAFT' AND c.to_status IN ('READY', 'QC_FAILED', 'SKIPPED')) OR (f.status = 'QC_FAILED' AND c.to_status IN ('DRAFT', 'SKIPPED'))
+  OR (f.status = 'READY' AND c.to_status IN ('APPROVED', 'SKIPPED', 'DRAFT')) OR (f.status = 'SKIPPED' AND c.to_status = 'DRAFT'))"""
+FOLDED = f"""
+WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq, to_status, changed_at, note) AS n FROM changes),
+fold AS (
+  SELECT id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, status AS from_status, status AS to_status, status, status_reason, true AS legal FROM entities
+  UNION ALL
+  SELECT id, n, seq, status, to_status, CASE WHEN legal THEN to_status ELSE status END, CASE WHEN legal THEN coalesce(note, status_reason) ELSE status_reason END, legal
+  FROM (SELECT c.id, c.n, c.seq, f.status, c.to_status, f.status_reason, c.note, {LETTER_MOVE} AS legal
+        FROM fold f JOIN numbered c ON c.id = f.id AND c.n = f.n + 1)
+)
 """
-FIRST_CHANGE = "(SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1)"
-DECIDED = "((e.status = 'READY' AND c.to_status IN ('APPROVED', 'SKIPPED')) OR (e.status = 'DRAFT' AND c.to_status = 'SKIPPED'))"
 
 
 @registry.add(
     "apply_status_changes",
-    st.with_tables(
-        f"""SELECT e.id, CASE WHEN {DECIDED} THEN c.to_status ELSE e.status END AS status,
-        CASE WHEN {DECIDED} THEN coalesce(c.note, e.status_reason) ELSE e.status_reason END AS status_reason
-        FROM entities e LEFT JOIN {FIRST_CHANGE} c ON c.id = e.id""",
-        entities=ENTITIES,
-        changes=CHANGES,
-    ),
+    st.with_tables(f"{FOLDED} SELECT id, status, status_reason FROM fold QUALIFY n = max(n) OVER (PARTITION BY id)", entities=ENTITIES, changes=CHANGES),
 )
 def apply_status_changes(spark, sf):
-    return states.apply_status_changes(
-        run_sql(spark, sf, ENTITIES), run_sql(spark, sf, CHANGES), "decision", "status_reason"
-    )[0]
+    return states.apply_status_changes(run_sql(spark, sf, ENTITIES), run_sql(spark, sf, CHANGES), "letter", "status_reason")[0]
 
 
 @registry.add(
     "refused_status_changes",
     st.with_tables(
-        f"""SELECT * FROM (SELECT c.id, c.seq, e.status AS from_status, c.to_status,
-        CASE WHEN e.id IS NULL THEN 'not found' WHEN c.seq <> min(c.seq) OVER (PARTITION BY c.id) THEN 'deferred' WHEN NOT {DECIDED} THEN 'illegal' END AS refusal
-        FROM changes c LEFT JOIN entities e ON e.id = c.id) WHERE refusal IS NOT NULL""",
+        f"""{FOLDED} SELECT id, seq, from_status, to_status, 'illegal' AS refusal FROM fold WHERE NOT legal
+        UNION ALL SELECT c.id, c.seq, NULL, c.to_status, 'not found' FROM changes c WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.id = c.id)""",
         entities=ENTITIES,
         changes=CHANGES,
     ),
 )
 def refused_status_changes(spark, sf):
-    return states.apply_status_changes(run_sql(spark, sf, ENTITIES), run_sql(spark, sf, CHANGES), "decision")[1]
+    return states.apply_status_changes(run_sql(spark, sf, ENTITIES), run_sql(spark, sf, CHANGES), "letter")[1]
 
 
 @registry.add(
