@@ -363,6 +363,13 @@ def nearest_earlier_text(spark, sf):
     return letters.nearest_earlier_text(texts.drop("id"), texts.drop("draft_id")).select("draft_id", "compared", "similarity", "closest_id", "repeats")
 
 
+@registry.add("nearest_text_of_all")
+def nearest_text_of_all(spark, sf):
+    """All letters whatever their age; the index is approximate, so it is tested against brute force instead of SQL."""
+    texts = spread(run_sql(spark, sf, TEXTS))
+    return letters.nearest_earlier_text(texts.drop("id"), texts.drop("draft_id"), newest=None).select("draft_id", "compared", "similarity", "closest_id", "repeats")
+
+
 CATEGORISED = "SELECT o_orderkey AS store_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'HEALTHY_STORE' WHEN '2-HIGH' THEN 'SKIP' WHEN '3-MEDIUM' THEN 'ODD' ELSE 'UX_PROBLEMS' END AS category FROM {orders}"
 GATE = "CASE category WHEN 'HEALTHY_STORE' THEN 'nothing to point out: its audit is nearly clean' WHEN 'SKIP' THEN 'a rule excludes it' END"
 
