@@ -33,6 +33,8 @@ SAMPLE_SHARE, SLACK = 0.1, 0.7
 BITS_EACH, MIN_BITS, MAX_BITS = 16, 1 << 20, 1 << 28
 #: Words held before they are counted, distinct words a task remembers, bytes of a text read at once.
 BUFFER_WORDS, KNOWN_WORDS, SLICE_BYTES = 1_000_000, 1_000_000, 4_000_000
+#: Phrases whose counts a task adds up before it sends them.
+HELD_PHRASES = 500_000
 UNKNOWN = "und"
 #: Ends of pieces become full stops, tabs become spaces, A-Z lower case.
 _EDGE = b"."
@@ -225,16 +227,28 @@ def count_phrases(docs: DataFrame, max_words: int, proposed: Broadcast, frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(range(1, max_words + 1), proposed.value, frequent.value)
+        sums: dict[tuple[str, int], dict[bytes, int]] = {}
 
-        def result() -> Iterator[pa.RecordBatch]:
+        def gather() -> None:
             for found in windows.exact():
-                for i in range(0, len(found["phrase"]), 100_000):
-                    phrase = found["phrase"][i : i + 100_000]
-                    yield to_batch({"lang": [found["lang"]] * len(phrase), "m": [found["m"]] * len(phrase), "phrase": phrase, "n": found["n"][i : i + 100_000]}, target)
+                held = sums.setdefault((found["lang"], found["m"]), {})
+                for phrase, n in zip(found["phrase"], found["n"].tolist(), strict=True):
+                    held[phrase] = held.get(phrase, 0) + n
+
+        def result() -> Iterator[pa.RecordBatch]:
+            for (lang, m), held in sums.items():
+                phrases, counts = list(held), list(held.values())
+                for i in range(0, len(phrases), 100_000):
+                    part = phrases[i : i + 100_000]
+                    yield to_batch({"lang": [lang] * len(part), "m": [m] * len(part), "phrase": part, "n": counts[i : i + 100_000]}, target)
+            sums.clear()
 
         for lang, text in texts_of(batches):
             if windows.add(lang, text):
-                yield from result()
+                gather()
+                if sum(map(len, sums.values())) > HELD_PHRASES:
+                    yield from result()
+        gather()
         yield from result()
 
     return docs.mapInArrow(run, _COUNTS).groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n"))
