@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from retailscope.functions.dates import retry_after
 from retailscope.functions.urls import domain_key_any
@@ -187,13 +187,14 @@ def merge_attempts(batch: DataFrame, batch_id: int, path: str) -> None:
     marked = StructType([*schema.fields, StructField("_batch", LongType())])
     ready = _held(spark, staged, marked)
     if ready is None or (ready.agg(F.min("_batch")).head()[0] != batch_id):
-        merged, held = batch, _held(spark, table, schema)
+        merged, held = batch, _held(spark, table, StructType([*schema.fields, StructField("_folder", StringType())]))
         if held is not None:
-            touched = batch.select(F.col("run_id").alias("_run")).distinct()
-            merged = held.join(touched, held["run_id"].eqNullSafe(touched["_run"]), "left_semi").unionByName(batch)
+            touched = batch.select(F.col("run_id").cast("string").alias("_run")).distinct()
+            merged = held.join(touched, held["_folder"].eqNullSafe(touched["_run"]), "left_semi").drop("_folder").unionByName(batch)
         final_attempts(merged).withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(staged)
     rows = spark.read.schema(marked).parquet(staged).drop("_batch")
-    rows.write.partitionBy("run_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(table)
+    rows = rows.withColumn("_folder", F.col("run_id").cast("string"))
+    rows.write.partitionBy("_folder").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(table)
 
 
 def stream_final_attempts(logs: DataFrame, path: str, checkpoint: str, lateness: str = "2 days"):
@@ -217,7 +218,7 @@ def stream_final_attempts(logs: DataFrame, path: str, checkpoint: str, lateness:
 
 def read_streamed_report(spark: SparkSession, path: str) -> DataFrame:
     """The run report over what ``stream_final_attempts`` has written."""
-    return run_report(spark.read.parquet(os.path.join(path, "table")))
+    return run_report(spark.read.parquet(os.path.join(path, "table")).drop("_folder"))
 
 
 def ingest_feed_incrementally(feed: DataFrame, stores: DataFrame, path: str, checkpoint: str):
