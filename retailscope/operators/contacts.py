@@ -14,7 +14,8 @@ from retailscope.functions.people import detect_role, long_parts, looks_like_per
 from retailscope.functions.ranks import rank_in, role_rank
 from retailscope.functions.text import squeeze
 from retailscope.functions.urls import domain_key_any
-from retailscope.operators.keyed import first_per_key, list_parts, number_rows
+from retailscope.operators.keyed import first_per_key, id_slice, list_parts, number_rows
+from retailscope.session import cut_lineage
 
 # Evidence from strongest to weakest, by source and by page.
 EMAIL_SOURCES = ("mailto", "jsonld", "obfuscated", "text")
@@ -320,14 +321,56 @@ def evidence_lists(emails: DataFrame, links: DataFrame, people: DataFrame, per_p
     return list_parts(rows, ["store_id", "kind"], [F.col("grade"), F.col("item")], along, F.col("item"), per_part)
 
 
+def page_edges(texts: DataFrame, reach: int) -> DataFrame:
+    """Where a shop's pages meet: ``store_id``, ``_ends`` and ``_begins``, up to ``reach`` characters of each side.
+
+    ``texts``: store_id, page_no, _text (squeezed). Empty pages are passed over. Where a page is shorter than ``reach``, what
+    is before it goes before it as well; each round reads twice as many pages back, so there are few.
+    """
+    held = texts.filter(F.col("_text") != "").select("store_id", "page_no", F.right("_text", F.lit(reach)).alias("_ends"), F.left("_text", F.lit(reach)).alias("_begins"))
+    pages = cut_lineage(number_rows(held, ["store_id"], [F.col("page_no")], id_slice("page_no", 4096), "_no"))
+    back = 1
+    while pages.filter((F.length("_ends") < reach) & (F.col("_no") > back)).head(1):
+        earlier = pages.select("store_id", (F.col("_no") + back).alias("_no"), F.col("_ends").alias("_earlier"))
+        joined = F.right(F.concat_ws(" ", "_earlier", "_ends"), F.lit(reach))
+        pages = cut_lineage(pages.join(earlier, ["store_id", "_no"], "left").select("store_id", "page_no", joined.alias("_ends"), "_begins", "_no"))
+        back *= 2
+    before = pages.select("store_id", (F.col("_no") + 1).alias("_no"), "_ends")
+    return pages.select("store_id", "_no", "_begins").join(before, ["store_id", "_no"]).select("store_id", "_ends", "_begins")
+
+
+def quotes_over_edges(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """People (``store_id``, ``person_no``) whose ``_quote`` runs over the edge of a page.
+
+    A quote is asked for at each place between two of its words, by the words that would meet there: whole ones, or their
+    last and first letter where the quote begins or ends with the word. An edge is found by either.
+    """
+    reach = asked.agg(F.max(F.length("_quote"))).head()[0] or 0
+    last = lambda c: F.element_at(F.split(c, " "), -1)
+    head = lambda c: F.split(c, " ")[0]
+    a, b = F.col("_a"), F.col("_b")
+    tip_a, tip_b = F.concat(F.lit("~"), F.right(a, F.lit(1))), F.concat(F.left(b, F.lit(1)), F.lit("~"))
+    keys = F.array(*[F.concat(x, F.lit(" "), y) for x in (a, tip_a) for y in (b, tip_b)])
+    edges = page_edges(texts, reach).withColumn("_a", last(F.col("_ends"))).withColumn("_b", head(F.col("_begins")))
+    edges = edges.select("store_id", F.concat("_ends", F.lit(" "), "_begins").alias("_both"), F.explode(keys).alias("_key"))
+    places = asked.withColumn("_w", F.split("_quote", " ")).filter(F.size("_w") > 1)
+    places = places.select("store_id", "person_no", "_quote", F.size("_w").alias("_n"), F.posexplode("_w").alias("_i", "_a"), F.col("_w").alias("_w"))
+    places = places.filter(F.col("_i") < F.col("_n") - 1).withColumn("_b", F.get("_w", F.col("_i") + 1))
+    key = F.concat(F.when(F.col("_i") == 0, tip_a).otherwise(a), F.lit(" "), F.when(F.col("_i") == F.col("_n") - 2, tip_b).otherwise(b))
+    found = places.select("store_id", "person_no", "_quote", key.alias("_key")).join(edges, ["store_id", "_key"])
+    return found.filter(F.col("_both").contains(F.col("_quote"))).select("store_id", "person_no").distinct()
+
+
 def ground_quotes(people: DataFrame, pages: DataFrame) -> DataFrame:
     """People an about-page reader named, judged by the page text.
 
     ``people``: store_id, person_no, name, role, quote; ``pages``: store_id,
     page_no, kind, url, text, store_domain per person row. A quote is grounded
-    when one page of the shop holds it and it holds the name. Pages are looked
-    up by a word of the quote that must occur whole, or else by where two of
-    its words meet, so people never meet all pages of their shop.
+    when the shop's pages, read one after another, hold it and it holds the
+    name. Pages are looked up by a word of the quote that must occur whole, or
+    else by where two of its words meet, so people never meet all pages of
+    their shop; quotes over the edge of a page are looked up in
+    ``page_edges``. Such a quote is shown with the shop's first page.
     """
     plain = lambda c: F.lower(squeeze(F.coalesce(c, F.lit(""))))
     name, quote = plain(F.col("name")), plain(F.col("quote"))
@@ -353,9 +396,13 @@ def ground_quotes(people: DataFrame, pages: DataFrame) -> DataFrame:
     held = index.join(wanted, ["store_id", "_probe"], "left_semi")
     pairs = asked.join(held, ["store_id", "_probe"]).join(texts.select("store_id", "page_no", "_text", "kind", "url"), ["store_id", "page_no"])
     hits = pairs.filter(F.col("_text").contains(F.col("_quote")))
-    first = hits.groupBy("store_id", "person_no").agg(
-        F.min_by(F.struct(F.col("kind").alias("page_kind"), F.col("url").alias("page_url")), "page_no").alias("_page")
-    )
+    shown = F.struct(F.col("kind").alias("page_kind"), F.col("url").alias("page_url"))
+    inside = hits.groupBy("store_id", "person_no").agg(F.min_by(shown, "page_no").alias("_inside"))
+    over = quotes_over_edges(asked, texts).withColumn("_over", F.lit(True))
+    start = texts.groupBy("store_id").agg(F.min_by(shown, "page_no").alias("_start"))
+    first = inside.join(over, ["store_id", "person_no"], "full").join(start, "store_id").select(
+        "store_id", "person_no", F.coalesce("_inside", "_start").alias("_page")
+    )
     stated = F.trim(F.coalesce("role", F.lit("")))
     verdict = (
         F.when(~F.col("_shape"), F.lit("rejected"))

@@ -507,8 +507,10 @@ SELECT doc_id AS person_no, source AS store_id, concat(source, '.pl') AS store_d
        concat(CASE WHEN lang = 'fr' THEN 'Somebody' WHEN lang = 'en' THEN 'Anna  Nowak' WHEN lang = 'de' THEN 'Sklep Nowak' ELSE 'jan lis' END, ' runs shop ', CAST(doc_id AS VARCHAR(20))) AS quote, lang FROM {documents}
 """
 QUOTE_PAGES = """
-SELECT doc_id AS page_no, source AS store_id, 'about' AS kind, concat('https://s/', CAST(doc_id AS VARCHAR(20))) AS url,
-       concat(text, ' (', CASE WHEN lang = 'en' THEN 'Anna Nowak' ELSE 'JAN LIS' END, ' runs shop ', CAST(CASE WHEN n_chars > 900 THEN doc_id ELSE -1 END AS VARCHAR(20)), ')') AS text FROM {documents}
+SELECT 2 * doc_id AS page_no, source AS store_id, 'about' AS kind, concat('https://s/', CAST(doc_id AS VARCHAR(20))) AS url,
+       concat(text, ' (', CASE WHEN lang = 'en' THEN 'Anna Nowak' ELSE 'JAN LIS' END, ' runs ', CASE WHEN n_chars > 900 THEN concat('shop ', CAST(doc_id AS VARCHAR(20)), ')') ELSE '' END) AS text FROM {documents}
+UNION ALL
+SELECT 2 * doc_id + 1, source, 'contact', concat('https://c/', CAST(doc_id AS VARCHAR(20))), CASE WHEN n_chars % 3 = 0 THEN 'shop' ELSE concat(' Shop  ', CAST(doc_id AS VARCHAR(20)), ' and more') END FROM {documents} WHERE n_chars <= 900
 """
 
 
@@ -516,9 +518,10 @@ SELECT doc_id AS page_no, source AS store_id, 'about' AS kind, concat('https://s
     "ground_quotes",
     st.with_tables(
         """SELECT q.store_id, person_no, CASE WHEN lang = 'de' THEN 'rejected' WHEN NOT ok THEN 'ungrounded' WHEN person_no <> min(CASE WHEN ok AND lang <> 'de' THEN person_no END) OVER (PARTITION BY q.store_id, name) THEN 'repeated' ELSE 'grounded' END AS verdict
-        FROM (SELECT *, lang <> 'fr' AND EXISTS (SELECT 1 FROM p WHERE p.store_id = q.store_id AND contains(regexp_replace(lower(p.text), '\\s+', ' ', 'g'), regexp_replace(lower(q.quote), '\\s+', ' ', 'g'))) AS ok FROM q) q""",
+        FROM (SELECT *, lang <> 'fr' AND EXISTS (SELECT 1 FROM h WHERE h.store_id = q.store_id AND contains(h.text, regexp_replace(lower(q.quote), '\\s+', ' ', 'g'))) AS ok FROM q) q""",
         q=QUOTED,
         p=QUOTE_PAGES,
+        h="SELECT store_id, regexp_replace(lower(string_agg(text, ' ' ORDER BY page_no)), '\\s+', ' ', 'g') AS text FROM p GROUP BY 1",
     ),
 )
 def ground_quotes(spark, sf):
