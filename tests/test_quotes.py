@@ -15,7 +15,7 @@ def test_quotes_are_found_as_in_the_joined_text(spark):
     words = ["Anna", "Nowak", "runs", "the", "shop", "and", "a"]
     pages = [(s, p, "about", f"https://s/{s}/{p}", rng.choice(["", "  ", None, *[" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(9)]])) for s in range(12) for p in range(9)]
     pages.append((50, 1, "about", "u", "Anna Nowak"))
-    people = [(s, 100 * s + n, "Anna Nowak", "", "  ".join(["Anna", "Nowak"] + [rng.choice(words) for _ in range(rng.randint(0, 5))]), "x.pl") for s in range(12) for n in range(25)]
+    people = [(s, 100 * s + n, "Anna Nowak", "", "  ".join(["Anna", "Nowak"] + [rng.choice(words) for _ in range(rng.randint(0, 3))]), "x.pl") for s in range(12) for n in range(60)]
     people += [(51, 9999, "Anna Nowak", "", "Anna Nowak runs", "x.pl")]
     found = contacts.ground_quotes(spark.createDataFrame(people, PEOPLE), spark.createDataFrame(pages, PAGES)).collect()
     text = {}
