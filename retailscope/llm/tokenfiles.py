@@ -28,6 +28,8 @@ END_ID = 0
 SLICE_CHARS, KNOWN_CHUNKS = 2_000_000, 300_000
 #: Pieces encoded in one text, and the byte-level alphabet's letter for a space.
 RUN_PIECES, SPACE = 1000, "\u0120"
+#: What may be cut off behind letters: no pre-token holds a letter and one of these.
+STOPS = ".,;:!?"
 #: How a missing document id is written.
 NO_ID = np.iinfo(np.int64).min
 MANIFEST = "part long, path string, n_docs long, n_tokens long, width int"
@@ -35,50 +37,68 @@ _CHUNK_EDGE, _RUN = re.compile(r"(?<=\S) "), re.compile(r"\s ")
 
 
 class ChunkEncoder:
-    """Encodes with the tokenizers library, each distinct chunk of a task once.
+    """Encodes with the tokenizers library, each distinct chunk once while a task remembers it.
 
     A space after a non-space always begins a new pre-token of a byte-level tokenizer, so texts can be cut there and the
-    ids of the chunks joined.
+    ids of the chunks joined. So does a full stop or the like after an ASCII letter, which is cut off where a chunk ends with it.
+    Chunks not asked for since ``KNOWN_CHUNKS`` others were learned are forgotten.
     """
 
     def __init__(self, model: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(model)
+        # For words of ASCII letters, which the byte-level alphabet leaves as they are: no pattern has to be matched.
+        self.words = Tokenizer.from_str(model)
+        self.words.pre_tokenizer = WhitespaceSplit()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
+        self.stops = dict(zip(STOPS, self._ids(list(STOPS)), strict=True))
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _ids(self, texts: list[str], words: bool = False) -> list[bytes]:
+        found = (self.words if words else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.kind).tobytes() for x in found]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of pieces with a space before each. Those without a space or outer white space are encoded many in one
-        text; each of them then begins at the only token of its own that begins with a space."""
-        plain = [p for p in pieces if p and " " not in p and not p[0].isspace() and not p[-1].isspace()]
-        other = list(set(pieces).difference(plain))
-        runs = [plain[i : i + RUN_PIECES] for i in range(0, len(plain), RUN_PIECES)]
-        width = self.kind.itemsize
-        for run, coded in zip(runs, self._ids([" " + " ".join(run) for run in runs]), strict=True):
+    def _learn_runs(self, pieces: list[str], words: bool) -> list[str]:
+        """Ids of pieces that hold one opening token each, encoded many in one text; returns those that do not."""
+        mark, width, other = SPACE if words else "", self.kind.itemsize, []
+        runs = [pieces[i : i + RUN_PIECES] for i in range(0, len(pieces), RUN_PIECES)]
+        joined = [(mark or " ") + f" {mark}".join(run) for run in runs]
+        for run, coded in zip(runs, self._ids(joined, words), strict=True):
             starts = np.flatnonzero(self.opens[np.frombuffer(coded, dtype=self.kind)]) * width
             if len(starts) != len(run):
                 other += run
                 continue
             edges = [*starts.tolist(), len(coded)]
             self.known.update((piece, coded[a:b]) for piece, a, b in zip(run, edges[:-1], edges[1:], strict=True))
+        return other
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of pieces with a space before each."""
+        stopped = {p: p[:-1] for p in pieces if p[-1:] in self.stops and p[-2:-1].isascii() and p[-2:-1].isalpha()}
+        pieces = pieces.difference(stopped).union(set(stopped.values()).difference(self.known))
+        words = [p for p in pieces if p.isascii() and p.isalpha()]
+        rest = pieces.difference(words)
+        plain = [p for p in rest if p and " " not in p and not p[0].isspace() and not p[-1].isspace()]
+        other = list(rest.difference(plain)) + self._learn_runs(words, True) + self._learn_runs(plain, False)
         self.known.update(zip(other, self._ids([f" {piece}" for piece in other]), strict=True))
+        self.known.update((p, self.known[stem] + self.stops[p[-1]]) for p, stem in stopped.items())
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian bytes of ``kind``."""
         cut = [_CHUNK_EDGE.split(text) if _RUN.search(text) else text.split(" ") for text in texts]
         heads = self._ids([pieces[0] for pieces in cut])
         if len(self.known) > KNOWN_CHUNKS:
-            self.known = {}
+            self.known, self.older = {}, self.known
         new = set().union(*(pieces[1:] for pieces in cut)).difference(self.known)
-        self._learn(list(new))
+        again = self.older.keys() & new
+        self.known.update((piece, self.older[piece]) for piece in again)
+        self._learn(new.difference(again))
         for head, pieces in zip(heads, cut, strict=True):
             yield head + b"".join(map(self.known.__getitem__, pieces[1:]))
 

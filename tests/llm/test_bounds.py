@@ -47,3 +47,25 @@ def test_benchmark_parts_are_bounded_by_their_windows(spark, monkeypatch):
         rows = found.collect()
         assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in rows), key=repr) == want
         assert not with_text or {(r["doc_id"], r["text"]) for r in rows} == set(docs)
+
+
+def test_chunk_encoder_equals_the_library(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    from retailscope.llm import tokenfiles
+
+    monkeypatch.setattr(tokenfiles, "KNOWN_CHUNKS", 40)
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    with open(path) as file:
+        encoder = tokenfiles.ChunkEncoder(file.read())
+    parts = ["word", "Word.", "word!?", "don't.", "it's", "ó.", "naïve,", "x1.", "1.", ".", "..", "a.\nB", "\n", "\t.", " ", "", "日本。", "é.", "².", "Ġ", "Ġa.", "a'.", "<|endoftext|>", "ꟲ."]
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(300)] + parts + [f"w{i}. q{i * 7919}" for i in range(200)]
+    library = Tokenizer.from_file(path)
+    for start in range(0, len(texts), 50):
+        some = texts[start : start + 50]
+        want = [x.ids for x in library.encode_batch(some, add_special_tokens=False)]
+        assert [list(memoryview(x).cast("H")) for x in encoder.encode(some)] == want
+    assert encoder.older
