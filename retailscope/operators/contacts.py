@@ -280,23 +280,20 @@ def union_candidates(
 
 
 def candidate_order() -> list[Column]:
-    """Named people first, by role, certainty and address."""
+    """Named people first, by role, certainty and address; all ascending, of the certainty what it lacks."""
     return [
-        F.col("is_generic").asc(),
-        F.col("name").isNull().asc(),
-        role_rank(F.coalesce("role", F.lit(""))).asc(),
-        F.col("confidence").desc(),
-        F.coalesce("email", "linkedin_url", F.lit("")).asc(),
+        F.col("is_generic"),
+        F.col("name").isNull(),
+        role_rank(F.coalesce("role", F.lit(""))),
+        F.coalesce(-F.col("confidence").cast("double"), F.lit(float("inf"))),
+        F.coalesce("email", "linkedin_url", F.lit("")),
     ]
 
 
 def rank_contacts(candidates: DataFrame) -> DataFrame:
-    """All candidates of every shop with their rank, numbered in slices of the order's first keys."""
+    """All candidates of every shop with their rank; a shop of any size is numbered in even slices."""
     tie = [F.coalesce("name", F.lit("")), F.coalesce("source_url", F.lit(""))]
-    group = F.when(F.col("is_generic"), 2).otherwise(0) + F.when(F.col("name").isNull(), 1).otherwise(0)
-    # within a role, by tenths of certainty
-    slices = group * 10_000 + role_rank(F.coalesce("role", F.lit(""))) * 20 + 10 - F.floor(F.coalesce("confidence", F.lit(0.0)) * 10)
-    return number_rows(candidates, ["store_id"], [*candidate_order(), *tie], slices, "contact_rank")
+    return number_rows(candidates, ["store_id"], [*candidate_order(), *tie], name="contact_rank")
 
 
 def collect_store_contacts(stores: DataFrame, emails: DataFrame, links: DataFrame, people: DataFrame) -> DataFrame:
@@ -317,8 +314,7 @@ def evidence_lists(emails: DataFrame, links: DataFrame, people: DataFrame, per_p
     profiles = links.select("store_id", F.lit("profile_links").alias("kind"), F.when(F.col("link_kind") == "profile", 0).otherwise(1).alias("grade"), F.col("link").alias("item"))
     names = people.select("store_id", F.lit("people").alias("kind"), role_rank(F.coalesce("role", F.lit(""))).alias("grade"), F.col("name").alias("item"))
     rows = mails.unionByName(profiles).unionByName(names)
-    along = F.struct("grade", F.left("item", F.lit(3)).alias("begins"))
-    return list_parts(rows, ["store_id", "kind"], [F.col("grade"), F.col("item")], along, F.col("item"), per_part)
+    return list_parts(rows, ["store_id", "kind"], [F.col("grade"), F.col("item")], None, F.col("item"), per_part)
 
 
 def page_edges(texts: DataFrame, reach: int) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from retailscope.operators.keyed import id_slice, running_sum
 
+#: Positions that are read ahead at first.
+MIN_RANGE = 1024
+
 
 def split_new_and_duplicate(feed: DataFrame, stores: DataFrame, position: str = "pos") -> DataFrame:
     """Feed rows labelled new, duplicate or unusable by domain.
@@ -29,12 +32,21 @@ def split_new_and_duplicate(feed: DataFrame, stores: DataFrame, position: str =
 def next_batch(feed: DataFrame, stores: DataFrame, cursor: int, n: int, position: str = "pos") -> DataFrame:
     """Rows from the cursor on until ``n`` new shops are found.
 
-    Duplicates and unusable rows on the way are consumed too. The running count
-    of new shops is summed by position ranges, not in one task.
+    Duplicates and unusable rows on the way are consumed too. Whether a row is
+    new depends on the rows before it alone, so only a range of positions from
+    the cursor on is read: it grows fourfold until it holds ``n`` new shops or
+    the feed ends. The running count is summed by position ranges.
     """
-    ahead = split_new_and_duplicate(feed.filter(F.col(position) >= cursor), stores, position)
+    label = lambda rows: split_new_and_duplicate(rows, stores, position)
+    at = F.col(position)
+    ahead, width = feed.filter(at >= cursor), max(MIN_RANGE, 2 * n)
+    while True:
+        part = ahead.filter(at < cursor + width)
+        if label(part).agg(F.count_if(F.col("feed_label") == "new")).first()[0] >= n or ahead.filter(at >= cursor + width).isEmpty():
+            break
+        width *= 4
     is_new = F.when(F.col("feed_label") == "new", 1).otherwise(0)
-    counted = running_sum(ahead, [], [F.col(position)], id_slice(position), is_new, "_new_so_far")
+    counted = running_sum(label(part), [], [at], id_slice(position), is_new, "_new_so_far")
     return counted.filter(F.col("_new_so_far") - is_new < n).drop("_new_so_far")
 
 

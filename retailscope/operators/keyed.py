@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 
 #: Rows per key up to which Spark limits a window before the shuffle, and parts a key is cut in beyond that.
 MAP_SIDE_ROWS, PARTS = 1000, 64
+#: A row in how many is looked at for slices, the most kept of a key, and how many of them make a slice.
+SAMPLE_RATE, SAMPLE_ROWS, SAMPLE_STEP = 64, 65_536, 64
+#: Cuts of a key looked up together, and copies of a key's cuts that its rows are dealt over.
+CUT_BLOCK, SALTS = 32, 16
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str | None = None) -> DataFrame:
@@ -53,19 +57,54 @@ def _before(sizes: DataFrame, keys: Sequence[str], value: Column, name: str, des
     return sizes.select("_at", value.over(window if name == "_carry" else window.rowsBetween(W.unboundedPreceding, -1)).alias(name))
 
 
+def even_slices(
+    df: DataFrame,
+    keys: Sequence[str],
+    along: Sequence[Column],
+    name: str = "_slice",
+    rate: int = SAMPLE_RATE,
+    step: int = SAMPLE_STEP,
+) -> DataFrame:
+    """Adds a number that cuts every large key into even slices along ascending columns, whatever their values are.
+
+    The cuts of a key are quantiles of a sample of its rows, picked by a hash of ``along`` and so the same each time the
+    plan runs. A slice holds about ``rate * step`` rows; a key has at most ``SAMPLE_ROWS / step`` slices, beyond which
+    they grow evenly. Rows alike in all of ``along`` share a slice; nulls come first. The sample decides sizes only,
+    every row gets its slice.
+    """
+    rows = df.withColumn("_key", F.struct(F.lit(0).alias("_"), *keys)).withColumn("_along", F.struct(*[a.alias(f"c{i}") for i, a in enumerate(along)]))
+    rows = rows.withColumn("_hash", F.xxhash64("_along"))
+    picked = rows.select("_key", "_along", "_hash").filter(F.pmod("_hash", F.lit(rate)) == 0)
+    kept = first_per_key(picked, ["_key"], [F.col("_hash"), F.col("_along")], SAMPLE_ROWS)
+    ranked = kept.withColumn("_no", F.row_number().over(W.partitionBy("_key").orderBy("_along")))
+    cuts = ranked.filter(F.col("_no") % step == 0).groupBy("_key").agg(F.array_sort(F.collect_set("_along")).alias("_cuts"))
+    heads = F.filter("_cuts", lambda c, i: i % CUT_BLOCK == 0)
+    salted = cuts.select("_key", "_cuts", heads.alias("_heads"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    met = rows.withColumn("_salt", F.pmod(F.xxhash64("_hash"), F.lit(SALTS)).cast("int")).join(salted, ["_key", "_salt"], "left")
+    passed = lambda cut: cut <= F.col("_along")
+    start = (F.size(F.filter("_heads", passed)) - 1) * CUT_BLOCK
+    within = F.size(F.filter(F.slice("_cuts", F.col("_start") + 1, F.lit(CUT_BLOCK)), passed))
+    found = met.withColumn("_start", start).withColumn(name, F.when(F.col("_start") >= 0, F.col("_start") + within).otherwise(F.lit(0)))
+    return found.drop("_key", "_along", "_hash", "_salt", "_cuts", "_heads", "_start")
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    slice_by: Column,
+    slice_by: Column | None = None,
     name: str = "row_no",
     descending: bool = False,
 ) -> DataFrame:
     """1-based position of every row within its key, for keys of any size.
 
     ``slice_by`` must not decrease along ``order`` (not increase, when
-    ``descending``): a day of the time ordered by, or a range of the id.
+    ``descending``): a day of the time ordered by, or a range of the id. Without
+    it ``order`` must be plain ascending columns, along which even slices are cut.
     """
+    if slice_by is None:
+        df, slice_by = even_slices(df, keys, order, "_even"), F.col("_even")
+        return number_rows(df, keys, order, slice_by, name).drop("_even")
     rows = _sliced(df, keys, slice_by)
     inside = W.partitionBy("_at").orderBy(*order)
     sizes = rows.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
@@ -125,7 +164,7 @@ def list_parts(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    slice_by: Column,
+    slice_by: Column | None,
     item: Column,
     per_part: int = 500,
     descending: bool = False,
@@ -149,3 +188,9 @@ def list_parts(
 def id_slice(c: str, width: int = 65_536) -> Column:
     """Ranges of a numeric id, as slices for the functions above."""
     return F.floor(F.col(c) / width)
+
+
+def text_downward(c: Column) -> Column:
+    """A text whose ascending order is the descending order of ``c``, nulls last."""
+    turned = F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210")
+    return F.coalesce(F.concat(turned, F.lit("G")), F.lit("H"))

@@ -94,18 +94,31 @@ def site_seo_facts(sites: DataFrame) -> DataFrame:
     )
 
 
-def _pattern_regex(pattern: Column) -> Column:
-    quoted = F.regexp_replace(pattern, "([\\\\.\\[\\]{}()+?^$|])", "\\\\$1")
-    return F.concat(F.lit("(?s)^"), F.replace(quoted, F.lit("*"), F.lit(".*")))
+def robots_parts(pattern: Column) -> Column:
+    """A rule pattern as what its stars part, and whether a final ``$`` ties the last part to the end of the path."""
+    anchored = pattern.endswith("$")
+    body = F.when(anchored, F.left(pattern, F.length(pattern) - 1)).otherwise(pattern)
+    parts = F.split(body, "\\*")
+    return F.struct(
+        parts[0].alias("first"), F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda p: p != "").alias("later"),
+        F.element_at(parts, -1).alias("last"), anchored.alias("anchored"),
+    )
 
 
 def robots_match(pattern: Column, path: Column) -> Column:
-    """Whether a rule pattern covers a path; a final ``$`` ties its last part
-    to the end of the path."""
-    anchored = pattern.endswith("$")
-    body = F.when(anchored, F.regexp_replace(pattern, "\\$$", "")).otherwise(pattern)
-    tail = F.regexp_extract(body, "([^*]*)$", 1)
-    return F.regexp(path, _pattern_regex(body)) & (~anchored | path.endswith(tail))
+    """Whether a rule pattern covers a path."""
+    return parts_match(robots_parts(pattern), path)
+
+
+def parts_match(rule: Column, path: Column) -> Column:
+    """Whether a pattern, as ``robots_parts`` has it, covers a path.
+
+    The parts are looked for one after another, each from where the one before
+    ended; the earliest place leaves most to the rest, so none is tried twice.
+    """
+    step = lambda at, part: F.when(at > 0, F.position(part, path, at)).otherwise(0)
+    beyond = F.aggregate(rule["later"], F.length(rule["first"]) + 1, lambda at, part: F.when(step(at, part) > 0, step(at, part) + F.length(part)).otherwise(0))
+    return path.startswith(rule["first"]) & (beyond > 0) & (~rule["anchored"] | path.endswith(rule["last"]))
 
 
 def apply_robots(urls: DataFrame, rules: DataFrame, agent: str, key: str = "host") -> DataFrame:
@@ -120,14 +133,14 @@ def apply_robots(urls: DataFrame, rules: DataFrame, agent: str, key: str = "host
     picked = mine.join(chosen, key).filter(F.col("agent") == F.when(F.col("_own"), F.lit(token)).otherwise(F.lit("*")))
     is_rule = F.col("kind").isin("allow", "disallow")
     rule = F.struct(
-        (-F.length("pattern")).alias("order"), F.col("line_no").alias("no"), F.col("pattern").alias("pattern"), (F.col("kind") == "allow").alias("allow")
+        (-F.length("pattern")).alias("order"), F.col("line_no").alias("no"), robots_parts(F.col("pattern")).alias("parts"), (F.col("kind") == "allow").alias("allow")
     )
     per_site = picked.groupBy(key).agg(
         F.array_sort(F.collect_list(F.when(is_rule, rule))).alias("_rules"),
         F.max_by("crawl_delay", F.when(F.col("crawl_delay").isNotNull(), F.col("line_no"))).alias("crawl_delay"),
     )
     path = url_path(F.col("url"))
-    hits = F.filter("_rules", lambda r: robots_match(r["pattern"], F.col("_path")))
+    hits = F.filter("_rules", lambda r: parts_match(r["parts"], F.col("_path")))
     return (
         urls.withColumn("_path", path)
         .join(per_site, key, "left")

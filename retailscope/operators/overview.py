@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailscope.operators.keyed import first_per_key, id_slice, latest_per_key, list_parts
+from retailscope.operators.keyed import even_slices, first_per_key, id_slice, latest_per_key, list_parts
+from retailscope.session import cut_lineage
 
 CLASSIFIER = "lead_classifier"
 
@@ -185,12 +186,16 @@ SORT_KEYS: dict[str, tuple[str, str]] = {
 DEFAULT_SORT = "score"
 
 
-def sort_stores(overview: DataFrame, key: str | None = None, direction: str | None = None) -> DataFrame:
-    """Orders the shop list; shops without a value come last either way."""
+def _sorting(key: str | None, direction: str | None) -> tuple[Column, bool]:
+    """The value sorted by and whether it ascends."""
     chosen = key if key in SORT_KEYS else DEFAULT_SORT
     expression, first_direction = SORT_KEYS[chosen]
-    ascending = (direction if direction in ("asc", "desc") else first_direction) == "asc"
-    value = F.expr(expression)
+    return F.expr(expression), (direction if direction in ("asc", "desc") else first_direction) == "asc"
+
+
+def sort_stores(overview: DataFrame, key: str | None = None, direction: str | None = None) -> DataFrame:
+    """Orders the shop list; shops without a value come last either way."""
+    value, ascending = _sorting(key, direction)
     return overview.orderBy(
         value.asc_nulls_last() if ascending else value.desc_nulls_last(), F.col("id").asc()
     )
@@ -229,10 +234,43 @@ def page_info(total: int, page: int = 1, size: int = DEFAULT_PAGE_SIZE) -> PageI
     return PageInfo(current, size, pages, total, offset, offset + 1 if total else 0, min(offset + size, total))
 
 
-def page_of(df: DataFrame, page: int = 1, size: int = DEFAULT_PAGE_SIZE) -> tuple[DataFrame, PageInfo]:
-    """One page of an ordered frame and where it stands; counts the frame once."""
-    info = page_info(df.count(), page, size)
-    return df.offset(info.offset).limit(info.page_size), info
+def page_of(overview: DataFrame, key: str | None = None, direction: str | None = None, page: int = 1, size: int = DEFAULT_PAGE_SIZE) -> tuple[DataFrame, PageInfo]:
+    """One page of the shop list in the order of ``sort_stores``, and where it stands.
+
+    The list is worked out once and stored. Its rows are counted in even slices
+    along the order (a bounded number of counts), and only the slices that hold
+    the page are read again and sorted, so a late page costs what the first does.
+    """
+    value, ascending = _sorting(key, direction)
+    held = cut_lineage(overview)
+    # read backwards, descending values with nulls last are ascending ones with nulls first
+    along = [value.isNull(), value, F.col("id")] if ascending else [value, -F.col("id")]
+    sliced = even_slices(held, [], along, "_page_slice").withColumn("_page_slice", F.col("_page_slice") * (1 if ascending else -1))
+    counts = sorted(map(tuple, sliced.groupBy("_page_slice").count().collect()))
+    info = page_info(sum(n for _, n in counts), page, size)
+    wanted, skipped, before = [], 0, 0
+    for piece, n in counts:
+        if before + n <= info.offset:
+            skipped = before + n
+        elif before < info.offset + info.page_size:
+            wanted.append(piece)
+        before += n
+    rows = sort_stores(sliced.filter(F.col("_page_slice").isin(wanted)), key, direction).drop("_page_slice")
+    return rows.offset(info.offset - skipped).limit(info.page_size), info
+
+
+def page_after(overview: DataFrame, last_id: int | None, last_value: object = None, key: str | None = None, direction: str | None = None, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """The rows that follow a given one in the order of ``sort_stores``, the first ones for no id.
+
+    Each task keeps ``size`` rows, however far down the list the page is.
+    """
+    value, ascending = _sorting(key, direction)
+    size = min(max(1, size), MAX_PAGE_SIZE)
+    if last_id is None:
+        return sort_stores(overview, key, direction).limit(size)
+    same = value.isNull() if last_value is None else value == last_value
+    beyond = F.lit(False) if last_value is None else value.isNull() | (value > last_value if ascending else value < last_value)
+    return sort_stores(overview.filter(beyond | (same & (F.col("id") > last_id))), key, direction).limit(size)
 
 
 def recent_runs(runs: DataFrame, n: int = 50) -> DataFrame:

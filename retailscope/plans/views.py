@@ -98,8 +98,7 @@ def filter_stores_by_severity(spark, sf):
     _over("ORDER BY lead_score DESC NULLS LAST, id LIMIT 20 OFFSET 20", "id, domain, lead_score"),
 )
 def sort_stores_page(spark, sf):
-    ordered = ov.sort_stores(overview(spark, sf), "score", "desc").select("id", "domain", "lead_score")
-    return ov.page_of(ordered, page=2)[0]
+    return ov.page_of(overview(spark, sf), "score", "desc", page=2)[0].select("id", "domain", "lead_score")
 
 
 @registry.add(
@@ -110,8 +109,15 @@ def sort_stores_page(spark, sf):
     ),
 )
 def sort_stores_by_issues(spark, sf):
-    ordered = ov.sort_stores(overview(spark, sf), "issues", "asc").select("id", "critical_issues", "major_issues")
-    return ov.page_of(ordered, size=500)[0]
+    return ov.page_of(overview(spark, sf), "issues", "asc", size=500)[0].select("id", "critical_issues", "major_issues")
+
+
+@registry.add(
+    "page_after_store",
+    _over("WHERE lead_score IS NULL OR lead_score < 60 OR lead_score = 60 AND id > 10 ORDER BY lead_score DESC NULLS LAST, id LIMIT 50", "id, lead_score"),
+)
+def page_after_store(spark, sf):
+    return ov.page_after(overview(spark, sf), 10, 60, "score", "desc", size=50).select("id", "lead_score")
 
 
 @registry.add(
