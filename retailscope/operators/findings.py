@@ -20,7 +20,6 @@ PLATFORM_NOISE = "/sf_private_access_tokens\\b|/\\.well-known/shopify/monorail"
 BLOCKING = ("script", "stylesheet", "font", "fetch", "xhr")
 # Statuses servers answer robots with.
 BOT_STATUSES = (401, 403, 405, 406, 429, 999)
-MAX_KEYS = 100
 
 
 def union_findings(*frames: DataFrame) -> DataFrame:
@@ -79,11 +78,11 @@ def drop_noise(observations: DataFrame) -> DataFrame:
     return observations.filter(~noise)
 
 
-def tally_observations(observations: DataFrame, max_keys: int = MAX_KEYS) -> DataFrame:
-    """Distinct observations per page and list with their count.
+def tally_observations(observations: DataFrame, max_keys: int | None = None) -> DataFrame:
+    """Distinct observations per page and list with their count, numbered as first seen.
 
-    The first ``max_keys`` of a list are kept, as an observer stops recording
-    new ones; ``truncated`` says that a page had more.
+    All are kept. With ``max_keys`` only the first of each list are, as with an
+    observer that stops recording new ones; ``truncated`` says that a page had more.
     """
     text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     key = (
@@ -102,10 +101,14 @@ def tally_observations(observations: DataFrame, max_keys: int = MAX_KEYS) -> Dat
             F.min_by(F.struct(*fields), "seq").alias("_first"),
         )
     )
+    columns = ["page_id", "list", "key_no", "count", "first_seq", "truncated", "_first.*"]
+    if max_keys is None:
+        numbered = number_rows(counted, ["page_id", "list"], [F.col("first_seq"), F.col("_key")], name="key_no")
+        return numbered.withColumn("truncated", F.lit(False)).select(*columns)
     more = counted.groupBy("page_id", "list").agg((F.count(F.lit(1)) > max_keys).alias("_more"))
     truncated = more.groupBy("page_id").agg(F.bool_or("_more").alias("truncated"))
     kept = first_per_key(counted, ["page_id", "list"], [F.col("first_seq"), F.col("_key")], max_keys, rank="key_no")
-    return kept.join(truncated, "page_id").select("page_id", "list", "key_no", "count", "first_seq", "truncated", "_first.*")
+    return kept.join(truncated, "page_id").select(*columns)
 
 
 def _top_evidence(rows: DataFrame, group: Sequence[str], order: Column, record: Column) -> DataFrame:

@@ -72,20 +72,20 @@ def even_slices(
     they grow evenly. Rows alike in all of ``along`` share a slice; nulls come first. The sample decides sizes only,
     every row gets its slice.
     """
-    rows = df.withColumn("_key", F.struct(F.lit(0).alias("_"), *keys)).withColumn("_along", F.struct(*[a.alias(f"c{i}") for i, a in enumerate(along)]))
-    rows = rows.withColumn("_hash", F.xxhash64("_along"))
-    picked = rows.select("_key", "_along", "_hash").filter(F.pmod("_hash", F.lit(rate)) == 0)
-    kept = first_per_key(picked, ["_key"], [F.col("_hash"), F.col("_along")], SAMPLE_ROWS)
-    ranked = kept.withColumn("_no", F.row_number().over(W.partitionBy("_key").orderBy("_along")))
-    cuts = ranked.filter(F.col("_no") % step == 0).groupBy("_key").agg(F.array_sort(F.collect_set("_along")).alias("_cuts"))
-    heads = F.filter("_cuts", lambda c, i: i % CUT_BLOCK == 0)
-    salted = cuts.select("_key", "_cuts", heads.alias("_heads"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    met = rows.withColumn("_salt", F.pmod(F.xxhash64("_hash"), F.lit(SALTS)).cast("int")).join(salted, ["_key", "_salt"], "left")
-    passed = lambda cut: cut <= F.col("_along")
-    start = (F.size(F.filter("_heads", passed)) - 1) * CUT_BLOCK
-    within = F.size(F.filter(F.slice("_cuts", F.col("_start") + 1, F.lit(CUT_BLOCK)), passed))
-    found = met.withColumn("_start", start).withColumn(name, F.when(F.col("_start") >= 0, F.col("_start") + within).otherwise(F.lit(0)))
-    return found.drop("_key", "_along", "_hash", "_salt", "_cuts", "_heads", "_start")
+    rows = df.withColumn("_even_key", F.struct(F.lit(0).alias("_"), *keys)).withColumn("_even_along", F.struct(*[a.alias(f"c{i}") for i, a in enumerate(along)]))
+    rows = rows.withColumn("_even_hash", F.xxhash64("_even_along"))
+    picked = rows.select("_even_key", "_even_along", "_even_hash").filter(F.pmod("_even_hash", F.lit(rate)) == 0)
+    kept = first_per_key(picked, ["_even_key"], [F.col("_even_hash"), F.col("_even_along")], SAMPLE_ROWS)
+    ranked = kept.withColumn("_even_no", F.row_number().over(W.partitionBy("_even_key").orderBy("_even_along")))
+    cuts = ranked.filter(F.col("_even_no") % step == 0).groupBy("_even_key").agg(F.array_sort(F.collect_set("_even_along")).alias("_even_cuts"))
+    heads = F.filter("_even_cuts", lambda c, i: i % CUT_BLOCK == 0)
+    salted = cuts.select("_even_key", "_even_cuts", heads.alias("_even_heads"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_even_salt"))
+    met = rows.withColumn("_even_salt", F.pmod(F.xxhash64("_even_hash"), F.lit(SALTS)).cast("int")).join(salted, ["_even_key", "_even_salt"], "left")
+    passed = lambda cut: cut <= F.col("_even_along")
+    start = (F.size(F.filter("_even_heads", passed)) - 1) * CUT_BLOCK
+    within = F.size(F.filter(F.slice("_even_cuts", F.col("_even_start") + 1, F.lit(CUT_BLOCK)), passed))
+    found = met.withColumn("_even_start", start).withColumn(name, F.when(F.col("_even_start") >= 0, F.col("_even_start") + within).otherwise(F.lit(0)))
+    return found.drop("_even_key", "_even_along", "_even_hash", "_even_salt", "_even_cuts", "_even_heads", "_even_start")
 
 
 def number_rows(

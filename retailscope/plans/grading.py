@@ -328,14 +328,13 @@ SELECT * FROM observed WHERE NOT ((list = 'console' AND kind = 'console' AND tex
 """
 TALLIED = f"""
 SELECT * FROM (
-SELECT page_id, list, kind, text, url, line, error_text, status, resource_type, n AS count, first_seq, key_no, bool_or(keys > 40) OVER (PARTITION BY page_id) AS truncated
-FROM (SELECT *, row_number() OVER (PARTITION BY page_id, list ORDER BY first_seq) AS key_no, count(*) OVER (PARTITION BY page_id, list) AS keys
+SELECT page_id, list, kind, text, url, line, error_text, status, resource_type, n AS count, first_seq, key_no, false AS truncated
+FROM (SELECT *, row_number() OVER (PARTITION BY page_id, list ORDER BY first_seq) AS key_no
       FROM (SELECT page_id, list, k, count(*) AS n, min(seq) AS first_seq, arg_min(kind, seq) AS kind, arg_min(text, seq) AS text, arg_min(url, seq) AS url,
                    arg_min(line, seq) AS line, arg_min(error_text, seq) AS error_text, arg_min(status, seq) AS status, arg_min(resource_type, seq) AS resource_type
             FROM (SELECT *, CASE WHEN kind = 'exception' THEN concat('e|', text) WHEN list = 'console' THEN concat('c|', text, '|', url, '|', line)
                                  WHEN list = 'failed' THEN concat(url, '|', error_text) ELSE concat(url, '|', status) END AS k FROM ({KEPT}))
             GROUP BY page_id, list, k)))
-WHERE key_no <= 40
 """
 
 
@@ -345,7 +344,7 @@ def drop_noise(spark, sf):
 
 
 def tallied(spark, sf):
-    return findings.tally_observations(findings.drop_noise(run_sql(spark, sf, OBSERVED)), max_keys=40)
+    return findings.tally_observations(findings.drop_noise(run_sql(spark, sf, OBSERVED)))
 
 
 @registry.add(

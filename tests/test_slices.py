@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from retailscope.operators import ingest, links, overview
+from retailscope.operators import findings, ingest, links, overview
 from retailscope.operators.keyed import even_slices, list_parts, number_rows, text_downward
 
 
@@ -96,3 +96,12 @@ def test_robots_patterns_equal_regular_expressions(spark):
 
     df = spark.createDataFrame(cases, "p string, u string")
     assert [r[0] for r in df.select(links.robots_match(F.col("p"), F.col("u"))).collect()] == [covers(*c) for c in cases]
+
+
+def test_observations_are_counted_beyond_any_limit(spark):
+    rows = [(1, "console", s, "console", f"m{s % 700}", "u", 1, None, None, None) for s in range(1_400)] + [(2, "http", 0, None, None, "u", None, None, 404, "script")]
+    seen = spark.createDataFrame(rows, "page_id long, list string, seq long, kind string, text string, url string, line int, error_text string, status int, resource_type string")
+    got = findings.tally_observations(seen).filter("page_id = 1").orderBy("key_no").collect()
+    assert [(r["key_no"], r["text"], r["count"], r["truncated"]) for r in got] == [(i + 1, f"m{i}", 2, False) for i in range(700)]
+    cut = findings.tally_observations(seen, max_keys=5).collect()
+    assert sorted((r["page_id"], r["key_no"], r["truncated"]) for r in cut) == [(1, i, True) for i in range(1, 6)] + [(2, 1, False)]
