@@ -45,6 +45,7 @@ GENERIC_LABELS = (
     "sklep sklepy sklepik zakupy moda buty odziez meble kosmetyki prezenty shop store shopping market online ecommerce "
     "outlet boutique butik fashion style home design brand group company"
 ).split()
+# The longest address and the longest part before the @.
 MAX_EMAIL, MAX_LOCAL = 254, 64
 
 

@@ -215,34 +215,34 @@ def theme_staleness(stores: DataFrame, entries: DataFrame, releases: DataFrame,
     )
     reasons = F.concat_ws(
         "; ",
-        F.when(F.col("_measured"), F.concat(number("version_gap"), F.lit(" release(s) behind "), F.col("latest_version"))),
-        F.concat(F.lit("running a version released "), number("age_months"), F.lit(" month(s) ago")),
-        F.when(F.col("_current").isNull(), F.lit("no version reported, so the gap is unknown")),
+        F.when(F.col("_measured"), F.concat(F.lit("newer releases up to "), F.col("latest_version"), F.lit(": "), number("version_gap"))),
+        F.concat(F.lit("age of the installed release in months: "), number("age_months")),
+        F.when(F.col("_current").isNull(), F.lit("installed version not given, nothing to compare")),
         F.when(
             F.col("_behind"),
             F.concat(
-                F.lit("behind the newest known version "),
+                F.lit("older than "),
                 F.col("latest_version"),
-                F.lit("; the theme publishes no release history, so the distance is unknown"),
+                F.lit(", by how many releases cannot be told without a list of them"),
             ),
         ),
         F.when(
             F.col("_unmeasured") & ~F.col("_behind"),
             F.coalesce(
-                F.concat(F.lit("on the newest known version "), F.col("latest_version")),
-                F.lit("no public release history for this theme, so the gap is unknown"),
+                F.concat(F.lit("not older than "), F.col("latest_version")),
+                F.lit("no release of this theme is on file"),
             ),
         ),
-        F.when(F.col("architecture") == "vintage", F.lit("pre-Online-Store-2.0 theme, unsupported since 2021")),
+        F.when(F.col("architecture") == "vintage", F.lit("built on the vintage architecture, which counts as very outdated")),
         F.when(
             (F.col("architecture") == "theme_blocks") & F.col("_signal").isNull(),
-            F.lit("theme-blocks architecture, which only exists in recent themes"),
+            F.lit("built of theme blocks, which counts as current"),
         ),
     )
     reason = (
         F.when(F.col("_listed"), reasons)
-        .when(F.col("_name").isNotNull(), F.concat(F.lit("theme '"), F.col("_name"), F.lit("' is not in the catalog")))
-        .otherwise(F.lit("no theme reported"))
+        .when(F.col("_name").isNotNull(), F.concat(F.lit("unlisted theme: "), F.col("_name")))
+        .otherwise(F.lit("theme not given"))
     )
     return stepped.select(
         "store_id",

@@ -254,12 +254,12 @@ def classifier_prompts(spark, sf):
 
 FINDINGS = "SELECT user_id AS store_id, event_id AS pos, event_id AS evidence_id, CASE event_type WHEN 'error' THEN 'CRITICAL' WHEN 'purchase' THEN 'MAJOR' ELSE 'MINOR' END AS severity, 'cart' AS page, concat('T ', props) AS title, 'loses sales' AS impact FROM {events}"
 FACTS = """
-WITH f AS (SELECT store_id, 0 AS k, row_number() OVER (PARTITION BY store_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'MAJOR' THEN 1 ELSE 2 END, pos) AS a, concat('A', evidence_id) AS fact_id, concat(title, ' (', page, ') — ', impact) AS text FROM findings
-    UNION ALL SELECT store_id, 1, a, concat('P', a), concat('PageSpeed on ', strategy, ': ', concat_ws(', ', CASE WHEN performance IS NOT NULL THEN concat('performance ', performance, '/100') END, concat('largest paint ', printf('%.1f', CASE WHEN lcp_ms % 500 = 250 THEN lcp_ms + 1 ELSE lcp_ms END / 1000), 's'), concat('layout shift ', cls)))
+WITH f AS (SELECT store_id, 0 AS k, row_number() OVER (PARTITION BY store_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'MAJOR' THEN 1 ELSE 2 END, pos) AS a, concat('A', evidence_id) AS fact_id, concat('On ', page, ': ', title, '; effect: ', impact) AS text FROM findings
+    UNION ALL SELECT store_id, 1, a, concat('P', a), concat('Lab test (', strategy, '): ', concat_ws(', ', CASE WHEN performance IS NOT NULL THEN concat('score ', performance, ' of 100') END, concat('main content after ', printf('%.1f', CASE WHEN lcp_ms % 500 = 250 THEN lcp_ms + 1 ELSE lcp_ms END / 1000), ' seconds'), concat('shift of ', cls)))
       FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY strategy <> 'mobile', id) AS a FROM (SELECT * FROM speed QUALIFY id = max(id) OVER (PARTITION BY store_id, strategy)))
-    UNION ALL SELECT store_id, 2, 0, 'T1', concat('The storefront runs the ', name, ' theme', CASE WHEN age_months IS NULL THEN '' ELSE concat(', about ', age_months, ' months behind the current release') END) FROM themes
-    UNION ALL SELECT store_id, 3, 0, 'S1', concat(total, ' Shopify apps are loaded on the storefront', CASE WHEN size IS NULL THEN '' ELSE concat(' — a ', size, ' stack for this segment') END) FROM apps WHERE total > 0
-    UNION ALL SELECT id, 4, 0, 'B1', concat('The catalogue lists ', products_count, ' products') FROM stores WHERE products_count IS NOT NULL),
+    UNION ALL SELECT store_id, 2, 0, 'T1', concat('Theme in use: ', name, CASE WHEN age_months IS NULL THEN '' ELSE concat('; its release is ', age_months, ' months old') END) FROM themes
+    UNION ALL SELECT store_id, 3, 0, 'S1', concat('Apps installed: ', total, CASE WHEN size IS NULL THEN '' ELSE concat(' (', size, ' for shops like it)') END) FROM apps WHERE total > 0
+    UNION ALL SELECT id, 4, 0, 'B1', concat('Products on sale: ', products_count) FROM stores WHERE products_count IS NOT NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY k, a) AS fact_no FROM f)
 """
 FACT_RELATIONS = {"findings": FINDINGS, "speed": C_SPEED, "themes": C_THEMES, "apps": C_APPS, "stores": C_STORES}
