@@ -9,14 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters whose decomposition is a base letter and combining marks, spelled for
-# translate(). Derived from the Unicode tables for the Latin blocks, so plain
-# Latin text is folded without leaving the JVM.
+# Letters whose decomposition is one base letter and combining marks, spelled for
+# translate(). Derived from the Unicode tables of the whole basic plane, so text of
+# any script that builds letters so is folded without leaving the JVM.
 _FOLD_FROM, _FOLD_TO = "", ""
-for _code in range(0x00C0, 0x0250):
+for _code in (*range(0x00C0, 0xD800), *range(0xE000, 0x10000)):
     _plain = unicodedata.normalize("NFD", chr(_code).lower())
     _base = "".join(ch for ch in _plain if not "̀" <= ch <= "ͯ")
-    if len(_base) == 1 and _base != chr(_code) and _base.isascii():
+    if len(_base) == 1 and _base != chr(_code):
         _FOLD_FROM += chr(_code)
         _FOLD_TO += _base
 _FOLD_FROM += "łŁ"
@@ -26,7 +26,11 @@ COMBINING = "[\\u0300-\\u036f]"
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents, ``ł`` as ``l``; native, for Latin scripts."""
+    """Lower case without accents, ``ł`` as ``l``; native.
+
+    Letters that come apart into several (Hangul syllables, kana with sound
+    marks) stay whole; ``fold_any`` parts those too.
+    """
     return F.regexp_replace(F.translate(F.lower(c), _FOLD_FROM, _FOLD_TO), COMBINING, "")
 
 

@@ -475,12 +475,14 @@ def flag_shared_mailboxes(candidates: DataFrame, held: DataFrame, others: int =
     """Halves the confidence of addresses that many other shops list too.
 
     ``held`` are the contacts on record. Shops are counted per address first; a
-    shop that itself lists the address is taken off its own count.
+    shop that itself lists the address is taken off its own count. Candidates
+    without an address are many and take no part in the joins.
     """
     pairs = held.filter(F.col("email").isNotNull()).select("email", "store_id").distinct()
     counted = pairs.groupBy("email").agg(F.count(F.lit(1)).alias("_stores"))
     mine = pairs.withColumn("_mine", F.lit(1))
-    joined = candidates.join(counted, "email", "left").join(mine, ["email", "store_id"], "left")
+    addressed = candidates.filter(F.col("email").isNotNull()).join(counted, "email", "left").join(mine, ["email", "store_id"], "left")
+    joined = addressed.unionByName(candidates.filter(F.col("email").isNull()), allowMissingColumns=True)
     elsewhere = F.coalesce(F.col("_stores") - F.coalesce("_mine", F.lit(0)), F.lit(0))
     return (
         joined.withColumn("stores_elsewhere", elsewhere)

@@ -9,7 +9,7 @@ optimizer test the list for emptiness at the scan, and so work it out twice.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +21,10 @@ from retailscope.functions import mail
 from retailscope.functions.people import INTRODUCTION, NAME_THEN_ROLE, ROLE_THEN_NAME, detect_role, looks_like_person_name
 from retailscope.functions.urls import url_host
 
-MAX_LINKS = 500
 # Page kinds by how telling they are for addresses and links.
 CONTACT_PAGE_KINDS = ("contact", "about", "home", "privacy", "terms")
+#: Characters of a link text that are kept.
+MAX_TEXT = 80
 # Wording and patterns of product, listing, cart and checkout pages.
 ADD_TO_CART = "(?iu)do koszyka|dodaj|add to (cart|bag)|kup(uj[eę])?$"
 BUY_NOW = "(?iu)kup teraz|buy it now|buy now|zamów teraz"
@@ -100,7 +101,7 @@ def absolute_url(base: Column, href: Column) -> Column:
     return F.when(dotted, _resolved(F.when(dotted, base), F.when(dotted, link))).otherwise(joined_url(base, href))
 
 
-def _footer_start() -> str:
+def footer_start() -> str:
     marks = (
         h.element("footer"),
         h.selector("role", "contentinfo"),
@@ -110,15 +111,16 @@ def _footer_start() -> str:
     return "(?is)" + "|".join(f"(?:{m})" for m in marks)
 
 
-def extract_links(pages: DataFrame, page_keys: Sequence[str] = ("page_id",), max_links: int = MAX_LINKS, max_text: int = 80) -> DataFrame:
+def extract_links(pages: DataFrame, page_keys: Sequence[str] = ("page_id",), max_links: int | None = None, max_text: int = MAX_TEXT) -> DataFrame:
     """Links of each page in document order, absolute, with their text.
 
     A link is internal when it shares the page's origin, and in the footer when
-    it follows the start of one.
+    it follows the start of one. All links are listed unless a limit is given;
+    texts are cut to ``max_text`` characters.
     """
     html = h.markup(F.col("html"))
     # the footer runs from its first mark to the end tag, or to the end of the page
-    body = F.split(html, _footer_start(), 2)
+    body = F.split(html, footer_start(), 2)
     anchors = "(?is)<a\\s[^>]*?\\bhref\\s*=[^>]*>.*?</a\\s*>"
 
     def listed(part: Column, in_footer: bool) -> Column:
@@ -132,7 +134,7 @@ def extract_links(pages: DataFrame, page_keys: Sequence[str] = ("page_id",), max
     everything = F.concat(
         listed(body[0], False), F.coalesce(listed(inside, True), none), F.coalesce(listed(beyond, False), none)
     )
-    rows = pages.withColumn("_links", F.slice(everything, 1, max_links)).select(
+    rows = pages.withColumn("_links", everything if max_links is None else F.slice(everything, 1, max_links)).select(
         *page_keys, "url", F.posexplode_outer("_links").alias("pos", "l")
     ).filter(F.col("l").isNotNull())
     parts = rows.withColumn("href", h.entities(h.attribute(F.col("l.a"), "href"))).withColumn(
@@ -154,15 +156,13 @@ def _schema_types(documents: pd.Series) -> pd.Series:
 
     def read(blocks) -> list[str]:
         names: list[str] = []
-        for block in list(blocks)[:20]:
+        for block in blocks:
             try:
                 parsed = json.loads(block)
             except ValueError:
                 continue
             waiting = list(parsed) if isinstance(parsed, list) else [parsed]
-            for _ in range(50):
-                if not waiting:
-                    break
+            while waiting:
                 node = waiting.pop(0)
                 if not isinstance(node, dict):
                     continue
@@ -220,10 +220,7 @@ def extract_seo_facts(pages: DataFrame, page_keys: Sequence[str] = ("page_id",))
 _NODES = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("node", T.StringType())]))
 
 
-@F.pandas_udf(_NODES)
-def _typed_nodes(documents: pd.Series) -> pd.Series:
-    """Typed nodes of JSON-LD blocks down to eight levels."""
-
+def _node_reader() -> Callable[[Sequence[str]], list[tuple[str, str]]]:
     def walk(node, depth: int, out: list) -> None:
         if depth > 8 or not isinstance(node, (dict, list)):
             return
@@ -234,7 +231,7 @@ def _typed_nodes(documents: pd.Series) -> pd.Series:
         for child in node if isinstance(node, list) else node.values():
             walk(child, depth + 1, out)
 
-    def read(blocks) -> list:
+    def read(blocks: Sequence[str]) -> list[tuple[str, str]]:
         out: list = []
         for block in blocks:
             try:
@@ -243,7 +240,16 @@ def _typed_nodes(documents: pd.Series) -> pd.Series:
                 continue
         return out
 
-    return documents.map(read, na_action="ignore")
+    return read
+
+
+#: Typed nodes of JSON-LD blocks down to eight levels, with their text.
+typed_nodes = _node_reader()
+
+
+@F.pandas_udf(_NODES)
+def _typed_nodes(documents: pd.Series) -> pd.Series:
+    return documents.map(typed_nodes, na_action="ignore")
 
 
 def extract_json_ld(pages: DataFrame, page_keys: Sequence[str] = ("page_id",)) -> DataFrame:

@@ -14,7 +14,7 @@ from retailscope.functions.urls import domain_key_any, url_path
 from retailscope.operators.keyed import first_per_key, id_slice, number_rows
 
 # Limits of what is listed and probed.
-MAX_LOCATIONS, MAX_LINKS, MAX_EXTERNAL = 500, 30, 10
+MAX_LINKS, MAX_EXTERNAL = 30, 10
 # Collections that hold everything or nothing in particular.
 LAST_RESORT_COLLECTION = "/collections/(all|frontpage|vendors|types)(\\?|$)"
 # Page kinds, by path and by link text.
@@ -149,10 +149,10 @@ def apply_robots(urls: DataFrame, rules: DataFrame, agent: str, key: str = "host
     )
 
 
-def expand_sitemaps(documents: DataFrame, key: str = "site", text: str = "sitemap_xml") -> DataFrame:
-    """Locations of sitemap documents in order, entities decoded."""
+def expand_sitemaps(documents: DataFrame, key: str = "site", text: str = "sitemap_xml", max_locations: int | None = None) -> DataFrame:
+    """Locations of sitemap documents in order, entities decoded; all of them unless a limit is given."""
     found = F.regexp_extract_all(text, F.lit("(?i)<loc>\\s*([^<\\s]+)\\s*</loc>"), F.lit(1))
-    listed = F.slice(found, 1, MAX_LOCATIONS)
+    listed = found if max_locations is None else F.slice(found, 1, max_locations)
     rows = documents.select(key, F.posexplode_outer(listed).alias("pos", "loc")).filter(F.col("loc").isNotNull())
     out = F.col("loc")
     for name, char in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'")):

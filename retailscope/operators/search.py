@@ -23,16 +23,11 @@ def ground_search_hits(hits: DataFrame, sources: DataFrame, max_results: int = 5
     """Hits whose page the search really reached, and how many were not.
 
     ``hits``: search_id, pos, url, title, snippet; ``sources``: search_id, url
-    and the citation title, if any. One hit per page, the first ``max_results``.
+    and the citation title, if any. One hit per page, the first ``max_results``;
+    ``surplus_search_hits`` counts the others.
     """
-    reached = (
-        sources.withColumn("_key", url_key(F.col("url"))).filter(F.col("_key").isNotNull())
-        .groupBy("search_id", "_key").agg(F.max("title").alias("_title"))
-    )
-    keyed = hits.withColumn("_key", url_key(F.col("url")))
-    grounded = keyed.join(reached, ["search_id", "_key"])
-    once = first_per_key(grounded, ["search_id", "_key"], [F.col("pos")])
-    kept = first_per_key(once, ["search_id"], [F.col("pos")], max_results)
+    keyed, reached = _keyed_hits(hits, sources)
+    kept = first_per_key(_grounded_once(keyed, reached), ["search_id"], [F.col("pos")], max_results)
     dropped = (
         keyed.join(reached.select("search_id", "_key"), ["search_id", "_key"], "left_anti")
         .groupBy("search_id").agg(F.count(F.lit(1)).alias("dropped"))
@@ -40,6 +35,25 @@ def ground_search_hits(hits: DataFrame, sources: DataFrame, max_results: int = 5
     return kept.select("search_id", "pos", "url", F.coalesce("_title", "title").alias("title"), "snippet"), dropped
 
 
+def surplus_search_hits(hits: DataFrame, sources: DataFrame, max_results: int = 5) -> DataFrame:
+    """How many pages each search reached beyond those ``ground_search_hits`` keeps."""
+    pages = _grounded_once(*_keyed_hits(hits, sources)).groupBy("search_id").agg(F.count(F.lit(1)).alias("pages"))
+    return pages.filter(F.col("pages") > max_results).select("search_id", (F.col("pages") - max_results).alias("surplus"))
+
+
+def _keyed_hits(hits: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hits by the key of their page, and the pages each search reached."""
+    reached = (
+        sources.withColumn("_key", url_key(F.col("url"))).filter(F.col("_key").isNotNull())
+        .groupBy("search_id", "_key").agg(F.max("title").alias("_title"))
+    )
+    return hits.withColumn("_key", url_key(F.col("url"))), reached
+
+
+def _grounded_once(keyed: DataFrame, reached: DataFrame) -> DataFrame:
+    return first_per_key(keyed.join(reached, ["search_id", "_key"]), ["search_id", "_key"], [F.col("pos")])
+
+
 def title_segments(title: Column) -> Column:
     parts = F.split(F.regexp_replace(title, SITE_SUFFIX, ""), TITLE_PARTS)
     return F.filter(F.transform(parts, F.trim), lambda p: p != "")

@@ -502,6 +502,18 @@ def dropped_search_hits(spark, sf):
     return search.ground_search_hits(run_sql(spark, sf, CLAIMED), run_sql(spark, sf, REACHED))[1]
 
 
+@registry.add(
+    "surplus_search_hits",
+    st.with_tables(
+        "SELECT search_id, count(DISTINCT c.part_id) - 5 AS surplus FROM c JOIN r USING (search_id, part_id) GROUP BY 1 HAVING count(DISTINCT c.part_id) > 5",
+        c=CLAIMED,
+        r=REACHED,
+    ),
+)
+def surplus_search_hits(spark, sf):
+    return search.surplus_search_hits(run_sql(spark, sf, CLAIMED), run_sql(spark, sf, REACHED))
+
+
 QUOTED = """
 SELECT doc_id AS person_no, source AS store_id, concat(source, '.pl') AS store_domain, CASE WHEN lang = 'en' THEN 'Anna Nowak' WHEN lang = 'de' THEN 'Sklep Nowak' ELSE 'Jan Lis' END AS name, CASE WHEN n_chars > 500 THEN 'CEO' ELSE '' END AS role,
        concat(CASE WHEN lang = 'fr' THEN 'Somebody' WHEN lang = 'en' THEN 'Anna  Nowak' WHEN lang = 'de' THEN 'Sklep Nowak' ELSE 'jan lis' END, ' runs shop ', CAST(doc_id AS VARCHAR(20))) AS quote, lang FROM {documents}

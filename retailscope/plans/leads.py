@@ -474,3 +474,126 @@ def decide_letter_status(spark, sf):
 def review_prompts(spark, sf):
     drafts = run_sql(spark, sf, LEADS).withColumns({"draft_id": F.col("store_id"), "subject": F.concat(F.lit("About "), "name"), "body": F.concat(F.lit("Hello "), "domain")})
     return documents.review_prompts(drafts, documents.render_fact_sheets(facts(spark, sf)), "Check.").select("store_id", "prompt")
+
+
+# ------------------------------------------------------------------ the whole bundle
+
+B_APPS = """
+SELECT o_custkey AS store_id, concat('app ', CAST(o_orderkey AS VARCHAR(20))) AS name,
+       CASE o_orderpriority WHEN '1-URGENT' THEN ' ADS' WHEN '2-HIGH' THEN 'analytics' WHEN '3-MEDIUM' THEN NULL WHEN '4-NOT SPECIFIED' THEN 'gifts' ELSE concat('odd ', o_orderstatus) END AS category FROM {orders}
+"""
+B_COUNTS = "SELECT c_custkey AS store_id, CASE WHEN c_acctbal > 5000 THEN CAST(c_nationkey AS BIGINT) END AS apps_count FROM {customer}"
+B_SPEED = """
+SELECT o_custkey AS store_id, o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'mobile' WHEN 'O' THEN 'desktop' ELSE 'tablet' END AS strategy,
+       CASE WHEN o_totalprice > 50000 THEN CAST(floor(o_totalprice / 5100) AS INT) END AS performance, CAST(month(o_orderdate) AS INT) AS accessibility, CAST(50 + month(o_orderdate) AS INT) AS best_practices, CAST(60 + month(o_orderdate) AS INT) AS seo,
+       CAST(floor(o_totalprice / 200) AS BIGINT) AS fcp_ms, CAST(floor(o_totalprice / 100) AS BIGINT) AS lcp_ms, CAST(0.25 AS DOUBLE) AS cls, CASE WHEN o_orderpriority = '5-LOW' THEN CAST(month(o_orderdate) AS BIGINT) END AS inp_ms,
+       CAST(floor(o_totalprice / 300) AS BIGINT) AS ttfb_ms, CAST(floor(o_totalprice / 50) AS BIGINT) AS speed_index_ms, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) AS fetched_at FROM {orders}
+"""
+B_AUDITS = """
+SELECT event_id AS id, user_id AS store_id, 'OK' AS status, value > 95 AS blocked, CASE WHEN event_type = 'error' THEN props END AS error, concat('at ', CAST(event_id AS VARCHAR(20))) AS finished_at,
+       CASE WHEN value > 95 THEN 'cloudflare' END AS wall_vendor, CASE WHEN value > 95 THEN props END AS wall_signal, CASE WHEN value > 30 THEN concat('/c/', event_type) END AS collection_url, CASE WHEN value > 60 THEN concat('/p/', event_type) END AS product_url FROM {events}
+"""
+B_PAGE_SEO = """
+SELECT event_id AS audit_id, props AS title, CAST(length(props) AS INT) AS title_length, CASE WHEN value > 40 THEN event_type END AS description, CAST(CASE WHEN value > 40 THEN length(event_type) ELSE 0 END AS INT) AS description_length, CAST(1 AS INT) AS h1_count,
+       event_type AS h1_text, CASE WHEN value > 70 THEN 'https://s/' END AS canonical, CASE WHEN value > 80 THEN 'noindex' END AS robots_meta, value > 80 AS noindex, 'pl' AS lang, value > 20 AS open_graph, CAST(floor(value) AS INT) AS images, CAST(floor(value / 2) AS INT) AS images_with_alt FROM {events} WHERE event_type <> 'signup'
+"""
+B_SITE_SEO = "SELECT event_id AS audit_id, value > 10 AS has_robots, value > 99 AS robots_blocks_all, value > 5 AS has_sitemap, CAST(floor(value * 3) AS INT) AS sitemap_urls FROM {events} WHERE event_type <> 'click'"
+B_RELATIONS = {"stores": C_STORES, "themes": C_THEMES, "apps": B_APPS, "counts": B_COUNTS, "speed": B_SPEED, "audits": B_AUDITS, "page_seo": B_PAGE_SEO, "site_seo": B_SITE_SEO}
+
+
+@registry.add(
+    "context_sections",
+    st.with_tables(
+        """WITH a AS (SELECT * FROM audits QUALIFY id = max(id) OVER (PARTITION BY store_id)),
+        g AS (SELECT *, CASE lower(trim(category)) WHEN 'ads' THEN 'marketing' WHEN 'analytics' THEN 'analytics' ELSE 'other' END AS grp FROM apps),
+        n AS (SELECT store_id, count(*) AS total, count(*) FILTER (grp = 'marketing') AS marketing, count(*) FILTER (grp = 'analytics') AS analytics, count(*) FILTER (grp = 'other') AS others, string_agg(name, ',' ORDER BY name) AS names FROM g GROUP BY 1),
+        o AS (SELECT store_id, string_agg(concat(category, ':', n), ',' ORDER BY n DESC, category) AS other FROM (SELECT store_id, category, count(*) AS n FROM g WHERE grp = 'other' AND category IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+        k AS (SELECT store_id, apps_count, coalesce(total, 0) AS rows, coalesce(marketing, 0) AS marketing, coalesce(analytics, 0) AS analytics, coalesce(others, 0) AS others, names, other, greatest(coalesce(total, 0), coalesce(apps_count, 0)) AS counted
+              FROM counts LEFT JOIN n USING (store_id) LEFT JOIN o USING (store_id) WHERE coalesce(total, 0) > 0 OR apps_count IS NOT NULL),
+        v AS (SELECT store_id, string_agg(concat_ws('|', strategy, performance, accessibility, best_practices, seo, fcp_ms, lcp_ms, cls, inp_ms, ttfb_ms, speed_index_ms, fetched_at), ';' ORDER BY strategy DESC) AS speed
+              FROM (SELECT * FROM speed WHERE strategy <> 'tablet' QUALIFY id = max(id) OVER (PARTITION BY store_id, strategy)) GROUP BY 1)
+        SELECT s.id AS store_id, concat_ws('|', s.domain, s.name, s.country) AS store, concat_ws('|', s.rank, s.revenue_estimate, s.traffic_estimate, s.products_count) AS business, concat_ws('|', t.name, t.current_version, t.latest_version, t.version_gap, t.age_months, t.architecture, t.freshness) AS theme,
+        coalesce(k.apps_count, k.rows) AS apps_total, CASE WHEN k.counted <= 0 THEN NULL WHEN k.counted <= 5 THEN 'low' WHEN k.counted <= 12 THEN 'medium' WHEN k.counted <= 20 THEN 'high' ELSE 'very_high' END AS apps_size,
+        k.marketing, k.analytics, k.others, k.other, k.names, coalesce(v.speed, '') AS speed, a.id AS audit_id, a.finished_at, CASE WHEN a.wall_vendor IS NOT NULL THEN concat(a.wall_vendor, ': ', a.wall_signal) END AS wall,
+        concat_ws('|', a.collection_url, a.product_url) AS key_urls,
+        concat_ws('|', p.title, p.title_length, p.description, p.description_length, p.h1_count, p.h1_text, p.canonical, p.robots_meta, p.noindex, p.lang, p.open_graph, p.images, p.images_with_alt) AS page_seo,
+        concat_ws('|', w.has_robots, w.robots_blocks_all, w.has_sitemap, w.sitemap_urls) AS site_seo
+        FROM stores s LEFT JOIN themes t ON t.store_id = s.id LEFT JOIN k ON k.store_id = s.id LEFT JOIN v ON v.store_id = s.id LEFT JOIN a ON a.store_id = s.id LEFT JOIN page_seo p ON p.audit_id = a.id LEFT JOIN site_seo w ON w.audit_id = a.id""",
+        **B_RELATIONS,
+    ),
+)
+def context_sections(spark, sf):
+    """Every section of the context bundle beside pages and issues, field by field."""
+    r = {k: run_sql(spark, sf, v) for k, v in B_RELATIONS.items()}
+    no_pages = r["audits"].select(
+        F.col("id").alias("audit_id"), F.lit(0).alias("page_no"), F.lit("homepage").alias("page"), F.lit("mobile").alias("viewport"), F.lit("u").alias("url"), F.lit("ok").alias("availability"), F.lit(200).alias("http_status"), F.lit(1).alias("run"), F.lit(0).alias("failed"),
+        F.array().cast("array<struct<name:string,error:string>>").alias("failed_checks"), F.col("error").alias("facts"),
+    )
+    issues = grading.issues_with_evidence(spark, sf)
+    x = documents.build_context(r["stores"], r["themes"], documents.context_apps(r["apps"], r["counts"]), r["speed"], r["audits"], no_pages, issues, page_seo=r["page_seo"], site_seo=r["site_seo"])
+    c = F.col("context")
+    line = lambda part, names: F.concat_ws("|", *[part[n].cast("string") for n in names])
+    apps, audit = c["apps"], c["audit"]
+    speed = F.array_join(F.transform(c["pagespeed"], lambda p: line(p, ["strategy", *documents.SPEED_FIELDS])), ";")
+    return x.select(
+        "store_id", line(c["store"], ["domain", "name", "country"]).alias("store"), line(c["business"], ["rank", "revenue_estimate", "traffic_estimate", "products_count"]).alias("business"),
+        line(c["theme"], ["name", "current_version", "latest_version", "version_gap", "age_months", "architecture", "freshness"]).alias("theme"),
+        apps["total"].alias("apps_total"), apps["size"].alias("apps_size"), apps["by_group"]["marketing"].alias("marketing"), apps["by_group"]["analytics"].alias("analytics"), apps["by_group"]["other"].alias("others"),
+        F.array_join(F.transform(apps["other"], lambda o: F.concat(o["category"], F.lit(":"), o["n"].cast("string"))), ",").alias("other"), F.array_join(apps["names"], ",").alias("names"), speed.alias("speed"),
+        audit["id"].alias("audit_id"), audit["finished_at"].alias("finished_at"), F.concat(audit["bot_protection"]["vendor"], F.lit(": "), audit["bot_protection"]["signal"]).alias("wall"), line(audit["key_urls"], ["collection", "product"]).alias("key_urls"),
+        line(audit["seo"]["page"], r["page_seo"].columns[1:]).alias("page_seo"), line(audit["seo"]["site"], r["site_seo"].columns[1:]).alias("site_seo"),
+    )
+
+
+# ------------------------------------------------------------------ briefs and versions
+
+BRIEF_CASE = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in letters.BRIEFS.items()) + f" ELSE '{letters.BRIEFS[letters.DEFAULT_BRIEF]}' END"
+BRIEFED = """SELECT o_orderkey AS store_id, concat('s', CAST(o_orderkey AS VARCHAR(20)), '.pl') AS domain, CAST(NULL AS VARCHAR(9)) AS name, 'de' AS country, CAST(NULL AS VARCHAR(9)) AS reason, CAST(NULL AS VARCHAR(9)) AS contact_name, CAST(NULL AS VARCHAR(9)) AS contact_role,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'HEALTHY_STORE' WHEN '2-HIGH' THEN 'HEAVY_APP_STACK' WHEN '3-MEDIUM' THEN 'HIGH_REVENUE_OPPORTUNITY' WHEN '5-LOW' THEN CASE o_orderstatus WHEN 'F' THEN 'PERFORMANCE_PROBLEMS' WHEN 'P' THEN 'SKIP' END ELSE 'GROWING_STORE' END AS category FROM {orders}"""
+
+
+@registry.add(
+    "letter_briefs",
+    st.with_tables(
+        f"""SELECT store_id, category, w AS write, coalesce(category <> 'HIGH_REVENUE_OPPORTUNITY', false) AS known_category, CASE WHEN w THEN {BRIEF_CASE} END AS brief
+        FROM (SELECT *, coalesce(category NOT IN ('HEALTHY_STORE', 'SKIP'), true) AS w FROM c)""",
+        c=BRIEFED,
+    ),
+)
+def letter_briefs(spark, sf):
+    return letters.gate_letters(run_sql(spark, sf, BRIEFED)).select("store_id", "category", "write", "known_category", "brief")
+
+
+@registry.add(
+    "briefed_letter_prompts",
+    st.with_tables(
+        f"""SELECT store_id, concat_ws(chr(10), concat('Recipient shop: ', domain, ', ', domain), 'Language: English', 'Salutation: no name known, address the shop', concat(chr(10), 'Reason for contact: ', coalesce(category, '')), concat('Brief: ', {BRIEF_CASE}),
+        concat(chr(10), 'Permitted facts, cited by id; nothing beyond them:'), '  (none on file)') AS prompt FROM c WHERE coalesce(category NOT IN ('HEALTHY_STORE', 'SKIP'), true)""",
+        c=BRIEFED,
+    ),
+)
+def briefed_letter_prompts(spark, sf):
+    leads = letters.gate_letters(run_sql(spark, sf, BRIEFED)).filter("write")
+    none = leads.select("store_id", F.lit(None).cast("string").alias("fact_sheet")).filter(F.lit(False))
+    return documents.letter_prompts(leads, none, "Write.").select("store_id", "prompt")
+
+
+VERSIONS = """
+SELECT o_orderkey AS id, o_custkey AS store_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS version,
+       CASE WHEN o_totalprice < 9000 THEN ' - ' ELSE concat('Offer of level ', o_orderpriority, ' for orders in state ', o_orderstatus, ', month ', CAST(month(o_orderdate) AS VARCHAR(9)), '; price about ', CAST(CAST(floor(o_totalprice / 100000) AS INT) AS VARCHAR(9)), ' units') END AS body FROM {orders}
+"""
+
+
+@registry.add(
+    "version_similarity",
+    st.with_tables(
+        """WITH w AS (SELECT *, list_filter(string_split(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' '), x -> x <> '') AS w FROM l),
+        s AS (SELECT *, list_distinct(list_transform(range(1, greatest(len(w) - 2, 2)), i -> array_to_string(w[i:i + 3], ' '))) AS all_s FROM w),
+        d AS (SELECT id, store_id, version, CASE WHEN len(w) = 0 THEN [] ELSE all_s END AS s FROM s)
+        SELECT a.id, b.id AS previous_id, CASE WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0 ELSE floor(CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) * 1000 + 0.5) / 1000 END AS similarity
+        FROM d a JOIN d b ON b.store_id = a.store_id AND b.version = a.version - 1""",
+        l=VERSIONS,
+    ),
+)
+def version_similarity(spark, sf):
+    return letters.version_similarity(run_sql(spark, sf, VERSIONS))

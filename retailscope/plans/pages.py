@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retailscope.functions import mail
-from retailscope.operators import extract, grading, links
+from retailscope.operators import extract, grading, links, tables
 from retailscope.plans import standins as st
 from retailscope.plans.registry import Registry
 from retailscope.session import run_sql, spread, table
@@ -107,6 +107,31 @@ def extract_json_ld(spark, sf):
     return nodes.groupBy("page_id", "type").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
+def _as_tables(spark, name: str, df, text: str):
+    tables.register(spark)
+    df.createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
+@registry.add("page_links_table", f"SELECT page_id, pos, href, text, absolute_url, internal, in_footer FROM ({LINKS})")
+def page_links_table(spark, sf):
+    """``extract_links`` as a table function from SQL."""
+    return _as_tables(spark, "fetched_pages", fetched(spark, sf), "SELECT p.page_id, CAST(l.pos AS BIGINT) AS pos, l.href, l.text, l.absolute_url, l.internal, l.in_footer FROM fetched_pages p, LATERAL page_links(p.html, p.url) l")
+
+
+@registry.add(
+    "page_json_ld_table",
+    st.with_tables(
+        """SELECT page_id, 0 AS pos, CASE WHEN size < 20 THEN 'Product' ELSE 'Organization' END AS type, name FROM p
+        UNION ALL SELECT page_id, 1, 'ContactPoint', NULL FROM p UNION ALL SELECT page_id, 2, 'Thing', NULL FROM p""",
+        p=LD_PAGES.replace("p_size AS size,", "p_size AS size, p_name AS name,"),
+    ),
+)
+def page_json_ld_table(spark, sf):
+    """``extract_json_ld`` as a table function from SQL."""
+    return _as_tables(spark, "ld_pages", spread(run_sql(spark, sf, LD_PAGES)), "SELECT p.page_id, n.pos, n.type, get_json_object(n.node, '$.name') AS name FROM ld_pages p, LATERAL page_json_ld(p.html) n")
+
+
 MAIL_PAGES = """
 SELECT doc_id AS page_id, source AS store_id, concat(source, '.shop') AS store_domain, CASE WHEN lang = 'en' THEN 'contact' WHEN lang = 'fr' THEN 'about' ELSE 'home' END AS kind,
        concat('https://', source, '.shop/', CAST(doc_id AS VARCHAR(20))) AS url,
