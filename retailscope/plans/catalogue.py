@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from retailscope.plans import contacts, feed, grading, leads, pages, runs, streams, views, writes
+from retailscope.plans import contacts, feed, grading, landed, leads, pages, runs, streams, views, writes
 from retailscope.plans.registry import Query
 
-MODULES = (views, feed, runs, writes, grading, pages, contacts, leads, streams)
+MODULES = (views, feed, runs, writes, grading, pages, contacts, leads, landed, streams)
 
 
 def all_queries() -> dict[str, Query]:

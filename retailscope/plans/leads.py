@@ -587,8 +587,8 @@ SELECT o_orderkey AS id, o_custkey AS store_id, CAST(row_number() OVER (PARTITIO
 @registry.add(
     "version_similarity",
     st.with_tables(
-        """WITH w AS (SELECT *, list_filter(string_split(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' '), x -> x <> '') AS w FROM l),
-        s AS (SELECT *, list_distinct(list_transform(range(1, greatest(len(w) - 2, 2)), i -> array_to_string(w[i:i + 3], ' '))) AS all_s FROM w),
+        """WITH w AS (SELECT *, list_filter(string_split(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM l),
+        s AS (SELECT *, list_distinct(list_transform(range(1, greatest(len(w) - 2, 2)), lambda i: array_to_string(w[i:i + 3], ' '))) AS all_s FROM w),
         d AS (SELECT id, store_id, version, CASE WHEN len(w) = 0 THEN [] ELSE all_s END AS s FROM s)
         SELECT a.id, b.id AS previous_id, CASE WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0 ELSE floor(CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) * 1000 + 0.5) / 1000 END AS similarity
         FROM d a JOIN d b ON b.store_id = a.store_id AND b.version = a.version - 1""",
