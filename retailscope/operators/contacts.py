@@ -430,7 +430,13 @@ def _mail_domain(email: Column) -> Column:
 
 
 def drop_suppressed(candidates: DataFrame, suppressions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Contacts nobody asked to forget, and those that were dropped.
+    """Contacts nobody asked to forget, and those that were dropped."""
+    flagged = flag_suppressed(candidates, suppressions)
+    return flagged.filter(~F.col("_suppressed")).drop("_suppressed"), flagged.filter("_suppressed").drop("_suppressed")
+
+
+def flag_suppressed(candidates: DataFrame, suppressions: DataFrame) -> DataFrame:
+    """Contacts with ``_suppressed``: whether somebody asked to forget them.
 
     ``candidates`` carry ``store_domain``. Address, mail domain and shop domain
     are three joins on equality, never one on an OR. Candidates are dealt over
@@ -449,8 +455,7 @@ def drop_suppressed(candidates: DataFrame, suppressions: DataFrame) -> tuple[Dat
         .join(domains.select(F.col("_domain").alias("_store_domain"), "_salt", F.lit(True).alias("_by_store")), ["_store_domain", "_salt"], "left")
     )
     hit = F.coalesce("_by_email", "_by_mail", "_by_store", F.lit(False))
-    columns = candidates.columns
-    return marked.filter(~hit).select(*columns), marked.filter(hit).select(*columns)
+    return marked.select(*candidates.columns, hit.alias("_suppressed"))
 
 
 def _contact_key() -> Column:
@@ -512,29 +517,30 @@ def save_contacts(contacts: DataFrame, candidates: DataFrame, suppressions: Data
 
     ``candidates``: store_id, the order column and the candidate columns;
     ``stores``: store_id, store_domain. The shared count looks at contacts of
-    other shops on record and in this batch.
+    other shops on record and in this batch. Candidates are flagged once; what
+    is kept and all counts are read from the flagged ones.
     """
     domains = stores.select("store_id", "store_domain")
-    kept, suppressed = drop_suppressed(candidates.join(domains, "store_id"), suppressions)
-    some = kept.filter(F.coalesce("email", "name", "linkedin_url").isNotNull())
-    unique = dedupe_candidates(kept, order)
+    flagged = cut_lineage(flag_suppressed(candidates.join(domains, "store_id"), suppressions))
+    unique = dedupe_candidates(flagged.filter(~F.col("_suppressed")).drop("_suppressed"), order)
     batch = candidates.select("store_id").distinct()
     others = contacts.join(batch, "store_id", "left_anti").select("store_id", "email").unionByName(unique.select("store_id", "email"))
     final = mark_primary(flag_shared_mailboxes(unique, others), order)
     columns = [c for c in contacts.columns if c in final.columns]
     written = contacts.join(batch, "store_id", "left_anti").unionByName(final.select(*columns), allowMissingColumns=True)
 
-    def tally(df: DataFrame, name: str, value: Column | None = None) -> DataFrame:
-        return df.groupBy("store_id").agg((F.count(F.lit(1)) if value is None else value).alias(name))
+    def tally(df: DataFrame, **flags: Column) -> DataFrame:
+        names = ("written", "shared", "some", "suppressed")
+        return df.select("store_id", *[flags.get(n, F.lit(False)).cast("int").alias(n) for n in names])
 
-    counts = (
-        batch.join(tally(final, "written"), "store_id", "left")
-        .join(tally(some, "_some"), "store_id", "left")
-        .join(tally(final, "shared", F.count_if("is_shared")), "store_id", "left")
-        .join(tally(suppressed, "suppressed"), "store_id", "left")
-        .na.fill(0)
-        .select("store_id", "written", (F.col("_some") - F.col("written")).alias("duplicates"), "shared", "suppressed")
+    filled = F.coalesce("email", "name", "linkedin_url").isNotNull()
+    rows = (
+        tally(candidates)
+        .unionByName(tally(flagged, some=filled & ~F.col("_suppressed"), suppressed=F.col("_suppressed")))
+        .unionByName(tally(final, written=F.lit(True), shared=F.col("is_shared")))
     )
+    sums = rows.groupBy("store_id").agg(*[F.sum(n).alias(n) for n in ("written", "shared", "some", "suppressed")])
+    counts = sums.select("store_id", "written", (F.col("some") - F.col("written")).alias("duplicates"), "shared", "suppressed")
     return written, counts
 
 

@@ -168,20 +168,21 @@ def theme_staleness(stores: DataFrame, entries: DataFrame, releases: DataFrame,
         F.coalesce("_history", F.lit(0)).alias("_history"),
         F.lit(True).alias("_listed"),
     )
-    asked = shops.select("theme_key", F.col("_version").alias("version")).filter(F.col("version").isNotNull()).distinct()
+    # all that is known of a theme and version, in a row each; shops join it once
+    asked = shops.filter(F.col("theme_key").isNotNull()).select("theme_key", F.col("_version").alias("version")).distinct()
     exact = releases.groupBy("theme_key", "version").agg(F.min_by("released_at", "pos").alias("released_at"))
-    facts = (
-        asked.join(theme_gaps(asked, releases), ["theme_key", "version"], "left")
+    known = (
+        asked.join(catalog, "theme_key", "left")
+        .join(theme_gaps(asked.filter(F.col("version").isNotNull()), releases), ["theme_key", "version"], "left")
         .join(exact, ["theme_key", "version"], "left")
-        .withColumnRenamed("version", "_version")
     )
-    # shops of one popular theme, and those without one, are dealt over parts; catalog and facts have a row per theme and version
+    # a struct compares equal where its fields are both null
+    at = lambda version: F.struct(F.col("theme_key"), F.col(version).alias("version")).alias("_at")
+    # shops of one popular theme, and those without one, are dealt over parts
     parts = F.explode(F.sequence(F.lit(0), F.lit(THEME_PARTS - 1))).alias("_part")
-    dealt = shops.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(THEME_PARTS)).cast("int"))
-    joined = (
-        dealt.join(catalog.select("*", parts), ["theme_key", "_part"], "left")
-        .join(facts.select("*", parts), ["theme_key", "_part", "_version"], "left").drop("_part")
-    )
+    dealt = shops.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(THEME_PARTS)).cast("int")).select("*", at("_version"))
+    facts = known.select(at("version"), *[c for c in known.columns if c not in ("theme_key", "version")], parts)
+    joined = dealt.join(facts, ["_at", "_part"], "left").drop("_at", "_part")
 
     number = lambda name: F.col(name).cast("string")
     level_of = {label: i for i, label in enumerate(FRESHNESS)}
